@@ -36,6 +36,9 @@ class Pattern:
     source: str = "manual"
     # text every match holds; tested before the regex runs
     needle: str | None = None
+    # characters a match can begin with (inside of a character class); patterns that
+    # name them are tested together in one pass over the text
+    first: str | None = None
 
 
 # Identifier forms, labels and scores.
@@ -43,16 +46,16 @@ IDENTIFIER_PATTERNS = [
     Pattern("AVS", r"756\.\d{4}\.\d{4}\.\d{2}", "AVS", 0.9, needle="756."),
     Pattern("POLICY", r"\bPO\d{9}-\d{5}/\d{2}\b", "POLICE", 0.9, needle="PO"),
     Pattern("CONTRACT", r"\bCT-\d{5,10}\b", "CONTRAT", 0.75, needle="CT-"),
-    Pattern("VIN", r"\b[A-HJ-NPR-Z0-9]{17}\b", "VIN", 0.8),
+    Pattern("VIN", r"\b[A-HJ-NPR-Z0-9]{17}\b", "VIN", 0.8, first="A-Z0-9"),
 ]
 
 GENERAL_PATTERNS = [
     Pattern("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "EMAIL", 0.95, needle="@"),
-    Pattern("IBAN", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", "IBAN", 0.85),
-    Pattern("DATE_DMY", r"\b\d{1,2}[./-]\d{1,2}[./-]\d{4}\b", "DATE", 0.6),
-    Pattern("DATE_ISO", r"\b\d{4}-\d{2}-\d{2}\b", "DATE", 0.6, needle="-"),
-    Pattern("CARD", r"\b\d{16}\b", "CARD", 0.7),
-    Pattern("IPV4", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "IP", 0.7, needle="."),
+    Pattern("IBAN", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", "IBAN", 0.85, first="A-Z"),
+    Pattern("DATE_DMY", r"\b\d{1,2}[./-]\d{1,2}[./-]\d{4}\b", "DATE", 0.6, first="0-9"),
+    Pattern("DATE_ISO", r"\b\d{4}-\d{2}-\d{2}\b", "DATE", 0.6, first="0-9"),
+    Pattern("CARD", r"\b\d{16}\b", "CARD", 0.7, first="0-9"),
+    Pattern("IPV4", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "IP", 0.7, first="0-9"),
 ]
 
 DEFAULT_PATTERNS = IDENTIFIER_PATTERNS + GENERAL_PATTERNS
@@ -118,12 +121,28 @@ def java_regex(regex: str) -> str:
     return "(?U)" + regex
 
 
+def _grouped(patterns: Iterable[Pattern]) -> tuple[list[Pattern], list[Pattern]]:
+    """(patterns tested together, patterns tested alone)."""
+    used = [p for p in patterns if p.active]
+    together = [p for p in used if p.first and not p.needle]
+    return together, [p for p in used if p not in together]
+
+
+def _any_of(text: Column, patterns: list[Pattern]) -> Column:
+    """One scan for several patterns: the look-ahead skips most positions at once."""
+    starts = "".join(dict.fromkeys(p.first for p in patterns))
+    bodies = "|".join(f"(?:{p.regex})" for p in patterns)
+    return text.rlike(java_regex(f"(?=[{starts}])(?:{bodies})"))
+
+
 def might_match(text: Column, patterns: Iterable[Pattern]) -> Column:
     """True for every text in which some pattern has a match (and only for those)."""
-    tests = [_guard(text, p, text.rlike(java_regex(p.regex))) for p in patterns if p.active]
+    together, alone = _grouped(patterns)
     found = F.lit(False)
-    for test in tests:
-        found = found | test
+    for p in alone:
+        found = found | _guard(text, p, text.rlike(java_regex(p.regex)))
+    if together:
+        found = found | _any_of(text, together)
     return F.coalesce(found, F.lit(False))
 
 
@@ -131,11 +150,21 @@ def _guard(text: Column, pattern: Pattern, test: Column) -> Column:
     return (text.contains(pattern.needle) & test) if pattern.needle else test
 
 
-def _spans_of(text: Column, pattern: Pattern, prio: int) -> Column:
-    regex = F.lit(java_regex(pattern.regex))
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    gaps = F.split(text, java_regex(pattern.regex), -1)
-    empty = F.array().cast(T.ArrayType(SPAN))
+def _cut(text: Column, pattern: Pattern, prio: int) -> Column:
+    """The text cut at a pattern's matches; both arrays are NULL without a match."""
+    regex = java_regex(pattern.regex)
+    test = _guard(text, pattern, text.rlike(regex))
+    return F.struct(
+        F.when(test, F.split(text, regex, -1)).alias("gaps"),
+        F.when(test, F.regexp_extract_all(text, F.lit(regex), F.lit(0))).alias("hits"),
+        F.lit(pattern.label).alias("label"),
+        F.lit(float(pattern.score)).alias("score"),
+        F.lit(prio).alias("prio"),
+    )
+
+
+def _walk(cut: Column) -> Column:
+    """Spans of one cut: positions are running lengths of gaps and matches."""
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["pos"] + F.length(pair["gap"])
@@ -144,36 +173,43 @@ def _spans_of(text: Column, pattern: Pattern, prio: int) -> Column:
             start.alias("start"),
             stop.alias("end"),
             pair["hit"].alias("value"),
-            F.lit(pattern.label).alias("label"),
+            cut["label"].alias("label"),
             F.lit("pattern").alias("source"),
-            F.lit(float(pattern.score)).alias("score"),
-            F.lit(prio).alias("prio"),
+            cut["score"].alias("score"),
+            cut["prio"].alias("prio"),
         )
         spans = F.when(pair["hit"].isNull(), acc["spans"]).otherwise(
             F.array_append(acc["spans"], span)
         )
         return F.struct(F.coalesce(stop, start).alias("pos"), spans.alias("spans"))
 
-    walked = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("hit")),
-        F.struct(F.lit(0).alias("pos"), empty.alias("spans")),
+    return F.aggregate(
+        F.zip_with(cut["gaps"], cut["hits"], lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))),
+        F.struct(F.lit(0).alias("pos"), F.array().cast(T.ArrayType(SPAN)).alias("spans")),
         step,
         lambda acc: acc["spans"],
     )
-    return F.when(_guard(text, pattern, text.rlike(java_regex(pattern.regex))), walked).otherwise(empty)
 
 
 def find_spans(text: Column, patterns: Iterable[Pattern], labels: Iterable[str] | None = None) -> Column:
-    """All pattern matches of a text as one array, in pattern order; no shuffle."""
-    allowed = None if labels is None else set(labels)
-    used = [
-        _spans_of(text, p, i)
-        for i, p in enumerate(patterns)
-        if p.active and (allowed is None or p.label in allowed)
-    ]
+    """All pattern matches of a text as one array; no shuffle."""
+    patterns = list(patterns)
+    used = usable(patterns, labels)
     if not used:
         return F.array().cast(T.ArrayType(SPAN))
-    return F.concat(*used)
+    prio = {p: i for i, p in enumerate(patterns)}
+    together, alone = _grouped(used)
+    cuts = F.array(*[_cut(text, p, prio[p]) for p in alone]) if alone else None
+    if together:
+        grouped = F.when(_any_of(text, together), F.array(*[_cut(text, p, prio[p]) for p in together]))
+        cuts = F.concat(cuts, F.coalesce(grouped, F.slice(cuts, 1, 0))) if alone else grouped
+    found = F.transform(F.filter(cuts, lambda c: c["hits"].isNotNull()), _walk)
+    return F.coalesce(F.flatten(found), F.array().cast(T.ArrayType(SPAN)))
+
+
+def usable(patterns: Iterable[Pattern], labels: Iterable[str] | None = None) -> list[Pattern]:
+    allowed = None if labels is None else set(labels)
+    return [p for p in patterns if p.active and (allowed is None or p.label in allowed)]
 
 
 # ---- vetting -------------------------------------------------------------

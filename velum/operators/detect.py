@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velum.functions.patterns import DetectorConfig, find_spans
+from velum.functions.patterns import DetectorConfig, find_spans, might_match, usable
 
 SPAN_COLUMNS = ["start", "end", "value", "label", "source", "score", "prio"]
 MODEL_SPANS = "start int, end int, value string, label string, score double"
@@ -43,12 +43,14 @@ def detect_entities(
 ) -> DataFrame:
     """One row per pattern match. Narrow: no shuffle, only keys and text are read."""
     column = F.col(text) if isinstance(text, str) else text
-    if not config.patterns_enabled:
-        column = F.lit("")
-    spans = find_spans(column, config.patterns, config.active_labels)
+    patterns = config.patterns if config.patterns_enabled else ()
+    spans = find_spans(column, patterns, config.active_labels)
     return (
-        texts.select(*keys, spans.alias("_spans"))
-        .select(*keys, F.explode("_spans").alias("_span"))
+        texts.where(might_match(column, usable(patterns, config.active_labels)))
+        # outer: an inner explode would make Spark evaluate the spans a second time to
+        # filter empty arrays, which the test above has done
+        .select(*keys, F.explode_outer(spans).alias("_span"))
+        .where("_span IS NOT NULL")
         .select(*keys, *[F.col(f"_span.{c}").alias(c) for c in SPAN_COLUMNS])
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from velum.functions.rewrite import ENTRIES
 from velum.functions.text import PLACEHOLDER, placeholders
-from velum.session import parallelism, stage
+from velum.session import parallelism, stage, stage_small
 
 ORDER = ["doc_id", "ord", "start", "prio", "value"]
 TOKEN_COLUMNS = ["scope", "label", "n", "token", "value"]
@@ -138,8 +138,13 @@ def entry_lists(pairs: DataFrame, keys: Sequence[str], key: str, value: str) ->
 def attach_entries(
     texts: DataFrame, entries: DataFrame, keys: Sequence[str], touched: Column | None = None
 ) -> DataFrame:
-    """Left join of replacement lists; rows that cannot have one skip the shuffle."""
-    if touched is None:
+    """Left join of replacement lists.
+
+    The lists are staged first. Within the broadcast limit the texts stay where they
+    are; above it, rows that cannot have a list (``touched`` is false) skip the shuffle.
+    """
+    entries, small = stage_small(entries, "entries")
+    if small or touched is None:
         return texts.join(entries, list(keys), "left")
     touched = F.coalesce(touched, F.lit(False))
     joined = texts.where(touched).join(entries, list(keys), "left")

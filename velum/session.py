@@ -50,5 +50,29 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_small(df: DataFrame, name: str = "stage") -> tuple[DataFrame, bool]:
+    """Stage ``df`` and tell whether its written size is within the broadcast limit.
+
+    Within it, Spark plans a broadcast join from the file sizes by itself.
+    """
+    spark = df.sparkSession
+    staged = stage(df, name)
+    limit = _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for file in staged.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        total += path.getFileSystem(hadoop).getFileStatus(path).getLen()
+        if total > limit:
+            return staged, False
+    return staged, True
+
+
+def _bytes(text: str) -> int:
+    text = text.strip().lower().removesuffix("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    return int(text[:-1]) * units[text[-1]] if text[-1:] in units else int(text)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
