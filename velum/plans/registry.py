@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from velum.plans import kb, text  # noqa: F401
+from velum.plans import columns, kb, text  # noqa: F401
 from velum.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
