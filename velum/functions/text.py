@@ -46,42 +46,59 @@ def normalize_header(header: Column) -> Column:
     return F.coalesce(F.regexp_replace(joined, r"^_|_\z", ""), F.lit(""))
 
 
-def charset(value: Column) -> Column:
-    # Class names and their order.
+# Charset classes in the order they are tried; anything else is mixed.
+CHARSET_RULES = (
+    ("email", r"(?dU)^[^@\s]+@[^@\s]+\.[^@\s]+$"),
+    ("url", r"(?i)^https?://"),
+    ("digits", r"(?d)^[0-9]+$"),
+    ("alpha", r"(?d)^[a-zA-Z]+$"),
+    ("alphanum", r"(?d)^[a-zA-Z0-9]+$"),
+)
+# Value forms in the order they are tried; anything else is none.
+HINT_RULES = (
+    ("avs", r"(?d)^[0-9]{13}$"),
+    ("iban_ch", r"(?d)^(CH|LI)[0-9]{2}[0-9]{5}[A-Za-z0-9]{5,17}$"),
+    ("phone", r"(?dU)^(\+41|0041)?[0-9]{2,3}\s?[0-9]{3}\s?[0-9]{2}\s?[0-9]{2}$"),
+    ("date", r"(?d)^[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}$"),
+    ("date", r"(?d)^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+    ("date", r"(?d)^[0-9]{2}:[0-9]{2}(:[0-9]{2})?$"),
+)
+PUNCTUATION = r"[.,;:!?'\-/@&]"
+
+
+def _first_match(value: str, rules, otherwise: str) -> str:
+    tests = " ".join(f"WHEN {value} RLIKE r\"{regex}\" THEN '{name}'" for name, regex in rules)
+    return f"CASE {tests} ELSE '{otherwise}' END"
+
+
+def value_metadata_sql(value: str) -> str:
+    """``value_metadata`` of a SQL expression, as SQL text."""
     return (
-        F.when(value.rlike(r"(?dU)^[^@\s]+@[^@\s]+\.[^@\s]+$"), "email")
-        .when(value.rlike(r"(?i)^https?://"), "url")
-        .when(value.rlike(r"(?d)^[0-9]+$"), "digits")
-        .when(value.rlike(r"(?d)^[a-zA-Z]+$"), "alpha")
-        .when(value.rlike(r"(?d)^[a-zA-Z0-9]+$"), "alphanum")
-        .otherwise("mixed")
+        f"named_struct('length', bigint(length({value})), "
+        f"'charset', {_first_match(value, CHARSET_RULES, 'mixed')}, "
+        f"'has_spaces', contains({value}, ' '), "
+        f"'has_punctuation', {value} RLIKE r\"{PUNCTUATION}\", "
+        f"'regex_hint', {_first_match(value, HINT_RULES, 'none')}, "
+        f"'sample_hash', substring(sha2({value}, 256), 1, 8))"
     )
 
 
-def regex_hint(value: Column) -> Column:
-    # Hint names and the forms they stand for.
-    return (
-        F.when(value.rlike(r"(?d)^[0-9]{13}$"), "avs")
-        .when(value.rlike(r"(?d)^(CH|LI)[0-9]{2}[0-9]{5}[A-Za-z0-9]{5,17}$"), "iban_ch")
-        .when(
-            value.rlike(r"(?dU)^(\+41|0041)?[0-9]{2,3}\s?[0-9]{3}\s?[0-9]{2}\s?[0-9]{2}$"),
-            "phone",
-        )
-        .when(value.rlike(r"(?d)^[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}$"), "date")
-        .when(value.rlike(r"(?d)^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), "date")
-        .when(value.rlike(r"(?d)^[0-9]{2}:[0-9]{2}(:[0-9]{2})?$"), "date")
-        .otherwise("none")
-    )
+def value_metadata(value: Column) -> Column:
+    """What may be said about a value without showing it: length, charset, has_spaces,
+    has_punctuation, regex_hint and the head of its hash."""
 
+    def rules(table, otherwise):
+        out = F.lit(otherwise)
+        for name, regex in reversed(table):
+            out = F.when(value.rlike(regex), name).otherwise(out)
+        return out
 
-def value_metadata(value: Column) -> Column:
-    """What may be said about a value without showing it."""
     return F.struct(
         F.length(value).cast("bigint").alias("length"),
-        charset(value).alias("charset"),
+        rules(CHARSET_RULES, "mixed").alias("charset"),
         value.contains(" ").alias("has_spaces"),
-        value.rlike(r"[.,;:!?'\-/@&]").alias("has_punctuation"),
-        regex_hint(value).alias("regex_hint"),
+        value.rlike(PUNCTUATION).alias("has_punctuation"),
+        rules(HINT_RULES, "none").alias("regex_hint"),
         F.substring(F.sha2(value, 256), 1, 8).alias("sample_hash"),
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velum.functions.text import normalize_header, value_metadata
+from velum.functions.text import normalize_header, value_metadata_sql
 
 CHARSETS = ("email", "url", "digits", "alpha", "alphanum", "mixed")
 HINTS = ("avs", "iban_ch", "phone", "date")
@@ -34,56 +34,53 @@ STRATEGY_LABELS = {
 AGREE = 0.8
 
 
-def shape(value: Column) -> Column:
-    return F.regexp_replace(value, "[0-9]", "9")
+def _aggregates(value: str, meta: str, prefix: str = "") -> list[Column]:
+    """Profile sums of a value column and its metadata column.
 
-
-def _aggregates(value: Column, meta: Column, prefix: str = "") -> list[Column]:
-    known = value.isNotNull()
-    text_shape = shape(value)
-    count = lambda test: F.count_if(known & test)
+    Written as SQL text: a wide table has thousands of them, and text is parsed once.
+    """
+    shape = f"regexp_replace({value}, '[0-9]', '9')"
     out = {
-        "n": F.count("*"),
-        "n_values": F.count(value),
-        "avg_length": F.avg(meta["length"]),
-        "min_length": F.min(meta["length"]),
-        "max_length": F.max(meta["length"]),
-        **{f"cs_{c}": count(meta["charset"] == c) for c in CHARSETS},
-        **{f"hint_{h}": count(meta["regex_hint"] == h) for h in HINTS},
-        "with_spaces": count(meta["has_spaces"]),
-        "with_punctuation": count(meta["has_punctuation"]),
-        "shape_min": F.min(text_shape),
-        "shape_max": F.max(text_shape),
+        "n": "count(*)",
+        "n_values": f"count({value})",
+        "avg_length": f"avg({meta}.length)",
+        "min_length": f"min({meta}.length)",
+        "max_length": f"max({meta}.length)",
+        **{f"cs_{c}": f"count_if({value} IS NOT NULL AND {meta}.charset = '{c}')" for c in CHARSETS},
+        **{f"hint_{h}": f"count_if({value} IS NOT NULL AND {meta}.regex_hint = '{h}')" for h in HINTS},
+        "with_spaces": f"count_if({meta}.has_spaces)",
+        "with_punctuation": f"count_if({meta}.has_punctuation)",
+        "shape_min": f"min({shape})",
+        "shape_max": f"max({shape})",
     }
-    return [out[name].alias(prefix + name) for name in PROFILE]
+    return [F.expr(f"{out[name]} AS {prefix}{name}") for name in PROFILE]
 
 
-def column_profile(values: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    """Profile of values grouped by column keys; partial sums before the shuffle."""
-    rows = values.select(*keys, value.alias("_v"), value_metadata(value).alias("_m"))
-    return rows.groupBy(*keys).agg(*_aggregates(F.col("_v"), F.col("_m")))
+def column_profile(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Profile of a value column grouped by column keys; partial sums before the shuffle."""
+    rows = values.select(*keys, F.col(value).alias("_v")).select(
+        *keys, "_v", F.expr(value_metadata_sql("_v") + " AS _m")
+    )
+    return rows.groupBy(*keys).agg(*_aggregates("_v", "_m"))
 
 
 def profile_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Profile of every column of a table in one pass, without turning rows into cells."""
     names = list(columns or df.columns)
     types = {f.name: f.dataType.simpleString() for f in df.schema}
+    indexes = range(len(names))
     cast = df.select(*[F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(names)])
-    with_meta = cast.select("*", *[value_metadata(F.col(f"v{i}")).alias(f"m{i}") for i in range(len(names))])
-    sums = with_meta.agg(
-        *[a for i in range(len(names)) for a in _aggregates(F.col(f"v{i}"), F.col(f"m{i}"), f"c{i}_")]
+    with_meta = cast.selectExpr("*", *[f"{value_metadata_sql(f'v{i}')} AS m{i}" for i in indexes])
+    sums = with_meta.agg(*[a for i in indexes for a in _aggregates(f"v{i}", f"m{i}", f"c{i}_")])
+    rows = []
+    for i, c in enumerate(names):
+        fields = ", ".join(f"'{p}', c{i}_{p}" for p in PROFILE)
+        rows.append(f"named_struct('column', n{i}, 'sql_type', t{i}, {fields})")
+    named = sums.select(
+        "*", *[F.lit(c).alias(f"n{i}") for i, c in enumerate(names)],
+        *[F.lit(types[c]).alias(f"t{i}") for i, c in enumerate(names)],
     )
-    per_column = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(types[c]).alias("sql_type"),
-                *[F.col(f"c{i}_{p}").alias(p) for p in PROFILE],
-            )
-            for i, c in enumerate(names)
-        ]
-    )
-    return sums.select(F.explode(per_column).alias("p")).select("p.*")
+    return named.selectExpr(f"explode(array({', '.join(rows)})) AS p").select("p.*")
 
 
 def first_samples(df: DataFrame, order: Sequence[str], n: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
@@ -220,22 +217,36 @@ def resolve_answers(answers: DataFrame, raw: str = "raw") -> DataFrame:
 # ---- scan ------------------------------------------------------------------
 
 
-def scan_table(
-    df: DataFrame, db: str | None, table: str, columns: Sequence[str] | None = None, threshold: float = 0.7
-) -> DataFrame:
-    """Label proposals for a table's columns from one pass over it."""
-    profile = profile_table(df, columns)
-    return (
-        classify(profile)
-        .select(
-            F.lit(db).cast("string").alias("db"), F.lit(table).alias("table"), "column", "sql_type",
-            "n_values", "strategy", "label", "confidence",
-            F.when(F.col("label").isNotNull(), approval(F.col("confidence"), threshold)).alias("status"),
-            "regex",
-        )
+def label_profiles(profiles: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Label proposals from column profiles (db, table, column, sql_type, ...)."""
+    return classify(profiles).select(
+        "db", "table", "column", "sql_type", "n_values", "strategy", "label", "confidence",
+        F.when(F.col("label").isNotNull(), approval(F.col("confidence"), threshold)).alias("status"),
+        "regex",
     )
 
 
+def profile_catalog(
+    tables: dict[str, DataFrame], db: str | None, skip: set[tuple[str, str]] = frozenset()
+) -> DataFrame:
+    """Profiles of all tables' columns but those in ``skip``; one pass per table."""
+    profiles = []
+    for name, df in tables.items():
+        left = [c for c in df.columns if (name, c) not in skip]
+        if left:
+            profiles.append(
+                profile_table(df, left).select(
+                    F.lit(db).cast("string").alias("db"), F.lit(name).alias("table"), "*"
+                )
+            )
+    if not profiles:
+        raise ValueError("no column left to profile")
+    out = profiles[0]
+    for other in profiles[1:]:
+        out = out.unionByName(other)
+    return out
+
+
 def scan_catalog(
     tables: dict[str, DataFrame],
     db: str | None,
@@ -262,17 +273,7 @@ def scan_catalog(
         )
         # bounded by the inventory above
         skip = {(r["table"], r["column"]) for r in hit.select("table", "column").collect()}
-    scans = []
-    for name, df in tables.items():
-        left = [c for c in df.columns if (name, c) not in skip]
-        if left:
-            scans.append(scan_table(df, db, name, left, threshold))
-    if not scans:
-        raise ValueError("every column is labelled already")
-    out = scans[0]
-    for other in scans[1:]:
-        out = out.unionByName(other)
-    return out
+    return label_profiles(profile_catalog(tables, db, skip), threshold)
 
 
 def scan_summary(scan: DataFrame, inventory: DataFrame) -> DataFrame:

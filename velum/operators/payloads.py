@@ -238,7 +238,7 @@ def mask_payloads(
     )
     open_values = looked.where("label IS NULL AND field IS NOT NULL AND size(hits) = 0 AND value IS NOT NULL")
     suggestions = classify(
-        column_profile(open_values, columns, F.col("value")).withColumn("column", F.col("field"))
+        column_profile(open_values, columns, "value").withColumn("column", F.col("field"))
     ).where("label IS NOT NULL")
     findings = hits
     if config.classifier_enabled:

@@ -96,14 +96,8 @@ PROFILE = f"""SELECT "table", "column", count(*) AS n, count(v) AS n_values, rou
 
 @query("profile_columns", PROFILE)
 def profile_columns(spark, root):
-    parts = [
-        C.profile_table(df).select(F.lit(name).alias("table"), "column", *C.PROFILE)
-        for name, df in tables(spark, root).items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("avg_length", F.round("avg_length", 4))
+    profiles = C.profile_catalog(tables(spark, root), "shop")
+    return profiles.select("table", "column", *C.PROFILE).withColumn("avg_length", F.round("avg_length", 4))
 
 
 @query(
