@@ -88,7 +88,11 @@ _LITERAL = r"'(?:[^']|'')*'|(?<![\w.'])[0-9]+(?:\.[0-9]+)?(?![\w.'])"
 
 
 def replace_sql_literals(sql: Column, entries: Column) -> Column:
-    """Replace literals whose value is a key; a replaced literal is always quoted."""
+    """Replace literals whose value is a key; a replaced literal is always quoted.
+
+    A longer string literal that only holds keys has them replaced inside, so no
+    value stays readable.
+    """
     gaps = F.split(sql, _LITERAL, -1)
     literals = F.regexp_extract_all(sql, F.lit(_LITERAL), F.lit(0))
     lookup = F.map_from_entries(
@@ -101,7 +105,10 @@ def replace_sql_literals(sql: Column, entries: Column) -> Column:
             quoted,
             F.replace(F.substring(literal, F.lit(2), F.length(literal) - 2), F.lit("''"), F.lit("'")),
         ).otherwise(literal)
-        new = F.try_element_at(lookup, inner)
+        held = quoted & F.exists(entries, lambda e: F.contains(inner, e["key"]))
+        new = F.coalesce(
+            F.try_element_at(lookup, inner), F.when(held, replace_in_sequence(inner, entries))
+        )
         put = F.when(
             new.isNotNull(),
             F.concat(F.lit("'"), F.replace(new, F.lit("'"), F.lit("''")), F.lit("'")),

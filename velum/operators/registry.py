@@ -23,8 +23,10 @@ def _vet(regex: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([vet_regex(r) for r in regex], columns=["ok", "reason"])
 
 
-def vet_patterns(patterns: DataFrame, regex: str = "regex") -> DataFrame:
+def vet_patterns(patterns: DataFrame, regex: str = "regex", unique: bool = False) -> DataFrame:
     """Add ``ok`` and ``reason``; each distinct regex is checked once."""
+    if unique:
+        return patterns.withColumn("_v", _vet(F.col(regex))).select(*patterns.columns, "_v.ok", "_v.reason")
     checked = patterns.select(regex).distinct().withColumn("_v", _vet(F.col(regex)))
     checked = checked.select(F.col(regex).alias("_r"), F.col("_v.ok").alias("ok"), F.col("_v.reason").alias("reason"))
     return patterns.join(checked, F.col(regex).eqNullSafe(F.col("_r"))).drop("_r")
@@ -49,7 +51,7 @@ def suggest_patterns(scan: DataFrame, stored: DataFrame, active: bool = False) -
     one = fresh.groupBy("regex").agg(F.min(F.struct("name", "label", "score")).alias("_f"))
     one = one.select("_f.name", "regex", "_f.label", "_f.score")
     return (
-        vet_patterns(one)
+        vet_patterns(one, unique=True)
         .where("ok")
         .select("name", "regex", "label", "score", F.lit(active).alias("active"), F.lit("classifier").alias("source"))
     )
