@@ -60,13 +60,19 @@ def _load(state):
 
 def _save(state, scope, next_seq, waiting, buffer, raw, block, sent, idle_ms) -> None:
     state.update((scope, next_seq, json.dumps(waiting), buffer, raw, block, sent))
-    state.setTimeoutDuration(idle_ms)
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
 
 
-def whole_pieces(chunks: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+
+def whole_pieces(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Streaming (stream_id, scope, seq, chunk, is_last) to pieces that cut no token.
 
-    The rest of a stream is sent when its last chunk comes or when it has been idle.
+    The rest of a stream is sent when its last chunk comes or when it has been idle
+    (``idle_ms``; None for inputs that end, as an idle limit keeps a query running).
     """
 
     def run(key, batches, state):
@@ -93,7 +99,7 @@ def whole_pieces(chunks: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
         yield pd.DataFrame([r for r in rows if r[3]], columns=["stream_id", "scope", "seq", "text"])
 
     return chunks.groupBy("stream_id").applyInPandasWithState(
-        run, PIECES, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, PIECES, _STATE, "append", _timeout(idle_ms)
     )
 
 
@@ -127,7 +133,7 @@ def _text_block(data: dict):
     return index if starts and block.get("type") == "text" and isinstance(index, int) else None
 
 
-def whole_frames(chunks: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+def whole_frames(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Streaming chunks cut anywhere to event frames whose text deltas cut no token.
 
     Frames end with a blank line. A text delta leaves with its text beside it (see
@@ -187,7 +193,7 @@ def whole_frames(chunks: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
         yield pd.DataFrame(rows, columns=columns)
 
     return chunks.groupBy("stream_id").applyInPandasWithState(
-        run, FRAMES, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, FRAMES, _STATE, "append", _timeout(idle_ms)
     )
 
 
@@ -221,7 +227,9 @@ def start_restore(chunks: DataFrame, read_token_map, out: str, checkpoint: str,
         step = restore_frames if framed else restore_pieces
         step(batch, read_token_map()).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    whole = whole_frames(chunks) if framed else whole_pieces(chunks)
+    ends = not trigger or "availableNow" in trigger or "once" in trigger
+    idle_ms = None if ends else IDLE_MS
+    whole = whole_frames(chunks, idle_ms) if framed else whole_pieces(chunks, idle_ms)
     return (
         whole.writeStream.outputMode("append")
         .foreachBatch(write)
