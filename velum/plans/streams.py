@@ -19,11 +19,11 @@ def _folder(spark, name: str) -> str:
 
 
 def _as_stream(df, name: str):
-    """A table written once and read as a file stream, a few files per micro-batch."""
+    """A table written once and read as a file stream."""
     spark = df.sparkSession
     path = _folder(spark, name)
     df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 64).parquet(path)
 
 
 def cut(texts, width: int):
@@ -81,7 +81,7 @@ def stream_frames(spark, root):
 
 @query("stream_mask", DOC_MASKED + " SELECT doc_id, text FROM masked")
 def stream_mask(spark, root):
-    docs = spark.readStream.schema(table(spark, root, "documents").schema).parquet(f"{root}/documents.parquet")
+    docs = spark.readStream.schema(table(spark, root, "documents").schema).parquet(f"{root}/documents*.parquet")
     out = _folder(spark, "stream-mask")
     mask.start_mask(docs.select("doc_id", "source", "text"), out, _folder(spark, "mask-state"), "source").awaitTermination()
     return mask.read_batches(spark, f"{out}/masked").select("doc_id", "text")

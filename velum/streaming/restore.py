@@ -31,18 +31,18 @@ IDLE_MS = 600_000
 
 def _in_order(batches, next_seq: int, waiting: dict[int, list]) -> tuple[list, bool, int]:
     """Chunks that are next in line; ones that came early wait, repeats are ignored."""
-    scope = None
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            scope = row.scope
-            if row.seq >= next_seq:
-                waiting[int(row.seq)] = [row.chunk or "", bool(row.is_last)]
+        for seq, chunk, last in zip(
+            batch["seq"].tolist(), batch["chunk"].tolist(), batch["is_last"].tolist()
+        ):
+            if seq >= next_seq:
+                waiting[seq] = [chunk or "", bool(last)]
     ready, ended = [], False
     while next_seq in waiting and not ended:
         chunk, ended = waiting.pop(next_seq)
         ready.append((next_seq, chunk))
         next_seq += 1
-    return ready, ended, next_seq if scope is None else next_seq
+    return ready, ended, next_seq
 
 
 def _cut_tail(text: str) -> tuple[str, str]:
@@ -85,7 +85,7 @@ def whole_pieces(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
             return
         batches = list(batches)
         for batch in batches:
-            scope = batch["scope"].iloc[0] if len(batch) else scope
+            scope = batch["scope"].tolist()[0] if len(batch) else scope
         ready, ended, next_seq = _in_order(batches, next_seq, waiting)
         rows = []
         for seq, chunk in ready:
@@ -178,7 +178,7 @@ def whole_frames(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
             return
         batches = list(batches)
         for batch in batches:
-            scope = batch["scope"].iloc[0] if len(batch) else scope
+            scope = batch["scope"].tolist()[0] if len(batch) else scope
         ready, ended, next_seq = _in_order(batches, next_seq, waiting)
         for seq, chunk in ready:
             raw += chunk
