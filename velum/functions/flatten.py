@@ -104,6 +104,11 @@ def _trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, not once per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _insert_fields(sql: Column) -> Column:
     names = F.transform(
         F.filter(
@@ -112,50 +117,51 @@ def _insert_fields(sql: Column) -> Column:
         lambda c: F.regexp_replace(_trim(c), r'^["`]|["`]\z', ""),
     )
     tuples = F.regexp_extract_all(F.regexp_extract(sql, _INSERT, 2), F.lit(_TUPLE), F.lit(0))
+    literal = rf"^(?:{_STRING}|[0-9]+(?:\.[0-9]+)?)\z"
 
-    def of_tuple(row: Column, r: Column) -> Column:
+    def of_tuple(row: Column, r: Column, columns: Column) -> Column:
         items = F.regexp_extract_all(
             F.substring(row, F.lit(2), F.length(row) - 2), F.lit(_ELEMENT), F.lit(0)
         )
-
-        def of_item(item: Column, c: Column) -> Column:
-            return F.struct(
-                F.coalesce(F.get(names, c), F.concat(F.lit("col"), c.cast("string"))).alias("field"),
+        cells = F.transform(
+            items,
+            lambda item, c: F.struct(
+                F.coalesce(F.get(columns, c), F.concat(F.lit("col"), c.cast("string"))).alias("field"),
                 _trim(item).alias("value"),
                 F.concat(F.lit("ins"), r.cast("string"), F.lit("."), c.cast("string")).alias("path"),
-            )
-
-        literal = rf"^(?:{_STRING}|[0-9]+(?:\.[0-9]+)?)\z"
+            ),
+        )
         return F.transform(
-            F.filter(F.transform(items, of_item), lambda f: f["value"].rlike(literal)),
+            F.filter(cells, lambda f: f["value"].rlike(literal)),
             lambda f: F.struct(f["field"], _unquote(f["value"]).alias("value"), f["path"]),
         )
 
-    return F.flatten(F.transform(tuples, of_tuple))
+    return _bind(
+        names,
+        lambda columns: F.flatten(F.transform(tuples, lambda row, r: of_tuple(row, r, columns))),
+    )
 
 
 def _bound_fields(sql: Column) -> Column:
     """Literals next to a comparison carry its column; other strings carry ``valeur``."""
-    groups = [F.regexp_extract_all(sql, F.lit(_BOUND), F.lit(i)) for i in range(1, 6)]
 
-    def of_match(m: Column) -> Column:
-        single = F.array(
-            F.struct(
-                F.when(m["3"] != "", F.lit("valeur")).otherwise(m["0"]).alias("field"),
-                F.when(m["3"] != "", m["3"]).otherwise(m["1"]).alias("literal"),
-            )
-        )
+    def of_match(match: Column) -> Column:
+        part = lambda i: F.regexp_extract(match, _BOUND, i)
+        single = F.array(F.struct(part(1).alias("field"), part(2).alias("literal")))
         listed = F.transform(
-            F.regexp_extract_all(m["2"], F.lit(f"{_STRING}|{_NUMBER}"), F.lit(0)),
-            lambda item: F.struct(m["4"].alias("field"), item.alias("literal")),
+            F.regexp_extract_all(part(4), F.lit(f"{_STRING}|{_NUMBER}"), F.lit(0)),
+            lambda item: F.struct(part(3).alias("field"), item.alias("literal")),
+        )
+        alone = F.array(F.struct(F.lit("valeur").alias("field"), match.alias("literal")))
+        return (
+            F.when(match.startswith("'"), alone)
+            .when(match.rlike(r"(?i)\sin\s*\("), listed)
+            .otherwise(single)
         )
-        return F.when(m["2"] != "", listed).otherwise(single)
 
-    zipped = F.arrays_zip(
-        groups[0].alias("0"), groups[1].alias("1"), groups[3].alias("2"),
-        groups[4].alias("3"), groups[2].alias("4"),
+    flat = F.flatten(
+        F.transform(F.regexp_extract_all(sql, F.lit(_BOUND), F.lit(0)), of_match)
     )
-    flat = F.flatten(F.transform(zipped, of_match))
     return F.transform(
         flat,
         lambda f, i: F.struct(

@@ -57,7 +57,8 @@ def chat_blocks(bodies: DataFrame, keys: Sequence[str], body: str = "body") -> D
     # each step is its own projection, so the parsed tree is not rebuilt per field
     messages = (
         bodies.select(*keys, F.try_parse_json(F.col(body)).alias("_t"))
-        .select(*keys, F.posexplode(F.try_variant_get("_t", "$.messages", "array<variant>")).alias("msg", "_m"))
+        .select(*keys, F.posexplode_outer(F.try_variant_get("_t", "$.messages", "array<variant>")).alias("msg", "_m"))
+        .where("msg IS NOT NULL")
         .select(
             *keys, "msg",
             F.try_variant_get("_m", "$.role", "string").alias("role"),
@@ -96,7 +97,8 @@ def chat_blocks(bodies: DataFrame, keys: Sequence[str], body: str = "body") -> D
     listed = F.transform(F.try_variant_get("_c", "$", "array<variant>"), block)
     blocks = (
         messages.withColumn("_b", F.when(F.col("_kind") == "STRING", as_text).otherwise(listed))
-        .select(*keys, "msg", "role", F.posexplode("_b").alias("block", "b"))
+        .select(*keys, "msg", "role", F.posexplode_outer("_b").alias("block", "b"))
+        .where("block IS NOT NULL")
         .select(*keys, F.col("msg").cast("bigint").alias("msg"), F.col("block").cast("bigint").alias("block"), "role", "b.*")
     )
     none = F.array().cast("array<string>")
@@ -196,7 +198,7 @@ def mask_bodies(
         .agg(F.concat(F.lit("unsupported block: "), F.min("type")).alias("reason"))
     )
     texts = blocks.where("route = 'mask'").select(
-        "scope", "doc_id", F.col("msg"), F.col("block"), F.posexplode("texts").alias("part", "text")
+        "scope", "doc_id", "msg", "block", F.posexplode("texts").alias("part", "text")
     ).where(~is_blank(F.col("text")) & ~already_masked(F.col("text")))
     found = detect_entities(texts, ["scope", "doc_id", "msg", "block", "part"], hide_placeholders(F.col("text")), config)
     found = stage(

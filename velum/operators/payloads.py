@@ -23,6 +23,10 @@ STATEMENT = (
 )
 
 
+# Arrays that are costly to build are exploded with the outer form: for an inner one
+# Spark adds a filter on the array's size and builds it a second time for that.
+
+
 # ---- readers ---------------------------------------------------------------
 
 
@@ -58,7 +62,7 @@ def explode_fields(payloads: DataFrame, keys: list[str], text: str = "text", dro
     """(keys, fmt, ord, field, value, path) of readable structured payloads."""
     return (
         with_fields(payloads, text, drop_empty)
-        .select(*keys, "fmt", F.posexplode("fields").alias("ord", "f"))
+        .select(*keys, "fmt", F.posexplode_outer("fields").alias("ord", "f"))
         .select(*keys, "fmt", F.col("ord").cast("bigint").alias("ord"), "f.*")
         .where(F.col("field").isNotNull())
     )
@@ -69,7 +73,7 @@ def explode_nested(fields: DataFrame, keys: list[str]) -> DataFrame:
     return (
         fields.select(
             *keys, "ord",
-            F.posexplode(open_nested(F.col("field"), F.col("value"), F.col("path"))).alias("sub", "f"),
+            F.posexplode_outer(open_nested(F.col("field"), F.col("value"), F.col("path"))).alias("sub", "f"),
         )
         .select(*keys, "ord", F.col("sub").cast("bigint").alias("sub"), "f.*")
         .withColumn("depth", F.col("depth").cast("bigint"))
@@ -80,7 +84,7 @@ def embedded_sql(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     """Statements inside prose, in order; leftmost wins, none overlap."""
     return texts.where(F.col(text).rlike(STATEMENT)).select(
         *keys,
-        F.posexplode(F.regexp_extract_all(F.col(text), F.lit(STATEMENT), F.lit(0))).alias("ord", "sql"),
+        F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(STATEMENT), F.lit(0))).alias("ord", "sql"),
     )
 
 
@@ -88,7 +92,8 @@ def statement_findings(texts: DataFrame, kb: DataFrame) -> DataFrame:
     """Labelled literals of statements inside free text, as findings with ``ord`` 0."""
     literals = (
         embedded_sql(texts, ["scope", "doc_id"])
-        .select("scope", "doc_id", F.col("ord").alias("_s"), F.posexplode(sql_fields(F.col("sql"))).alias("_i", "f"))
+        .select("scope", "doc_id", F.col("ord").alias("_s"), F.posexplode_outer(sql_fields(F.col("sql"))).alias("_i", "f"))
+        .where("_i IS NOT NULL")
         .select(
             "scope", "doc_id", "f.field", "f.value",
             # position in the text's run of literals: statement first, then literal
@@ -132,7 +137,8 @@ def column_entities(
     columns = augment_columns(fields, keys)
     spans = find_spans(F.col("augmented"), config.patterns, config.active_labels)
     return (
-        columns.select(*keys, "field", "values", F.explode(spans).alias("s"))
+        columns.select(*keys, "field", "values", F.explode_outer(spans).alias("s"))
+        .where("s IS NOT NULL")
         .where(F.exists("values", lambda v: F.contains(v, F.col("s.value"))))
         .select(*keys, "field", F.col("s.value").alias("value"), F.col("s.label").alias("label"))
         .distinct()
@@ -201,7 +207,7 @@ def mask_payloads(
     read = stage(read, "payload-fields")
     fields = read.select("scope", "doc_id", "db", "table", "fmt", F.posexplode("fields").alias("_p", "f")).select(
         "scope", "doc_id", "db", "table", "fmt", "_p", F.col("f.value").alias("_outer"),
-        F.posexplode(open_nested(F.col("f.field"), F.col("f.value"), F.col("f.path"))).alias("_s", "f"),
+        F.posexplode_outer(open_nested(F.col("f.field"), F.col("f.value"), F.col("f.path"))).alias("_s", "f"),
     ).select(
         "scope", "doc_id", "db", "table", "fmt", "_outer",
         # all leaves in document order: outer position, then position inside

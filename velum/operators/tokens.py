@@ -122,13 +122,11 @@ def expire_tokens(token_map: DataFrame, now: Column, ttl_seconds: int = TTL_SECO
 
 
 def entry_lists(pairs: DataFrame, keys: Sequence[str], key: str, value: str) -> DataFrame:
-    """Replacement list of each document from distinct (key, value) pairs."""
+    """Replacement list of each document: its distinct (key, value) pairs."""
     return (
-        pairs.select(*keys, F.col(key).alias("_k"), F.col(value).alias("_v"))
-        .distinct()
-        .groupBy(*keys)
+        pairs.groupBy(*keys)
         .agg(
-            F.collect_list(F.struct(F.col("_k").alias("key"), F.col("_v").alias("value")))
+            F.collect_set(F.struct(F.col(key).alias("key"), F.col(value).alias("value")))
             .cast(ENTRIES)
             .alias("entries")
         )
@@ -165,8 +163,8 @@ def restore_text(
     from velum.functions.rewrite import restore_tokens
 
     found = texts.where(F.col(text).contains("[")).select(
-        *keys, F.col(scope).alias("scope"), F.explode(F.array_distinct(placeholders(F.col(text)))).alias("token")
-    )
+        *keys, F.col(scope).alias("scope"), F.explode_outer(F.array_distinct(placeholders(F.col(text)))).alias("token")
+    ).where("token IS NOT NULL")
     pairs = found.join(token_map.select("scope", "token", "value"), ["scope", "token"])
     lists = entry_lists(pairs, keys, "token", "value")
     return (
