@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from velum.functions.hof import bind
+
 FIELD = T.StructType(
     [
         T.StructField("field", T.StringType()),
@@ -104,11 +106,6 @@ def _trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
 
-def _bind(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once per row, not once per element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _insert_fields(sql: Column) -> Column:
     names = F.transform(
         F.filter(
@@ -136,7 +133,7 @@ def _insert_fields(sql: Column) -> Column:
             lambda f: F.struct(f["field"], _unquote(f["value"]).alias("value"), f["path"]),
         )
 
-    return _bind(
+    return bind(
         names,
         lambda columns: F.flatten(F.transform(tuples, lambda row, r: of_tuple(row, r, columns))),
     )

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from velum.functions.flatten import MAX_NESTING, blob_kind, parse_xml
+from velum.functions.hof import bind
 
 # array<struct<key,value>>: what to look for and what to put in its place
 ENTRIES = T.ArrayType(
     T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 )
 
-_OPEN, _CLOSE = "", ""
+_OPEN, _CLOSE = "\ue000", "\ue001"
 _DIGITS = "".join(chr(0xE010 + d) for d in range(10))
 
 
@@ -52,54 +53,53 @@ def replace_values(text: Column, entries: Column) -> Column:
     later key can hit; the marks are then exchanged for the values in one split.
     Texts or keys that hold such characters themselves take the plain path.
     """
-    ordered = longest_first(entries)
-    codes = F.transform(
-        ordered,
-        lambda e, i: F.struct(
-            e["key"].alias("key"),
-            F.concat(
-                F.lit(_OPEN),
-                F.translate(i.cast("string"), "0123456789", _DIGITS),
-                F.lit(_CLOSE),
-            ).alias("mark"),
-        ),
-    )
-    marked = F.aggregate(codes, text, lambda acc, e: F.replace(acc, e["key"], e["mark"]))
-    values = F.transform(ordered, lambda e: e["value"])
-    pieces = F.split(marked, _OPEN, -1)
-
-    def unmark(piece: Column, i: Column) -> Column:
-        code = F.substring_index(piece, _CLOSE, 1)
-        index = F.translate(code, _DIGITS, "0123456789").cast("int")
-        rest = F.substring(piece, F.length(code) + 2, F.length(piece))
-        return F.when(i == 0, piece).otherwise(F.concat(F.get(values, index), rest))
-
-    rebuilt = F.array_join(F.transform(pieces, unmark), "")
-    reserved = r"[-]"
+
+    def rebuilt(ordered: Column) -> Column:
+        codes = F.transform(
+            ordered,
+            lambda e, i: F.struct(
+                e["key"].alias("key"),
+                F.concat(
+                    F.lit(_OPEN),
+                    F.translate(i.cast("string"), "0123456789", _DIGITS),
+                    F.lit(_CLOSE),
+                ).alias("mark"),
+            ),
+        )
+        marked = F.aggregate(codes, text, lambda acc, e: F.replace(acc, e["key"], e["mark"]))
+
+        def unmark(piece: Column, i: Column) -> Column:
+            code = F.substring_index(piece, _CLOSE, 1)
+            index = F.translate(code, _DIGITS, "0123456789").cast("int")
+            rest = F.substring(piece, F.length(code) + 2, F.length(piece))
+            return F.when(i == 0, piece).otherwise(F.concat(F.get(ordered, index)["value"], rest))
+
+        return F.array_join(F.transform(F.split(marked, _OPEN, -1), unmark), "")
+
+    reserved = f"[{_OPEN}-{_DIGITS[-1]}]"
     clash = text.rlike(reserved) | F.exists(entries, lambda e: e["key"].rlike(reserved))
     return (
         F.when(entries.isNull() | (F.size(entries) == 0), text)
         .when(clash, replace_in_sequence(text, entries))
-        .otherwise(rebuilt)
+        .otherwise(bind(longest_first(entries), rebuilt))
     )
 
 
 _LITERAL = r"'(?:[^']|'')*'|(?<![\w.'])[0-9]+(?:\.[0-9]+)?(?![\w.'])"
 
 
+def _lookup(entries: Column) -> Column:
+    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["value"])))
+
+
 def replace_sql_literals(sql: Column, entries: Column) -> Column:
     """Replace literals whose value is a key; a replaced literal is always quoted.
 
     A longer string literal that only holds keys has them replaced inside, so no
     value stays readable.
     """
-    gaps = F.split(sql, _LITERAL, -1)
-    literals = F.regexp_extract_all(sql, F.lit(_LITERAL), F.lit(0))
-    lookup = F.map_from_entries(
-        F.transform(entries, lambda e: F.struct(e["key"], e["value"]))
-    )
 
-    def swap(gap: Column, literal: Column) -> Column:
+    def swap(gap: Column, literal: Column, known: Column) -> Column:
         quoted = literal.startswith("'")
         inner = F.when(
             quoted,
@@ -107,7 +107,7 @@ def replace_sql_literals(sql: Column, entries: Column) -> Column:
         ).otherwise(literal)
         held = quoted & F.exists(entries, lambda e: F.contains(inner, e["key"]))
         new = F.coalesce(
-            F.try_element_at(lookup, inner), F.when(held, replace_in_sequence(inner, entries))
+            F.try_element_at(known, inner), F.when(held, replace_values(inner, entries))
         )
         put = F.when(
             new.isNotNull(),
@@ -115,9 +115,18 @@ def replace_sql_literals(sql: Column, entries: Column) -> Column:
         ).otherwise(literal)
         return F.concat(gap, F.coalesce(put, F.lit("")))
 
-    return F.when(entries.isNull() | (F.size(entries) == 0), sql).otherwise(
-        F.array_join(F.zip_with(gaps, literals, swap), "")
+    rebuilt = bind(
+        _lookup(entries),
+        lambda known: F.array_join(
+            F.zip_with(
+                F.split(sql, _LITERAL, -1),
+                F.regexp_extract_all(sql, F.lit(_LITERAL), F.lit(0)),
+                lambda gap, literal: swap(gap, literal, known),
+            ),
+            "",
+        ),
     )
+    return F.when(entries.isNull() | (F.size(entries) == 0), sql).otherwise(rebuilt)
 
 
 # ---- nested documents: the shape differs by row, so a small helper per row ----
@@ -237,16 +246,17 @@ def restore_tokens(text: Column, entries: Column) -> Column:
     """
     from velum.functions.text import PLACEHOLDER, placeholders
 
-    gaps = F.split(text, PLACEHOLDER, -1)
-    lookup = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["value"])))
-    rebuilt = F.array_join(
-        F.zip_with(
-            gaps,
-            placeholders(text),
-            lambda gap, token: F.concat(
-                gap, F.coalesce(F.try_element_at(lookup, token), token, F.lit(""))
+    rebuilt = bind(
+        _lookup(entries),
+        lambda known: F.array_join(
+            F.zip_with(
+                F.split(text, PLACEHOLDER, -1),
+                placeholders(text),
+                lambda gap, token: F.concat(
+                    gap, F.coalesce(F.try_element_at(known, token), token, F.lit(""))
+                ),
             ),
+            "",
         ),
-        "",
     )
     return F.when(entries.isNull() | (F.size(entries) == 0), text).otherwise(rebuilt)

@@ -41,7 +41,7 @@ def is_blank(text: Column) -> Column:
 def normalize_header(header: Column) -> Column:
     """Lower case, no accents, one underscore for each run of separators; NULL gives ''."""
     plain = F.translate(F.lower(header), _ACCENTED, _PLAIN)
-    plain = F.regexp_replace(plain, r"[̀-ͯ]", "")
+    plain = F.regexp_replace(plain, r"[\u0300-\u036f]", "")
     joined = F.regexp_replace(plain, r"[ \-./\t_]+", "_")
     return F.coalesce(F.regexp_replace(joined, r"^_|_\z", ""), F.lit(""))
 

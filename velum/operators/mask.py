@@ -31,7 +31,7 @@ class Masked(NamedTuple):
     findings: DataFrame
 
 
-STAND_IN = ""
+STAND_IN = "\ue020"
 
 
 def hide_placeholders(text: Column) -> Column:

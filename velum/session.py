@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # no Python stack captured for every column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -25,7 +25,7 @@ FRAMES = "stream_id string, scope string, seq long, part long, head string, payl
 _STATE = "scope string, next_seq long, waiting string, buffer string, raw string, block long, sent long"
 
 # stands for the delta text inside a frame's JSON until the text is restored
-SLOT = ""
+SLOT = "\ue021"
 IDLE_MS = 600_000
 
 
@@ -167,7 +167,7 @@ def whole_frames(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
             if buffer and block is not None:
                 data = {"type": "content_block_delta", "index": int(block), "delta": {"type": "text_delta", "text": SLOT}}
                 rows.append(
-                    (key[0], scope, seq, sent, "event: content_block_delta\n", json.dumps(data), buffer, "\n\n")
+                    (key[0], scope, seq, sent, "event: content_block_delta\n", json.dumps(data, ensure_ascii=False), buffer, "\n\n")
                 )
 
         if state.hasTimedOut:
