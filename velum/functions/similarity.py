@@ -50,19 +50,22 @@ def max_edits(length: Column, threshold: float = THRESHOLD) -> Column:
 
 
 def segments(text: Column, threshold: float = THRESHOLD) -> Column:
-    """Cut ``text`` into ``max_edits + 1`` pieces.
+    """Cut ``text`` into ``max_edits + 1`` pieces: array<piece, at>.
 
     Each edit can touch one piece only, so any partner at or above the threshold
-    holds at least one piece unchanged: joining pieces to substrings finds every pair.
+    holds at least one piece unchanged, moved by no more than ``max_edits`` places:
+    joining pieces to substrings finds every pair.
     """
     n = max_edits(F.length(text), threshold) + 1
 
     def piece(i: Column) -> Column:
         start = F.floor(i * F.length(text) / n).cast("int")
         stop = F.floor((i + 1) * F.length(text) / n).cast("int")
-        return F.substring(text, start + 1, stop - start)
+        return F.struct(
+            F.substring(text, start + 1, stop - start).alias("piece"), (start + 1).alias("at")
+        )
 
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), piece))
+    return F.transform(F.sequence(F.lit(0), n - 1), piece)
 
 
 def segment_lengths(longest: int, threshold: float = THRESHOLD) -> list[int]:
@@ -77,15 +80,13 @@ def segment_lengths(longest: int, threshold: float = THRESHOLD) -> list[int]:
 
 
 def substrings(text: Column, sizes: list[int]) -> Column:
-    """All distinct substrings of the given sizes."""
+    """All substrings of the given sizes with their places: array<piece, at>."""
 
     def of_size(k: int) -> Column:
-        return F.when(
-            F.length(text) >= k,
-            F.transform(
-                F.sequence(F.lit(1), F.length(text) - (k - 1)),
-                lambda i: F.substring(text, i, F.lit(k)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.flatten(F.array(*[of_size(k) for k in sizes])))
+        places = F.when(F.length(text) >= k, F.sequence(F.lit(1), F.length(text) - (k - 1)))
+        return F.transform(
+            F.coalesce(places, F.array().cast("array<int>")),
+            lambda i: F.struct(F.substring(text, i, F.lit(k)).alias("piece"), i.alias("at")),
+        )
+
+    return F.flatten(F.array(*[of_size(k) for k in sizes]))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velum.functions.patterns import DetectorConfig
+from velum.functions.patterns import DetectorConfig, might_match
 from velum.functions.rewrite import _pairs, _swap
 from velum.functions.text import already_masked, is_blank
 from velum.operators.detect import detect_entities
@@ -265,8 +265,9 @@ def mask_conversations(
     known = new if existing is None else new.unionByName(existing.select(*new.columns))
     lists = entry_lists(tokens_for(found, known), ["scope", "_hash"], "value", "token")
     lists = lists.withColumnRenamed("scope", scope)
+    touched = F.col("_hash").isNotNull() & might_match(hide_placeholders(F.col("text")), config.patterns)
     rows = (
-        attach_entries(flagged, lists, [scope, "_hash"])
+        attach_entries(flagged, lists, [scope, "_hash"], touched)
         .withColumn("text", replace_outside_placeholders(F.col("text"), F.col("entries")))
         .select(*turns.columns)
     )

@@ -12,6 +12,7 @@ from velum.functions.similarity import (
     MARGIN,
     THRESHOLD,
     lcs_length,
+    max_edits,
     segment_lengths,
     segments,
     similarity,
@@ -224,13 +225,18 @@ def fuzzy_headers(
     ).distinct()
     asked = headers.where("header_norm <> ''").select("header_norm").distinct()
     sizes = segment_lengths(MAX_HEADER, threshold)
-    pieces = known.select("kb_header", F.explode(segments(F.col("kb_header"), threshold)).alias("piece"))
-    grams = asked.select("header_norm", F.explode(substrings(F.col("header_norm"), sizes)).alias("piece"))
+    pieces = known.select(
+        "kb_header", F.explode_outer(segments(F.col("kb_header"), threshold)).alias("_p")
+    ).select("kb_header", "_p.piece", F.col("_p.at").alias("_kb_at"))
+    grams = asked.select(
+        "header_norm", F.explode_outer(substrings(F.col("header_norm"), sizes)).alias("_g")
+    ).select("header_norm", "_g.piece", F.col("_g.at").alias("_at"))
     la, lb = F.length("header_norm"), F.length("kb_header")
     s = threshold / 100.0
     pairs = (
         grams.join(pieces, "piece")
-        # lengths alone rule out most pairs
+        # a shared piece moves no further than the edits allowed
+        .where(F.abs(F.col("_at") - F.col("_kb_at")) <= max_edits(lb, threshold))
         .where(F.least(la, lb) * 2 >= (la + lb) * s - 1e-9)
         .select("header_norm", "kb_header")
         .distinct()

@@ -215,7 +215,9 @@ def mask_payloads(
     )
     fields = stage(fields, "leaves")
     columns = ["field", "db", "table"]
-    labels = label_headers(fields.where("field IS NOT NULL"), kb)
+    # staged, so that Spark knows the size: within the broadcast limit the leaves (whose
+    # headers repeat without end) are not shuffled by header
+    labels = stage(label_headers(fields.where("field IS NOT NULL"), kb), "labels")
     labelled = fields.join(
         labels.select(*[F.col(c).alias(f"_{c}") for c in columns], F.col("label"), F.col("match")),
         F.col("field").eqNullSafe(F.col("_field"))
@@ -246,6 +248,7 @@ def mask_payloads(
     suggestions = classify(
         column_profile(open_values, columns, "value").withColumn("column", F.col("field"))
     ).where("label IS NOT NULL")
+    suggestions = stage(suggestions, "suggestions")
     findings = hits
     if config.classifier_enabled:
         named = suggestions.select(*[F.col(c).alias(f"_{c}") for c in columns], F.col("label").alias("_label"))

@@ -178,9 +178,11 @@ def leak_check(
     masked: DataFrame, findings: DataFrame, keys: Sequence[str], text: str = "text"
 ) -> DataFrame:
     """Original values still present in their own document's masked text (expected: none)."""
-    values = findings.select(*keys, "value").where(F.length("value") > 0).distinct()
+    lists = findings.where(F.length("value") > 0).groupBy(*keys).agg(F.collect_set("value").alias("_values"))
+    lists, _ = stage_small(lists, "values")
+    held = F.filter("_values", lambda v: F.contains(F.col(text), v))
     return (
-        values.join(masked.select(*keys, F.col(text).alias("_text")), list(keys))
-        .where(F.contains(F.col("_text"), F.col("value")))
-        .select(*keys, "value")
+        masked.join(lists, list(keys))
+        .select(*keys, F.explode_outer(held).alias("value"))
+        .where("value IS NOT NULL")
     )

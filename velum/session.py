@@ -29,14 +29,29 @@ def build_session(master: str | None = None, app: str = "velum", **conf: str) ->
     return builder.getOrCreate()
 
 
+_local_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see; a local one is made only where none is named (tests)."""
+    global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    made = tempfile.mkdtemp(prefix="velum-stage-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if _local_dir is None:
+        _local_dir = tempfile.mkdtemp(prefix="velum-stage-")
+    return _local_dir
+
+
+_staged: list[str] = []
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the tables staged by this process, once no result built on them is needed."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -48,6 +63,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _staged.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
