@@ -2,9 +2,7 @@
 
 import json
 import random
-import string
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +53,11 @@ def test_large_map_path_gives_the_same_text(spark):
     assert small == large
 
 
+def test_null_scope_stops_the_job(spark):
+    with pytest.raises(Exception, match="NULL in scope"):
+        mask.mask_documents(docs(spark, [(1, None, "a@b.ch")]), "scope").rows.collect()
+
+
 @pytest.mark.parametrize("partitions", ["1", "3", "16"])
 def test_numbers_do_not_depend_on_partitions(spark, partitions):
     rows = [("hot" if i % 3 else f"s{i % 5}", i, f"v{i % 700}", "A" if i % 2 else "B") for i in range(2000)]

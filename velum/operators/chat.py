@@ -16,7 +16,7 @@ from velum.functions.rewrite import _pairs, _swap
 from velum.functions.text import already_masked, is_blank
 from velum.operators.detect import detect_entities
 from velum.operators.mask import hide_placeholders, replace_outside_placeholders
-from velum.operators.tokens import assign_tokens, attach_entries, entry_lists, tokens_for
+from velum.operators.tokens import assign_tokens, attach_entries, entry_lists, required, tokens_for
 from velum.session import stage
 
 # Block types without readable text, refused as a whole.
@@ -190,7 +190,7 @@ def mask_bodies(
     high_water: DataFrame | None = None,
 ) -> MaskedBodies:
     """Mask the readable blocks of chat request bodies; bodies with a refused block leave."""
-    base = bodies.select(F.col(scope).alias("scope"), F.col(key).alias("doc_id"), F.col(body).alias("body"))
+    base = bodies.select(required(scope).alias("scope"), required(key).alias("doc_id"), F.col(body).alias("body"))
     blocks = stage(chat_blocks(base, ["scope", "doc_id"]), "blocks")
     refused = (
         blocks.where("route = 'refuse'")
@@ -249,7 +249,7 @@ def mask_conversations(
     )
     flagged = turns.withColumn("_hash", F.when(eligible, F.sha2("text", 256)))
     texts = flagged.where("_hash IS NOT NULL").select(
-        F.col(scope).alias("scope"), "_hash", "text", F.struct("conv_id", "turn").alias("_at")
+        required(scope).alias("scope"), "_hash", "text", F.struct("conv_id", "turn").alias("_at")
     )
     if reuse_texts:
         texts = texts.groupBy("scope", "_hash").agg(F.any_value("text").alias("text"), F.min("_at").alias("_at"))

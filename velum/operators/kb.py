@@ -19,6 +19,7 @@ from velum.functions.similarity import (
     substrings,
 )
 from velum.functions.text import normalize_header
+from velum.session import stage
 
 KB_SCHEMA = (
     "id bigint, header_norm string, header_raw string, label string, source string, "
@@ -292,6 +293,19 @@ def label_headers(
     )
 
 
+def with_labels(fields: DataFrame, kb: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """Add ``label`` and ``match`` to rows with (field, db, table).
+
+    Labels are found once per distinct header and staged, so that Spark knows their
+    size: within the broadcast limit the rows, whose headers repeat without end, are
+    not shuffled by header.
+    """
+    keys = ["field", "db", "table"]
+    labels = stage(label_headers(fields.where("field IS NOT NULL"), kb, fuzzy), "labels")
+    known = labels.select(*[F.col(k).alias(f"_{k}") for k in keys], "label", "match")
+    return fields.join(known, _same(keys), "left").drop(*[f"_{k}" for k in keys])
+
+
 def _same(keys: Sequence[str]) -> Column:
     condition = F.lit(True)
     for k in keys:

@@ -9,15 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.functions.patterns import DetectorConfig, might_match
-from velum.functions.rewrite import replace_in_sequence, replace_sql_literals, replace_values
+from velum.functions.rewrite import ENTRIES, replace_in_sequence, replace_sql_literals, replace_values
 from velum.functions.text import PLACEHOLDER, placeholders
 from velum.operators.detect import detect_entities
 from velum.operators.payloads import STATEMENT, embedded_sql, statement_findings
 from velum.operators.tokens import (
     assign_tokens,
     attach_entries,
-    entry_lists,
-    first_sightings,
+    required,
     tokens_for,
 )
 from velum.session import stage
@@ -88,7 +87,7 @@ def mask_documents(
     ``model_spans`` adds spans from ``detect_with_model``; ``chained`` is plain
     one-after-the-other replacement.
     """
-    source = docs.select(F.col(scope).alias("scope"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(required(scope).alias("scope"), required(key).alias("doc_id"), F.col(text).alias("text"))
     body = hide_placeholders(F.col("text")) if keep_placeholders else F.col("text")
     keys = ["scope", "doc_id"]
     found = detect_entities(source, keys, body, config)
@@ -107,15 +106,13 @@ def mask_documents(
         if kb is not None:
             touched = touched | F.coalesce(F.col("text").rlike(STATEMENT), F.lit(False))
     renamed = docs.withColumnsRenamed({key: "doc_id", text: "text"})
-    prose = entry_lists(pairs.where("ord = 1"), ["doc_id"], "value", "token")
-    rows = attach_entries(renamed, prose, ["doc_id"], touched)
-    masked_text = F.col("text")
-    if kb is not None:
-        literals = entry_lists(pairs.where("ord = 0"), ["doc_id"], "value", "token")
-        rows = rows.join(
-            literals.withColumnRenamed("entries", "literals"), "doc_id", "left"
-        )
-        masked_text = splice_statements(masked_text, F.col("literals"))
+    pair = F.struct(F.col("value").alias("key"), F.col("token").alias("value"))
+    lists = pairs.groupBy("doc_id").agg(
+        F.collect_set(F.when(F.col("ord") == 1, pair)).cast(ENTRIES).alias("entries"),
+        F.collect_set(F.when(F.col("ord") == 0, pair)).cast(ENTRIES).alias("literals"),
+    )
+    rows = attach_entries(renamed, lists, ["doc_id"], touched)
+    masked_text = F.col("text") if kb is None else splice_statements(F.col("text"), F.col("literals"))
     swap = (
         replace_in_sequence
         if chained
@@ -142,13 +139,12 @@ def mask_columns(
 ) -> Masked:
     """Mask whole values of labelled columns and detected values of ``detect_in`` columns.
 
-    Labelled columns also get a pattern pass for values that need another label only
-    where the whole value is not masked anyway; a cell of a labelled column is always
-    replaced as a whole.
+    A cell of a labelled column is always replaced as a whole, so no pattern pass is
+    needed on it.
     """
     order = {c: i for i, c in enumerate([*labels, *detect_in])}
     base = df.select(
-        F.col(scope).alias("scope"), F.col(key).alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in order]
+        required(scope).alias("scope"), required(key).alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in order]
     )
     cells = F.array(
         *[

@@ -12,8 +12,8 @@ from velum.functions.formats import detect_format
 from velum.functions.patterns import DetectorConfig, find_spans
 from velum.functions.rewrite import replace_by_format, with_blob_entries
 from velum.operators.columns import classify, column_profile
-from velum.operators.kb import is_pii, label_headers
-from velum.operators.tokens import assign_tokens, entry_lists, tokens_for
+from velum.operators.kb import is_pii, with_labels
+from velum.operators.tokens import assign_tokens, entry_lists, required, tokens_for
 from velum.session import stage
 
 # A statement inside prose: from its first word to the first semicolon or the line end.
@@ -101,9 +101,8 @@ def statement_findings(texts: DataFrame, kb: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("db"), F.lit(None).cast("string").alias("table"),
         )
     )
-    labels = label_headers(literals, kb).select("field", "label", "match")
     return (
-        literals.join(labels, "field")
+        with_labels(literals, kb)
         .where(is_pii(F.col("label")))
         .select(
             "scope", "doc_id", F.lit(0).alias("ord"), "start", F.lit(0).alias("prio"), "value", "label",
@@ -199,7 +198,7 @@ def mask_payloads(
     null = F.lit(None).cast("string")
     read = with_fields(
         payloads.select(
-            F.col(scope).alias("scope"), F.col(key).alias("doc_id"), F.col(text).alias("text"),
+            required(scope).alias("scope"), required(key).alias("doc_id"), F.col(text).alias("text"),
             (F.col(db) if db else null).alias("db"), (F.col(table) if table else null).alias("table"),
         ),
         "text", drop_empty,
@@ -215,16 +214,7 @@ def mask_payloads(
     )
     fields = stage(fields, "leaves")
     columns = ["field", "db", "table"]
-    # staged, so that Spark knows the size: within the broadcast limit the leaves (whose
-    # headers repeat without end) are not shuffled by header
-    labels = stage(label_headers(fields.where("field IS NOT NULL"), kb), "labels")
-    labelled = fields.join(
-        labels.select(*[F.col(c).alias(f"_{c}") for c in columns], F.col("label"), F.col("match")),
-        F.col("field").eqNullSafe(F.col("_field"))
-        & F.col("db").eqNullSafe(F.col("_db"))
-        & F.col("table").eqNullSafe(F.col("_table")),
-        "left",
-    ).drop("_field", "_db", "_table")
+    labelled = with_labels(fields, kb)
 
     known = is_pii(F.col("label"))
     whole = F.array(

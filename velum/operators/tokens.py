@@ -22,6 +22,12 @@ TOKEN_COLUMNS = ["scope", "label", "n", "token", "value"]
 TTL_SECONDS = 86_400
 
 
+def required(name: str) -> Column:
+    """A scope or key column; a NULL in it stops the job, as its row could not be masked."""
+    column = F.col(name)
+    return F.when(column.isNull(), F.raise_error(F.lit(f"NULL in {name}"))).otherwise(column)
+
+
 def first_sightings(findings: DataFrame) -> DataFrame:
     """One row per (scope, value) at its first position; that position's label wins."""
     first = findings.groupBy("scope", F.col("value").alias("_value")).agg(
@@ -146,8 +152,7 @@ def attach_entries(
         return texts.join(entries, list(keys), "left")
     touched = F.coalesce(touched, F.lit(False))
     joined = texts.where(touched).join(entries, list(keys), "left")
-    untouched = texts.where(~touched).withColumn("entries", F.lit(None).cast(ENTRIES))
-    return joined.unionByName(untouched)
+    return joined.unionByName(texts.where(~touched), allowMissingColumns=True)
 
 
 def tokens_for(findings: DataFrame, token_map: DataFrame) -> DataFrame:

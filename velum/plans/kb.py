@@ -193,9 +193,7 @@ def lexicon_kb(spark):
 )
 def label_columns(spark, root):
     fields = derived(spark, root, "customer", FIELDS.replace('"table"', "`table`"))
-    labels = K.label_headers(fields, lexicon_kb(spark), fuzzy=False)
-    known = labels.select(F.col("field").alias("_field"), F.col("db").alias("_db"), F.col("table").alias("_table"), "label", "match")
-    return fields.join(known, K._same(["field", "db", "table"]), "left").select("c_custkey", "field", "label", "match")
+    return K.with_labels(fields, lexicon_kb(spark), fuzzy=False).select("c_custkey", "field", "label", "match")
 
 
 TYPED = ("telefonnummer", "date_naissance", "customer_name", "numero_contrat", "vertragsnummer", "first_name", "last_name",
