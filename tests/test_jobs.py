@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from velum.functions.patterns import DetectorConfig, Pattern
-from velum.operators import audit, chat, corpus, detect, kb, mask, payloads, registry, tokens
+from velum.operators import audit, chat, columns, corpus, detect, kb, mask, payloads, registry, tokens
 from velum.operators.query import masked_query
 from velum.plans.text import lexicon_model
 from velum.sources import catalog
 from velum.streaming import mask as stream_mask
-from velum.streaming import restore
+from velum.streaming import bursts, restore
 from tests_helpers import feed, lexicon
 
 
@@ -324,3 +324,27 @@ def test_audit_append_and_retention(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "audit"))
     assert audit.audit_retention(table, F.to_date(F.lit("2024-05-30"))).count() == 2
     assert audit.audit_retention(table, F.to_date(F.lit("2024-05-31"))).count() == 0
+
+
+def test_bursts_on_a_stream_equal_the_table(spark, tmp_path):
+    rows = [("2024-01-01 00:00:00.0", "pattern"), ("2024-01-01 00:00:02.5", "model"), ("2024-01-01 00:00:05.1", "pattern"),
+            ("2024-01-01 01:00:00.0", "pattern")]
+    schema = "ts string, source string"
+    source = feed(spark, tmp_path / "in", schema, [rows[:2], rows[2:]])
+    at_rest = bursts.event_bursts(spark.createDataFrame(rows, schema), F.col("ts"), ["pattern", "model"]).collect()
+    assert sorted(r["total"] for r in at_rest) == [1, 1, 2]
+    live = bursts.event_bursts(source, F.col("ts"), ["pattern", "model"], delay="1 minute")
+    out = str(tmp_path / "out")
+    live.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).outputMode(
+        "append").trigger(availableNow=True).start().awaitTermination()
+    # the last burst stays open until the watermark passes it
+    assert sorted(r["total"] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_own_classifier(spark):
+    def shout(profiles):
+        return profiles.withColumns({"strategy": F.lit("redact"), "label": F.lit("REDACT"), "confidence": F.lit(0.6), "regex": F.lit(None).cast("string")})
+
+    table = spark.createDataFrame([("a", 1)], "x string, y int")
+    rows = columns.scan_catalog({"t": table}, None, classifier=shout).collect()
+    assert {(r["column"], r["label"], r["status"]) for r in rows} == {("x", "REDACT", "pending"), ("y", "REDACT", "pending")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,9 @@ STRATEGY_LABELS = {
     "keep": None,
 }
 
+# profile rows in, the same rows with strategy, label, confidence and regex out
+Classifier = Callable[[DataFrame], DataFrame]
+
 # Share of values that must agree before values alone decide.
 AGREE = 0.8
 
@@ -217,9 +220,15 @@ def resolve_answers(answers: DataFrame, raw: str = "raw") -> DataFrame:
 # ---- scan ------------------------------------------------------------------
 
 
-def label_profiles(profiles: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Label proposals from column profiles (db, table, column, sql_type, ...)."""
-    return classify(profiles).select(
+def label_profiles(
+    profiles: DataFrame, threshold: float = 0.7, classifier: Classifier | None = None
+) -> DataFrame:
+    """Label proposals from column profiles (db, table, column, sql_type, ...).
+
+    ``classifier`` adds strategy, label, confidence and regex to the profile rows; a
+    model runs here over one row per column.
+    """
+    return (classifier or classify)(profiles).select(
         "db", "table", "column", "sql_type", "n_values", "strategy", "label", "confidence",
         F.when(F.col("label").isNotNull(), approval(F.col("confidence"), threshold)).alias("status"),
         "regex",
@@ -252,6 +261,7 @@ def scan_catalog(
     db: str | None,
     kb: DataFrame | None = None,
     threshold: float = 0.7,
+    classifier: Classifier | None = None,
 ) -> DataFrame:
     """Scan several tables; columns with an active label for this place are skipped unread.
 
@@ -273,7 +283,7 @@ def scan_catalog(
         )
         # bounded by the inventory above
         skip = {(r["table"], r["column"]) for r in hit.select("table", "column").collect()}
-    return label_profiles(profile_catalog(tables, db, skip), threshold)
+    return label_profiles(profile_catalog(tables, db, skip), threshold, classifier)
 
 
 def scan_summary(scan: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from velum.functions.flatten import flatten, open_nested, sql_fields
 from velum.functions.formats import detect_format
 from velum.functions.patterns import DetectorConfig, find_spans
 from velum.functions.rewrite import replace_by_format, with_blob_entries
-from velum.operators.columns import classify, column_profile
+from velum.operators.columns import Classifier, classify, column_profile
 from velum.operators.kb import is_pii, with_labels
 from velum.operators.tokens import assign_tokens, entry_lists, required, tokens_for
 from velum.session import stage
@@ -187,6 +187,7 @@ def mask_payloads(
     existing: DataFrame | None = None,
     high_water: DataFrame | None = None,
     drop_empty: bool = True,
+    classifier: Classifier = classify,
 ) -> MaskedPayloads:
     """Mask JSON, XML, CSV, pipe-table, SQL and free-text payloads.
 
@@ -235,7 +236,7 @@ def mask_payloads(
         "scope", "doc_id", "ord", "field", "h.*"
     )
     open_values = looked.where("label IS NULL AND field IS NOT NULL AND size(hits) = 0 AND value IS NOT NULL")
-    suggestions = classify(
+    suggestions = classifier(
         column_profile(open_values, columns, "value").withColumn("column", F.col("field"))
     ).where("label IS NOT NULL")
     suggestions = stage(suggestions, "suggestions")

@@ -68,6 +68,29 @@ def mask_conversations(spark, root):
     return chat.mask_conversations(turns, skip_roles=["system"]).rows.select("conv_id", "turn", "text")
 
 
+def body_of(role: str, text: str) -> str:
+    return f"""concat('{{"messages": [{{"role": "', {role}, '", "content": [{{"type": "text", "text": ', {text}, '}}]}}]}}')"""
+
+
+@query(
+    "mask_chat_bodies",
+    f"""WITH t AS (SELECT conv_id * 100 + turn AS doc_id, role, scope, text FROM (SELECT {TURNS} FROM conversations)), found AS (
+      SELECT scope, doc_id, 0 AS ord, start, prio, value, label FROM ({spans_sql('t', 'scope, doc_id', 'text')})),
+    tokens AS ({tokens_sql('found')}),
+    lists AS (SELECT doc_id, list({{'k': f.value, 'v': token}} ORDER BY length(f.value) DESC, f.value) AS e
+      FROM (SELECT DISTINCT scope, doc_id, value FROM found) f JOIN tokens k ON k.scope = f.scope AND k.value = f.value GROUP BY ALL)
+    SELECT doc_id AS body_id, {body_of('role', "to_json(CASE WHEN e IS NULL THEN text ELSE list_reduce(e, lambda a, x: replace(a, x.k, x.v), text) END)::VARCHAR")} AS body
+    FROM t LEFT JOIN lists USING (doc_id)""",
+)
+def mask_chat_bodies(spark, root):
+    turns = derived(spark, root, "conversations", TURNS)
+    quoted = F.to_json(F.struct(F.col("text").alias("t")))
+    rows = turns.withColumn("q", F.substring(quoted, F.lit(6), F.length(quoted) - 6)).select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("body_id"), "scope", F.expr(body_of("role", "q")).alias("body")
+    )
+    return chat.mask_bodies(rows).rows.select("body_id", "body")
+
+
 PARTLY = """o_orderkey, concat('[PERSONNE_', cast(o_custkey as string), '] ', case when o_orderkey % 3 = 0 then 'et [TEL_4]' else o_orderpriority end,
  case when o_orderkey % 4 = 0 then ' avec un long texte qui suit les jetons' else '' end) AS text"""
 
