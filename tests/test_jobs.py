@@ -327,13 +327,13 @@ def test_audit_append_and_retention(spark, tmp_path):
 
 
 def test_bursts_on_a_stream_equal_the_table(spark, tmp_path):
-    rows = [("2024-01-01 00:00:00.0", "pattern"), ("2024-01-01 00:00:02.5", "model"), ("2024-01-01 00:00:05.1", "pattern"),
-            ("2024-01-01 01:00:00.0", "pattern")]
-    schema = "ts string, source string"
+    rows = [("u", "2024-01-01 00:00:00.0", "pattern"), ("u", "2024-01-01 00:00:02.5", "model"),
+            ("u", "2024-01-01 00:00:05.1", "pattern"), ("u", "2024-01-01 01:00:00.0", "pattern")]
+    schema = "scope string, ts string, source string"
     source = feed(spark, tmp_path / "in", schema, [rows[:2], rows[2:]])
-    at_rest = bursts.event_bursts(spark.createDataFrame(rows, schema), F.col("ts"), ["pattern", "model"]).collect()
+    at_rest = bursts.event_bursts(spark.createDataFrame(rows, schema), F.col("ts"), ["pattern", "model"], by=["scope"]).collect()
     assert sorted(r["total"] for r in at_rest) == [1, 1, 2]
-    live = bursts.event_bursts(source, F.col("ts"), ["pattern", "model"], delay="1 minute")
+    live = bursts.event_bursts(source, F.col("ts"), ["pattern", "model"], by=["scope"], delay="1 minute")
     out = str(tmp_path / "out")
     live.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).outputMode(
         "append").trigger(availableNow=True).start().awaitTermination()

@@ -179,7 +179,7 @@ def approval(confidence: Column, threshold: float = 0.7) -> Column:
     return F.when(confidence >= threshold, "active").otherwise("pending")
 
 
-_STRATEGY = r"(?i)(mask_name|mask_email|mask_phone|mask_date|mask_address|mask_plate|mask_id|redact|keep)"
+_STRATEGY = "(?i)(" + "|".join(STRATEGY_LABELS) + ")"
 
 
 def resolve_answers(answers: DataFrame, raw: str = "raw") -> DataFrame:

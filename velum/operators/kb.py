@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -347,14 +348,24 @@ def version_of(rows: DataFrame) -> DataFrame:
     )
 
 
+VERSIONS = "version string, published_at timestamp"
+
+
 def publish(rows: DataFrame, root: str) -> str:
     """Write the snapshot under its version; writing the same content again is a no-op."""
     spark = rows.sparkSession
     version = version_of(rows).first()["version"]
     try:
-        spark.read.text(f"{root}/{version}/items").limit(1).count()
-    except Exception:
-        rows.write.mode("overwrite").partitionBy("kind").json(f"{root}/{version}/items")
+        known = spark.read.schema(VERSIONS).json(f"{root}/versions")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    # the newest marker names what readers load; it is written after the items
+    newest = None if known is None else known.orderBy(F.desc("published_at")).first()
+    if newest is not None and newest["version"] == version:
+        return version
+    rows.write.mode("overwrite").partitionBy("kind").json(f"{root}/{version}/items")
     marker = spark.createDataFrame([(version,)], "version string").withColumn(
         "published_at", F.current_timestamp()
     )
@@ -374,7 +385,7 @@ class SnapshotReader:
         """True if a newer version was loaded."""
         try:
             newest = (
-                self.spark.read.schema("version string, published_at timestamp")
+                self.spark.read.schema(VERSIONS)
                 .json(f"{self.root}/versions")
                 .orderBy(F.desc("published_at"))
                 .first()

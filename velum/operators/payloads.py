@@ -97,7 +97,7 @@ def statement_findings(texts: DataFrame, kb: DataFrame) -> DataFrame:
         .select(
             "scope", "doc_id", "f.field", "f.value",
             # position in the text's run of literals: statement first, then literal
-            (F.col("_s") * 100_000 + F.col("_i")).cast("int").alias("start"),
+            (F.col("_s").cast("bigint") * 100_000 + F.col("_i")).alias("start"),
             F.lit(None).cast("string").alias("db"), F.lit(None).cast("string").alias("table"),
         )
     )

@@ -17,7 +17,8 @@ def event_bursts(
 ) -> DataFrame:
     """One row per burst: first and last event, count per kind, fields met, total.
 
-    Works on tables and, with ``delay`` as watermark, on streams.
+    Works on tables and, with ``delay`` as watermark, on streams; streams need a key
+    in ``by`` (the scope), which also keeps one busy table off a single task.
     """
     timed = events.withColumn("_ts", ts.cast("timestamp"))
     if delay:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from velum.functions.patterns import DetectorConfig
 from velum.operators.audit import audit_rows
@@ -18,7 +18,9 @@ def read_batches(spark: SparkSession, path: str, before: int | None = None, sche
     try:
         reader = spark.read if schema is None else spark.read.schema(schema + ", batch_id bigint")
         rows = reader.option("basePath", path).parquet(f"{path}/batch_id=*")
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return rows if before is None else rows.where(F.col("batch_id") < before)
 
