@@ -60,6 +60,14 @@ def test_might_match_agrees_with_find_spans(spark):
     assert [g["a"] for g in got] == [False, True, True, True, True, False, False, True, False]
 
 
+def test_python_spellings_run_on_the_jvm(spark):
+    assert patterns.java_regex(r"(?P<a>x)\Z") == r"(?U)(x)\z"
+    assert patterns.java_regex(r"x\\Z") == r"(?U)x\\Z"
+    custom = [patterns.Pattern("p", r"(?P<head>AB)-\d{2}\Z", "POLICE")]
+    spans = column(spark, ["x AB-12", "AB-12 x"], lambda c: patterns.find_spans(c, custom))
+    assert [[s["value"] for s in row] for row in spans] == [["AB-12"], []]
+
+
 @pytest.mark.parametrize(
     "regex, ok",
     [

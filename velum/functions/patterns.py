@@ -117,8 +117,11 @@ def load_patterns(table: DataFrame) -> list[Pattern]:
 
 
 def java_regex(regex: str) -> str:
-    """Unicode-aware classes and word bounds."""
-    return "(?U)" + regex
+    """A vetted pattern for the JVM: Unicode-aware classes and word bounds, Python's own
+    spellings of named groups and of the text end replaced."""
+    plain = re.sub(r"\(\?P<\w+>", "(", regex)
+    plain = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", plain)
+    return "(?U)" + plain
 
 
 def _grouped(patterns: Iterable[Pattern]) -> tuple[list[Pattern], list[Pattern]]:
