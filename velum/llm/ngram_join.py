@@ -26,7 +26,7 @@ from velum.llm.common import bounded, content_key, stage
 WORDS = 4
 #: Two documents link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: 64-bit parts of the bitmap that bounds how much two sets differ.
+#: 64-bit parts of the short bitmap that bounds how much two sets differ; the long one has a bit per n-gram or more.
 BITMAP = 8
 #: N-grams that are ordered by how common they are; the rest count as rare. Only the order
 #: depends on it, never which pairs are found.
@@ -69,11 +69,11 @@ def shingles(text: str | None, hashes: WordHashes, width: int = WORDS) -> np.nda
     return np.unique(mixed(out))
 
 
-def class_of(tokens: np.ndarray) -> str | None:
+def class_of(tokens: np.ndarray) -> bytes | None:
     """128 bits that stand for a set; NULL for the empty one."""
     import xxhash
 
-    return xxhash.xxh3_128_hexdigest(tokens.tobytes()) if len(tokens) else None
+    return xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
 
 
 def survey(width: int):
@@ -122,14 +122,19 @@ class Order:
         return np.where(self.tokens[at] == tokens, self.rank[at], 0)
 
 
-def bitmap(tokens: np.ndarray) -> list[int]:
-    """Parity of the set in each of 64 * BITMAP buckets: two sets differ in at least as many n-grams as bits."""
-    odd = np.bincount((tokens % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+def bitmap(tokens: np.ndarray, size: int) -> list[int]:
+    """Parity of the set in each of ``size`` buckets: two sets differ in at least as many n-grams as bits."""
+    odd = np.bincount((tokens % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def long_size(n: int) -> int:
+    """Bits of the long bitmap of a set of ``n``: a power of two, so that one folds onto another."""
+    return max(64 * BITMAP, 1 << (n - 1).bit_length())
 
 
 def prefixes(order, width: int, percent: int):
-    """Classes (c, g, n, bits), and their prefixes (token, g, common), once per task."""
+    """Classes (c, g, n, bits, long), and their prefixes (token, g, common), once per task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -148,17 +153,17 @@ def prefixes(order, width: int, percent: int):
                 rank = known.ranks(s)
                 first = np.lexsort((s, rank))[: n - -(-percent * n // 100) + 1]
                 g = xxhash.xxh3_64_intdigest(s[first].tobytes() + n.to_bytes(8, "little")) - (1 << 63)
-                classes.append((c, g, n, bitmap(s)))
+                classes.append((c, g, n, bitmap(s, 64 * BITMAP), bitmap(s, long_size(n))))
                 if g not in groups:
                     groups.add(g)
                     posts.append((s[first].view(np.int64), g, rank[first] > 0))
             if classes:
-                k = pd.DataFrame(classes, columns=["c", "g", "n", "bits"])
+                k = pd.DataFrame(classes, columns=["c", "g", "n", "bits", "long"])
                 yield k.assign(token=0, common=False)
             if posts:
                 size = [len(p[0]) for p in posts]
                 yield pd.DataFrame({
-                    "c": None, "g": np.repeat([p[1] for p in posts], size), "n": 0, "bits": None,
+                    "c": None, "g": np.repeat([p[1] for p in posts], size), "n": 0, "bits": None, "long": None,
                     "token": np.concatenate([p[0] for p in posts]), "common": np.concatenate([p[2] for p in posts]),
                 })
 
@@ -184,27 +189,49 @@ def sets_of(width: int):
     return run
 
 
-def may_link(n1: Column, n2: Column, bits1: Column, bits2: Column, percent: int) -> Column:
-    """What size and bitmap leave possible: bits that differ <= n-grams that may differ."""
-    size = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
-    odd = F.bit_count(bits1[0].bitwiseXOR(bits2[0]))
+def sizes_may(n1: Column, n2: Column, percent: int) -> Column:
+    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+
+
+def bits_may(odd: Column, n1: Column, n2: Column, percent: int) -> Column:
+    """Bits that differ are at most the n-grams that differ, and so many may."""
+    return odd * (100 + percent) <= (n1 + n2) * (100 - percent)
+
+
+def short_odd(a: Column, b: Column) -> Column:
+    odd = F.bit_count(a[0].bitwiseXOR(b[0]))
     for i in range(1, BITMAP):
-        odd = odd + F.bit_count(bits1[i].bitwiseXOR(bits2[i]))
-    return size & (odd * (100 + percent) <= (n1 + n2) * (100 - percent))
+        odd = odd + F.bit_count(a[i].bitwiseXOR(b[i]))
+    return odd
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """The staged ``pairs`` (a, b) whose whole sets reach the similarity."""
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    wanted = stage(reps.join(wanted, "c").select("c", "rep"), "wanted")
+def long_odd(a: Column, b: Column) -> Column:
+    """Bits that differ; the longer bitmap, at most twice as long, is folded first."""
+
+    def folded(x: Column, other: Column) -> Column:
+        half = F.greatest(F.expr("1"), (F.size(x) / 2).cast("int"))
+        both = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(other), both).otherwise(x)
+
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
+
+
+def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose whole sets reach the similarity; those their long bitmaps rule out go first."""
+    own = members.select("c", "n", "long", "rep")
+    pairs = pairs.join(own.toDF("a", "n1", "long1", "rep1"), "a").join(own.toDF("b", "n2", "long2", "rep2"), "b")
+    pairs = pairs.where(bits_may(long_odd(F.col("long1"), F.col("long2")), F.col("n1"), F.col("n2"), percent))
+    pairs = stage(pairs.select("a", "b", "rep1", "rep2"), "pairs")
+    wanted = pairs.select(F.col("a").alias("c"), F.col("rep1").alias("rep")).union(pairs.select(F.col("b").alias("c"), F.col("rep2").alias("rep")))
+    wanted = stage(wanted.distinct(), "wanted")
     few = bounded(wanted.select("rep").distinct(), MOST_BROADCAST)
-    own = docs.join(few, docs["id"].eqNullSafe(few["rep"]), "left_semi").select("text")
-    sets = own.mapInPandas(sets_of(width), "c string, tokens array<bigint>").join(wanted.select("c"), "c", "left_semi")
-    sets = stage(sets.dropDuplicates(["c"]), "sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    texts = docs.join(few, docs["id"].eqNullSafe(few["rep"]), "left_semi").select("text")
+    sets = texts.mapInPandas(sets_of(width), "c binary, tokens array<bigint>").join(bounded(wanted.select("c"), MOST_BROADCAST), "c", "left_semi")
+    sets = stage(sets, "sets")
+    both = pairs.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
     linked = F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent
-    return stage(both.where(linked).select("a", "b"), "links")
+    return stage(both.where(linked).select("a", "b").distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,7 +266,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     keyed = docs.select("id", *content_key(F.col("text")), "text")
-    seen = stage(keyed.mapInPandas(survey(width), "id long, k1 long, k2 long, n int, c string, token long, seen long"), "survey")
+    seen = stage(keyed.mapInPandas(survey(width), "id long, k1 long, k2 long, n int, c binary, token long, seen long"), "survey")
     rows = seen.where("seen = 0").select("id", "k1", "k2", "n", "c")
     reps = stage(rows.where("c is not null").groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     common = seen.where("seen > 0").groupBy("token").agg(F.sum("seen").alias("seen"))
@@ -247,41 +274,41 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     order = spark.sparkContext.broadcast(Order(common["token"].to_numpy(np.int64).view(np.uint64), common["seen"].to_numpy(np.int64)))
 
     parts = stage(docs.select("text").mapInPandas(
-        prefixes(order, width, percent), "c string, g long, n int, bits array<bigint>, token long, common boolean"), "prefixes")
-    members = parts.where("c is not null").select("c", "g", "n", "bits").dropDuplicates(["c"])
+        prefixes(order, width, percent), "c binary, g long, n int, bits array<bigint>, long array<bigint>, token long, common boolean"), "prefixes")
+    members = parts.where("c is not null").select("c", "g", "n", "bits", "long").dropDuplicates(["c"])
     posts = parts.where("c is null").select("token", "g", "common")
-    # n-grams known as common are shared, so only the rare ones need to be counted: no long list is gathered
+    # n-grams known as common are shared, so only the rare ones need to be counted: no long list is gathered;
+    # the many n-grams that only the same two groups share become one list
     w = Window.partitionBy("token")
-    rare = posts.where("not common").select("token", "g", F.min("g").over(w).alias("lo"), F.max("g").over(w).alias("hi"))
-    shared = rare.where("lo <> hi").select("token", "g").union(posts.where("common").select("token", "g")).distinct()
-    members = stage(members.join(reps.select("c", "copies"), "c"), "members")
+    rare = posts.where("not common").select("token", "g", F.min("g").over(w).alias("lo"), F.max("g").over(w).alias("hi"), F.count("*").over(w).alias("k"))
+    rare = rare.where("lo <> hi").select(F.when(F.col("k") == 2, F.xxhash64("lo", "hi")).otherwise(F.col("token")).alias("token"), "g")
+    shared = rare.union(posts.where("common").select("token", "g")).distinct()
+    members = stage(members.join(reps, "c"), "members")
     inside = members.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.col("g").alias("token"), "g")  # of one group
-    lists = shared.union(inside).join(members.select("g", "c"), "g").select("token", "c")
-    lists = stage(lists, "lists")
-    share = lists.groupBy("c").agg(F.count("*").alias("posts"))
-    members = stage(members.join(share, "c").withColumn("share", F.col("posts") / F.col("n")), "members")
-
-    whole = stage(lists.join(members, "c").select(
-        "token", "c", "n", "bits", "copies", "share", F.floor(F.log("n") / np.log(100 / percent)).alias("band")), "lists-whole")
-    hubs = whole.groupBy("token", "band").agg(F.max(F.struct("copies", "share", "c", "n", "bits")).alias("hub"))
-    first = whole.join(hubs, ["token", "band"]).where(F.col("c") != F.col("hub.c"))
-    first = first.where(may_link(F.col("n"), F.col("hub.n"), F.col("bits"), F.col("hub.bits"), percent))
+    lists = stage(shared.union(inside).join(members.select("g", "c", "n", "copies"), "g").select("token", "c", "n", "copies"), "lists")
+    share = stage(lists.groupBy("c").agg((F.count("*") / F.max("n")).alias("share")), "share")
+
+    lists = stage(lists.join(share, "c").withColumn("band", F.floor(F.log("n") / np.log(100 / percent)).cast("int")), "lists")
+    hubs = lists.groupBy("token", "band").agg(F.max(F.struct("copies", "share", "c", "n")).alias("hub"))
+    first = lists.join(hubs, ["token", "band"]).where((F.col("c") != F.col("hub.c")) & sizes_may(F.col("n"), F.col("hub.n"), percent))
     first = stage(first.select(F.col("c").alias("a"), F.col("hub.c").alias("b")).distinct(), "pairs")
-    links = verified(first, docs, reps, width, percent)
+    links = verified(first, members, docs, width, percent)
 
-    parted = whole.join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c")).drop("copies", "share", "band")
+    parted = lists.select("token", "c").join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
     parted = stage(parted, "parted")
     counts = parted.groupBy("token", "label").agg(F.count("*").alias("k"))
     major = counts.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.count("*").alias("labels"))
     major = stage(major.where("labels > 1").select("token", "major"), "major")
-    parted = parted.join(major, "token")
+    parted = stage(parted.join(major, "token").join(members.select("c", "n", "bits"), "c"), "parted")
     m, o = parted.where("label <> major").alias("m"), parted.alias("o")
     second = m.join(o, (F.col("m.token") == F.col("o.token")) & (F.col("m.label") != F.col("o.label"))
                     & ((F.col("o.label") == F.col("o.major")) | (F.col("m.c") < F.col("o.c")))
-                    & may_link(F.col("m.n"), F.col("o.n"), F.col("m.bits"), F.col("o.bits"), percent))
+                    & sizes_may(F.col("m.n"), F.col("o.n"), percent)
+                    & bits_may(short_odd(F.col("m.bits"), F.col("o.bits")), F.col("m.n"), F.col("o.n"), percent))
     second = second.select(F.least("m.c", "o.c").alias("a"), F.greatest("m.c", "o.c").alias("b")).distinct()
-    second = stage(second.join(first, ["a", "b"], "left_anti").join(first.toDF("b", "a"), ["a", "b"], "left_anti"), "pairs")
-    links = links.union(verified(second, docs, reps, width, percent))
+    met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = stage(second.join(met, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(verified(second, members, docs, width, percent))
 
     named = reps.join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
