@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm.common import bounded, content_key, lower_ascii, stage
+from velum.llm.common import UPPER, bounded, content_key, lower_ascii, stage
 
 #: What stands between words: ASCII other than letters and digits.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -20,8 +20,17 @@ ANCHOR = 4
 MOST_BROADCAST = 1_000_000
 
 
+def plain_words(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
+
+
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAP), "")
+    return plain_words(lower_ascii(text))
+
+
+def folded(text: Column) -> Column:
+    """Lower case beyond A-Z as well, for the first look only: what is equal with A-Z lowered is equal here."""
+    return F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3"))  # the two small sigmas depend on what follows
 
 
 def windows(benchmark: DataFrame, item: str, text: str, width: int) -> DataFrame:
@@ -34,7 +43,7 @@ def windows(benchmark: DataFrame, item: str, text: str, width: int) -> DataFrame
     w = w.select("item", "len", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("at"))
     w = w.select("item", "len", F.slice("w", F.col("at"), F.col("len")).alias("w"))
     w = w.select("item", "len", F.least("len", F.lit(ANCHOR)).alias("anchor_len"), F.array_join("w", " ").alias("win"),
-                 F.xxhash64(F.array_join(F.slice("w", 1, ANCHOR), " ")).alias("anchor"))
+                 F.xxhash64(*[folded(F.get("w", F.lit(i))) for i in range(ANCHOR)]).alias("anchor"))
     return w.groupBy("win", "len", "anchor_len", "anchor").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
@@ -47,23 +56,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str
     found = stage(windows(benchmark, item, item_text, width), "windows")
     anchors = stage(found.select("anchor_len", "anchor", "len").distinct(), "anchors")
     lengths = sorted(r[0] for r in anchors.select("anchor_len").distinct().collect())  # 1 to ANCHOR
-    rows = docs.select(F.col(text).alias("_t")).where(F.col("_t").isNotNull())
-    rows = rows.select(*content_key(F.col("_t")), words(F.col("_t")).alias("w")).where(F.size("w") > 0)
+    rows = docs.select(F.col(text).alias("_t")).select("_t", F.array_remove(F.split(folded(F.col("_t")), GAP), "").alias("w"))
     shifted = [F.col("w").alias("s0")] + [
         F.slice("w", i + 1, F.greatest(F.size("w") - i, F.lit(0))).alias(f"s{i}") for i in range(1, max(lengths, default=1))
     ]
-    rows = rows.select("k1", "k2", "w", F.posexplode(F.arrays_zip(*shifted)).alias("at", "z"))
-    opening = [
-        F.struct(F.lit(n).alias("n"), F.xxhash64(F.concat_ws(" ", *[F.col("z")[f"s{i}"] for i in range(n)])).alias("h"))
-        for n in lengths
-    ]
-    if len(opening) == 1:
-        rows = rows.withColumn("o", opening[0])
-    else:
-        rows = rows.select("k1", "k2", "w", "at", F.explode(F.array(*opening) if opening else F.array(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("h")))).alias("o"))
-    rows = rows.join(bounded(anchors, MOST_BROADCAST), (F.col("o.h") == F.col("anchor")) & (F.col("o.n") == F.col("anchor_len")))
-    rows = rows.where(F.col("at") + F.col("len") <= F.size("w"))
-    rows = rows.select("k1", "k2", "at", F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ").alias("win"))
+    # outer explodes: an inner one is given a test for emptiness that computes the words a second time
+    rows = rows.select("_t", F.arrays_zip(*shifted).alias("z")).select("_t", F.posexplode_outer("z").alias("at", "z"))
+    opening = [F.xxhash64(*[F.col("z")[f"s{i}"] for i in range(n)]) for n in lengths or [0]]
+    rows = rows.select("_t", "at", opening[0].alias("anchor") if len(opening) == 1 else F.explode_outer(F.array(*opening)).alias("anchor"))
+    rows = rows.join(bounded(anchors.select("anchor", "len").distinct(), MOST_BROADCAST), "anchor")
+    rows = rows.select("_t", "at", "len", F.slice(plain_words(F.col("_t")), F.col("at") + 1, F.col("len")).alias("w"))
+    rows = rows.where(F.size("w") == F.col("len")).select(*content_key(F.col("_t")), "at", F.array_join("w", " ").alias("win"))
+    rows = rows.withColumn("win", F.translate("win", UPPER, UPPER.lower()))
     return rows.join(bounded(found, MOST_BROADCAST), "win").select("k1", "k2", "at", "len", "items")
 
 
@@ -101,7 +105,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
     counted; further columns of either table are ignored.
     """
     found = stage(hit_texts(docs, benchmark, text=text, **names), "hits")
-    rows = docs.select(F.col(key).alias("_key"), *content_key(F.col(text)), F.size(words(F.col(text))).cast("long").alias("n_words"))
+    rows = docs.select(F.col(key).alias("_key"), *content_key(F.col(text)), F.size(plain_words(F.col(text))).cast("long").alias("n_words"))
     rows = rows.join(bounded(found.drop("spans"), MOST_BROADCAST), ["k1", "k2"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return rows.select(
@@ -116,7 +120,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text
     found = stage(hit_texts(docs, benchmark, text=text, **names).select("k1", "k2", "n_hit"), "hits")
     found = bounded(found.toDF("_k1", "_k2", "_n"), MOST_BROADCAST)
     k1, k2 = content_key(F.col(text))
-    bad = (k1 == F.col("_k1")) & (k2 == F.col("_k2")) & (F.col("_n") * share >= F.size(words(F.col(text))))
+    bad = (k1 == F.col("_k1")) & (k2 == F.col("_k2")) & (F.col("_n") * share >= F.size(plain_words(F.col(text))))
     return docs.join(found, bad, "left_anti")
 
 

@@ -1,6 +1,6 @@
 """Licence scans: which licence families do a document's paragraphs declare?
 
-Every paragraph is classified by multinomial logistic regression on its words and word
+Every paragraph that can hold a template is classified by multinomial logistic regression on its words and word
 pairs, with a class for paragraphs that declare none; the probabilities are calibrated by
 a temperature on paragraphs that were not fitted on. A prediction counts if the paragraph
 also holds most of a template of that family.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from velum.llm.common import bounded, content_key, stage
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 14
 #: Paragraphs drawn from the documents for the class without licence, at most about so many.
 MOST_OTHER = 6_000
 NONE = "none"
@@ -48,7 +48,8 @@ ENDINGS = ["", "see the file for details", "all contributions are welcome", "."]
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}./\-]+|[.](?=\s|$)"), "")
+    """Lower-case words; dots, hyphens and slashes count inside a word only."""
+    return F.array_remove(F.split(F.rtrim(F.lower(text), F.lit(". ")), r"[./\-]*[^\p{L}\p{N}./\-]+"), "")
 
 
 def pairs(w: Column) -> Column:
@@ -58,8 +59,42 @@ def pairs(w: Column) -> Column:
     return F.when(F.size(w) > 1, joined).otherwise(F.array().cast("array<string>"))
 
 
-def grams(w: Column) -> Column:
-    return F.concat(w, pairs(w))
+def with_grams(rows: DataFrame) -> DataFrame:
+    """``_g``, hashes of the words ``_w`` and of each with the one after it."""
+    rows = rows.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    rest = F.slice("_h", F.lit(2), F.greatest(F.size("_h") - 1, F.lit(0)))
+    return rows.withColumn("_g", F.concat("_h", F.zip_with("_h", rest, lambda a, b: F.xxhash64(a, b)))).drop("_h")
+
+
+def cues() -> list[str]:
+    """Words of the templates without any of which no template can be matched.
+
+    A paragraph that matches lacks at most 1 - LEAST_MATCH of a template's word pairs, so
+    it holds a word of any set that touches more than that share of them.
+    """
+    out: set[str] = set()
+    texts = [t.split() for own in TEMPLATES.values() for t in own]
+    often = {w: sum(w in t for t in texts) for t in texts for w in t}
+    for t in texts:
+        pairs_ = set(zip(t, t[1:]))
+
+        def left() -> float:
+            return sum(not out.intersection(p) for p in pairs_) / len(pairs_)
+
+        # long words first, as they are rare in other paragraphs
+        for w in sorted(set(t), key=lambda w: (-len(w), -often[w], w)):
+            if left() < LEAST_MATCH:
+                break
+            if any(w in p for p in pairs_ if not out.intersection(p)):
+                out.add(w)
+    return sorted(out)
+
+
+def may_match(text: Column) -> Column:
+    low, found = F.lower(text), F.lit(False)
+    for w in cues():
+        found = found | F.contains(low, F.lit(w))
+    return found
 
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -68,22 +103,22 @@ def vectors(rows: DataFrame) -> DataFrame:
 
 def paragraphs(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
     """``keep``, at (from 0) and paragraph: the lines of each text that are not blank."""
-    rows = docs.select(*keep, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\R")).alias("at", "paragraph"))
+    rows = docs.select(*keep, F.posexplode_outer(F.split(F.coalesce(F.col(text), F.lit("")), r"\R")).alias("at", "paragraph"))
     return rows.where(F.col("paragraph").rlike(r"\S"))
 
 
-def template_match(w: Column, family: Column) -> Column:
-    """The largest share of the word pairs of a template of that family the words hold."""
-    own = pairs(w)
-    out = F.lit(0.0)
+def template_match(own: Column, family: Column | None = None) -> Column:
+    """The largest share of the word pairs of a template, of that family if one is given, that ``own`` holds."""
+    out = []
     for name, texts in TEMPLATES.items():
         shares = []
         for t in texts:
             held = t.split()
-            wanted = [" ".join(p) for p in zip(held, held[1:])]
-            shares.append(F.size(F.array_intersect(F.array(*map(F.lit, wanted)), own)) / F.lit(float(len(set(wanted)))))
-        out = F.when(family == name, F.greatest(*shares, F.lit(0.0))).otherwise(out)
-    return out
+            wanted = sorted({" ".join(p) for p in zip(held, held[1:])})
+            shares.append(F.size(F.array_intersect(F.array(*map(F.lit, wanted)), own)) / F.lit(float(len(wanted))))
+        best = F.greatest(*shares, F.lit(0.0))
+        out.append(best if family is None else F.when(family == name, best).otherwise(0.0))
+    return F.greatest(*out)
 
 
 class LicenceModel:
@@ -92,14 +127,15 @@ class LicenceModel:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``rows`` (paragraph) with family, score and match, only those that declare a licence."""
-        rows = rows.withColumn("_w", words(F.col("paragraph"))).withColumn("_g", grams(F.col("_w")))
+        rows = with_grams(rows.withColumn("_w", words(F.col("paragraph"))))
         rows = self.model.transform(vectors(rows)).withColumn("_a", vector_to_array("_m"))
         top = F.array_max("_a")
         best = F.array_position("_a", top).cast("int")
         score = 1 / F.aggregate("_a", F.lit(0.0), lambda s, a: s + F.exp((a - top) / self.temperature))
         rows = rows.withColumns({"family": F.element_at(F.array(*map(F.lit, self.names)), best), "score": score})
         rows = rows.where((F.col("family") != NONE) & (F.col("score") >= LEAST_SCORE))
-        return rows.withColumn("match", template_match(F.col("_w"), F.col("family"))).drop("_w", "_g", "_x", "_m", "_p", "_y", "_a")
+        rows = rows.withColumn("_pairs", pairs(F.col("_w")))
+        return rows.withColumn("match", template_match(F.col("_pairs"), F.col("family"))).drop("_w", "_pairs", "_g", "_x", "_m", "_p", "_y", "_a")
 
 
 def fit(docs: DataFrame, *, text: str = "text", most: int = MOST_OTHER) -> LicenceModel:
@@ -114,16 +150,17 @@ def fit(docs: DataFrame, *, text: str = "text", most: int = MOST_OTHER) -> Licen
     unit = F.pmod(F.xxhash64(F.lit("licence"), "paragraph"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     lines = docs.agg(F.sum(F.size(F.split(F.coalesce(F.col(text), F.lit("")), r"\R")))).first()[0] or 1
     other = paragraphs(docs, text).select("paragraph").where(unit < min(1.0, most / lines)).distinct()
-    holds = F.greatest(*[template_match(words(F.col("paragraph")), F.lit(name)) for name in TEMPLATES])
-    other = other.where(holds < LEAST_MATCH).select("paragraph", F.lit(NONE).alias("family"))
+    other = stage(other.withColumn("_w", words(F.col("paragraph"))), "licence-other").withColumn("_pairs", pairs(F.col("_w")))
+    other = other.withColumn("_holds", template_match(F.col("_pairs"))).where(F.col("_holds") < LEAST_MATCH).select("paragraph", F.lit(NONE).alias("family"))
     names = [NONE, *TEMPLATES]
     number = F.array_position(F.array(*map(F.lit, names)), F.col("family")) - 1
     blank = spark.createDataFrame([("-", NONE), ("the license plate of the car", NONE), ("she has a driving licence", NONE)], "paragraph string, family string")
     rows = own.unionByName(other).unionByName(blank)
-    rows = rows.select(number.cast("double").alias("_l"), grams(words(F.col("paragraph"))).alias("_g"), F.pmod(F.xxhash64("paragraph"), F.lit(4)).alias("_f"))
+    rows = rows.select(number.cast("double").alias("_l"), words(F.col("paragraph")).alias("_w"), F.pmod(F.xxhash64("paragraph"), F.lit(4)).alias("_f"))
+    rows = with_grams(rows)
     rows = stage(vectors(rows).select("_l", "_x", "_f").coalesce(4), "licence-fit")
     lr = LogisticRegression(featuresCol="_x", labelCol="_l", predictionCol="_y", probabilityCol="_p", rawPredictionCol="_m",
-                            regParam=1e-4, maxIter=40, family="multinomial")
+                            regParam=1e-4, maxIter=25, family="multinomial")
     model = lr.fit(rows.where("_f > 0"))
     held = model.transform(rows.where("_f = 0")).select("_l", vector_to_array("_m").alias("_a")).toPandas()  # a quarter of the fit's rows
     return LicenceModel(names, model, temperature(np.stack(held["_a"].to_numpy()), held["_l"].to_numpy(int)))
@@ -147,7 +184,9 @@ def scan(docs: DataFrame, model: LicenceModel, *, key: str = "doc_id", text: str
     none; ``families`` all confirmed ones, sorted, comma-joined; score and match are the
     licence's. NULL and empty texts declare none; repeated rows stay and are equal.
     """
-    found = model.predict(paragraphs(docs.where(F.col(text).isNotNull()), text, *content_key(F.col(text))))
+    likely = docs.where(may_match(F.col(text)))  # no other text has a paragraph that a template confirms
+    found = paragraphs(likely, text, *content_key(F.col(text))).where(may_match(F.col("paragraph")))
+    found = model.predict(found)
     found = found.where(F.col("match") >= LEAST_MATCH).groupBy("k1", "k2").agg(
         F.max_by(F.struct("family", "score", "match"), F.struct("score", "match", "family")).alias("best"),
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),

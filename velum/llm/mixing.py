@@ -18,16 +18,19 @@ from pyspark.sql import functions as F
 from velum.llm.common import content_key, stage
 
 #: Labelled documents used for fitting at most, and domains.
-MOST_FIT = 6_000
+MOST_FIT = 2_500
 MOST_DOMAINS = 50
 BUCKETS = 1 << 12
 RIDGE = 1e-3
 #: Steps at most; the largest miss of a domain's share at which they end; steps between two written tables.
 STEPS, ENOUGH, WRITTEN = 60, 1e-4, 10
+#: Steps also end where no share moves by more than this.
+STILL = 1e-6
 
 
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+"), "")
+    """Words between single spaces; a text without any other sign counts as it is."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), "")
 
 
 class DomainModel:
@@ -75,7 +78,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", te
     number = F.array_position(F.array(*map(F.lit, domains)), F.col("_d")) - 1
     rows = rows.where(F.col("_d").isin(domains)).withColumn("_l", number.cast("double"))
     lr = LogisticRegression(featuresCol="_x", labelCol="_l", predictionCol="_y", probabilityCol="_p", rawPredictionCol="_m",
-                            regParam=1e-3, maxIter=25, family="multinomial")
+                            regParam=1e-3, maxIter=12, family="multinomial")
     return DomainModel(domains, lr.fit(stage(vectors(rows).select("_x", "_l"), "mix-x").coalesce(4)), prior)
 
 
@@ -93,13 +96,13 @@ def fit_rates(rows: DataFrame, shares: list[float], *, steps: int = STEPS, enoug
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
         return rows, [0.0] * n
-    at, scale, step = [0.0] * n, None, 1 / (1 + RIDGE)
+    at, scale, step = [float("inf")] * n, None, 1 / (1 + RIDGE)
     for i in range(steps + 1):
         got = rows.agg(*sums).first()
-        at = [got[k] / total for k in range(n)]
+        last, at = at, [got[k] / total for k in range(n)]
         scale = scale or [max(a, 1e-6) for a in at]
         miss = [(a - s) for a, s in zip(at, shares)]
-        if max(map(abs, miss)) <= enough or i == steps:
+        if i == steps or max(map(abs, miss)) <= enough or max(abs(a - b) for a, b in zip(at, last)) <= STILL:
             break
         slope = sum((F.col("p")[k] * (m / q) for k, (m, q) in enumerate(zip(miss, scale))), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), F.col("rate") - step * (slope + RIDGE * (F.col("rate") - 1)))

@@ -123,8 +123,8 @@ def within(queries: DataFrame, fps: DataFrame, radius: int, bits: int = BITS) ->
 
     Both sides are reduced to distinct fingerprints first, so copies are not multiplied.
     """
-    q = queries.select("fp").distinct().select(F.col("fp").alias("query"), F.explode(table_keys(F.col("fp"), radius, 2, bits)).alias("key"))
-    d = fps.select("fp").distinct().select("fp", F.explode(table_keys(F.col("fp"), radius, 2, bits)).alias("key"))
+    q = queries.select("fp").distinct().select(F.col("fp").alias("query"), F.explode_outer(table_keys(F.col("fp"), radius, 2, bits)).alias("key"))
+    d = fps.select("fp").distinct().select("fp", F.explode_outer(table_keys(F.col("fp"), radius, 2, bits)).alias("key"))
     far = distance(F.col("query"), F.col("fp"), bits)
     return d.join(q, "key").where(far <= radius).select("query", "fp", far.alias("distance")).distinct()
 
@@ -189,7 +189,7 @@ def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     size = F.length("t.text")
     edited = F.concat(F.expr("substring(t.text, 1, length(t.text) - length(t.text) div 3)"), F.col("h.head"))
     both = t.join(h, same_on("t", "h")).select("t.id", "t.k1", "t.k2", F.col("t.text").alias("text"), edited.alias("edited"))
-    sides = both.select("id", "k1", "k2", F.explode(F.array(
+    sides = both.select("id", "k1", "k2", F.explode_outer(F.array(
         F.struct(F.lit(0).alias("side"), F.lit(None).cast("string").alias("sha"), F.col("text").alias("text")),
         F.struct(F.lit(1).alias("side"), F.sha2("edited", 256).alias("sha"), F.col("edited").alias("text")))).alias("s"))
     sides = sides.select("id", "k1", "k2", "s.side", "s.sha", F.col("s.text").alias("text"))

@@ -40,9 +40,10 @@ SECOND_PERSON = [
     "vous", "votre", "vos", "tú", "usted", "ustedes", "vosotros", "tus",
 ]
 
-WORD = re.compile(r"[^\W\d_]+")
-MASKED = re.compile(r"[^\W\d_]+[\d@$*!#|]+[^\W\d_]+")
-DRAWN = re.compile(r"([^\W\d_])\1\1")
+WORD = re.compile(r"\w+")
+#: Signs that stand for letters in masked spellings.
+MASKS = np.zeros(128, bool)
+MASKS[[ord(c) for c in "0123456789@$*!#|"]] = True
 FEATURES = [
     "length", "hits", "hit_density", "strongest", "sum_density", "known", "beginnings", "second", "nearest",
     "capitals", "exclaim", "punctuation", "masked", "drawn",
@@ -54,43 +55,59 @@ def entries(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if n <= len(word))]
 
 
-class Lexicon:
-    """Strength (log odds) of words; what a word is worth is kept, up to ``room`` words."""
+class Worth(dict):
+    """Strength (log odds) of words seen so far, 0 for most; the room for them is bounded."""
+
+    def __init__(self, strength: dict[str, float], room: int = 500_000):
+        super().__init__()
+        self.strength, self.room = strength, room
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > self.room:
+            self.clear()
+        get = self.strength.get
+        value = self[word] = max(get(k, 0.0) for k in entries(word))
+        return value
 
-    def __init__(self, strength: dict[str, float], room: int = 300_000):
-        self.strength, self.seen, self.room = strength, {}, room
 
-    def of(self, word: str) -> tuple[float, bool]:
-        got = self.seen.get(word)
-        if got is None:
-            own = self.strength.get(word, 0.0)
-            start = max((self.strength.get(k, 0.0) for k in entries(word)[1:]), default=0.0)
-            got = (max(own, start), start > own)
-            if len(self.seen) < self.room:
-                self.seen[word] = got
-        return got
+def masked_words(flat: np.ndarray) -> tuple[int, int, int, int]:
+    """Capitals, punctuation marks, letters masked inside words, and letters drawn out, of a text's code points."""
+    ascii_ = flat < 128
+    folded = flat | 32
+    letter = (ascii_ & (folded >= 97) & (folded <= 122)) | (flat >= 0xC0)
+    capital = np.count_nonzero((flat >= 65) & (flat <= 90)) + np.count_nonzero((flat >= 0xC0) & (flat <= 0xDE))
+    mark = ascii_ & (flat > 32) & ~letter & ~((flat >= 48) & (flat <= 57))
+    mask = ascii_ & MASKS[np.where(ascii_, flat, 0)]
+    # a run of masks counts if letters stand on both sides: what is no mask, in order, tells where runs lie
+    rest = np.flatnonzero(~mask)
+    gap = np.flatnonzero(np.diff(rest) > 1)
+    masked = np.count_nonzero(letter[rest[gap]] & letter[rest[gap + 1]])
+    drawn = np.count_nonzero((flat[2:] == flat[1:-1]) & (flat[1:-1] == flat[:-2]) & letter[2:])
+    return capital, int(np.count_nonzero(mark)), masked, drawn
+
+
+class Lexicon:
+    def __init__(self, strength: dict[str, float]):
+        self.strength, self.worth = strength, Worth(strength)
 
     def features(self, text: str) -> list[float]:
         words = WORD.findall(text.lower())
-        n = len(words)
-        worth = {w: self.of(w) for w in set(words)}
-        hot = {w: s for w, s in worth.items() if s[0] > 0}
+        n, kinds, worth = len(words), set(words), self.worth
+        hot = {w: s for w in kinds if (s := worth[w])}
         at = [i for i, w in enumerate(words) if w in hot] if hot else []
-        strengths = [hot[words[i]][0] for i in at]
-        you = [i for i, w in enumerate(words) if w in PERSONS]
+        strengths = [hot[words[i]] for i in at]
+        you = [] if PERSONS.isdisjoint(kinds) else [i for i, w in enumerate(words) if w in PERSONS]
         gap = 100.0
         if at and you:
             a, y = np.array(at), np.array(you)
             k = np.searchsorted(y, a)
             gap = float(min(100, np.abs(a - y[np.minimum(k, len(y) - 1)]).min(), np.abs(a - y[np.maximum(k - 1, 0)]).min()))
         size, per = max(1, len(text)), max(1, n)
-        flat = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        capital = np.count_nonzero((flat >= 65) & (flat <= 90)) + np.count_nonzero((flat >= 0xC0) & (flat <= 0xDE))
-        marks = np.count_nonzero((flat < 128) & (flat > 32) & ~((flat >= 48) & (flat <= 57)) & ~((flat >= 65) & (flat <= 90)) & ~((flat >= 97) & (flat <= 122)))
+        capital, marks, masked, drawn = masked_words(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32))
+        known = sum(words[i] in self.strength for i in at)
         return [
-            math.log1p(n), len(at), len(at) / per, max(strengths, default=0.0), sum(strengths) / per,
-            sum(not hot[words[i]][1] for i in at), sum(hot[words[i]][1] for i in at), len(you) / per, gap,
-            capital / size, text.count("!") / size, marks / size, len(MASKED.findall(text)) / per, len(DRAWN.findall(text)) / per,
+            math.log1p(n), len(at), len(at) / per, max(strengths, default=0.0), sum(strengths) / per, known, len(at) - known,
+            len(you) / per, gap, capital / size, text.count("!") / size, marks / size, masked / per, drawn / per,
         ]
 
 
