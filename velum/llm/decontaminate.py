@@ -14,6 +14,8 @@ from velum.llm.common import UPPER, bounded, content_key, lower_ascii, stage
 
 #: What stands between words: ASCII other than letters and digits.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same in a text that is not lower-cased yet.
+PLAIN_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a window that are looked up first.
 ANCHOR = 4
 #: Rows up to which the windows are broadcast (about 100 bytes each).
@@ -21,7 +23,7 @@ MOST_BROADCAST = 1_000_000
 
 
 def plain_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), PLAIN_GAP), "")
 
 
 def words(text: Column) -> Column:
@@ -127,10 +129,10 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **names) -> DataFrame:
     """The documents without the words inside windows, each cut with what follows it up to the next word."""
     found = stage(hit_texts(docs, benchmark, text=text, **names).select("k1", "k2", "spans"), "hits")
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    word = PLAIN_GAP.replace("[", "[^", 1)
     rows = docs.withColumns({"_k1": content_key(F.col(text))[0], "_k2": content_key(F.col(text))[1]})
     rows = rows.join(bounded(found.toDF("_k1", "_k2", "_spans"), MOST_BROADCAST // 10), ["_k1", "_k2"], "left")
-    units = F.regexp_extract_all(text, F.lit(f"{word}{GAP[:-1]}*"), F.lit(0))
+    units = F.regexp_extract_all(text, F.lit(f"{word}{PLAIN_GAP[:-1]}*"), F.lit(0))
     kept = F.filter(units, lambda u, i: ~F.exists("_spans", lambda s: (s["at"] <= i) & (i < s["end"])))
-    cut = F.concat(F.regexp_extract(text, f"^{GAP[:-1]}*", 0), F.array_join(kept, ""))
+    cut = F.concat(F.regexp_extract(text, f"^{PLAIN_GAP[:-1]}*", 0), F.array_join(kept, ""))
     return rows.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut)).select(*docs.columns)

@@ -256,7 +256,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document row: ``key``, n_shingles, component_id; c, the class of equal sets; k1, k2, the text's key.
+    """One row per document row: ``key``, n_shingles, component_id; label, the component itself; k1, k2, the text's key.
 
     ``component_id`` is the smallest key reachable by links, its own included. NULL, empty
     and blank texts have no n-grams, link with nothing and are their own component; rows
@@ -312,10 +312,10 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
 
     named = reps.join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = stage(named.join(least, "label").select("c", "component_id"), "components")
+    named = stage(named.join(least, "label").select("c", "component_id", "label"), "components")
     out = rows.join(named, "c", "left")
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"),
-                      F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "c", "k1", "k2")
+                      F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "label", "k1", "k2")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -324,21 +324,22 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how)
     Documents without n-grams all stay. Rows with a NULL key stay only if their component
     has no other; of rows that repeat the smallest key one stays.
     """
-    found = stage(classes(docs, key=key, text=text, **how).where("c is not null").select(F.col(key).alias("_id"), "component_id", "k1", "k2"), "found")
+    found = classes(docs, key=key, text=text, **how).where("label is not null")
+    found = stage(found.select(F.col(key).alias("_id"), "component_id", "label", "k1", "k2"), "found")
     own = F.col("_id").eqNullSafe(F.col("component_id"))
-    gone = bounded(stage(found.where(~own).select("_id", "k1", "k2").distinct(), "gone"), MOST_BROADCAST)
-    twice = found.where(own).groupBy("_id").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2")).alias("k")).where("n > 1")
-    twice = stage(twice.select("_id", "k.k1", "k.k2"), "twice")
+    first = found.where(own).groupBy("label", "_id").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n"))
+    again = stage(first.where("n > 1"), "again")  # where the smallest key is repeated: usually nowhere
+    other = found.where(own).join(again.select("label", "k"), "label").where("k1 <> k.k1 OR k2 <> k.k2")
+    gone = found.where(~own).select("_id", "k1", "k2").union(other.select("_id", "k1", "k2")).distinct()
+    gone = bounded(stage(gone, "gone"), MOST_BROADCAST)
     k1, k2 = content_key(F.col(text))
 
     def of(other: DataFrame) -> Column:
         return docs[key].eqNullSafe(other["_id"]) & k1.eqNullSafe(other["k1"]) & k2.eqNullSafe(other["k2"])
 
-    if not twice.limit(1).count():
-        return docs.join(gone, of(gone), "left_anti")
-    few = bounded(twice, MOST_BROADCAST)
-    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    once = docs.join(few, of(few), "left_semi").dropDuplicates([key])
     rest = docs.join(gone, of(gone), "left_anti")
-    rest = rest.join(few.select("_id"), rest[key].eqNullSafe(few["_id"]) & ~blank, "left_anti")
-    return rest.unionByName(once)
+    if not again.limit(1).count():
+        return rest
+    few = bounded(again.select("_id", "k.k1", "k.k2"), MOST_BROADCAST)
+    once = docs.join(few, of(few), "left_semi").dropDuplicates([key, text])
+    return rest.join(few, of(few), "left_anti").unionByName(once)
