@@ -2,8 +2,8 @@
 
 The terms of a text are its runs of up to five words, one ending at each word, so a term
 weighs as often as it occurs. Every term's hash votes on every bit with its sign; the
-fingerprint is the sign of the sums. Votes are added four bits at a time, packed into
-16-bit lanes of a long.
+fingerprint is the sign of the sums. Votes are added two bits at a time, in the halves of
+a long.
 """
 
 from __future__ import annotations
@@ -19,10 +19,8 @@ from velum.llm.common import content_key, stage
 #: Words of a term; bits of a fingerprint (a multiple of 64).
 WORDS = 5
 BITS = 128
-#: Terms whose votes fit a 16-bit lane; longer texts are added up in pieces.
-PIECE = 60_000
-LANES = 0x0001000100010001
-HALF = 0x0000FFFF0000FFFF
+#: The lowest bit of either half of a long: votes of two bits are added at a time, room for 2^32 terms.
+LANES = 0x0000000100000001
 
 
 def word_hashes(text: Column) -> Column:
@@ -43,30 +41,22 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str, bits: int = BITS,
         F.slice(F.concat(F.array_repeat(F.lit(None).cast("long"), i), F.col("_h")), F.lit(1), size).alias(f"h{i}")
         for i in range(1, words)
     ]
-    rows = rows.select(*keys, F.posexplode_outer(F.arrays_zip(*shifted)).alias("_at", "_z"))
+    rows = rows.select(*keys, F.explode_outer(F.arrays_zip(*shifted)).alias("_z"))
     term = F.when(F.col("_z").isNotNull(), F.xxhash64(*[F.col(f"_z.h{i}") for i in range(words)]))
-    rows = rows.select(*keys, F.expr(f"_at div {PIECE}").alias("_piece"), term.alias("_t0"))
-    rows = rows.select(*keys, "_piece", "_t0", *[F.when(F.col("_t0").isNotNull(), F.xxhash64("_t0", F.lit(i))).alias(f"_t{i}") for i in range(1, n)])
+    rows = rows.select(*keys, term.alias("_t0"))
+    rows = rows.select(*keys, "_t0", *[F.when(F.col("_t0").isNotNull(), F.xxhash64("_t0", F.lit(i))).alias(f"_t{i}") for i in range(1, n)])
     votes = [
         F.sum(F.shiftrightunsigned(F.col(f"_t{i}"), b).bitwiseAND(F.lit(LANES))).alias(f"_v{i}_{b}")
-        for i in range(n) for b in range(16)
+        for i in range(n) for b in range(32)
     ]
-    rows = rows.groupBy(*keys, "_piece").agg(F.count("_t0").alias("_n"), *votes)
-    halves = [
-        F.sum(part.bitwiseAND(F.lit(HALF))).alias(f"_v{i}_{b}_{side}")
-        for i in range(n) for b in range(16)
-        for side, part in enumerate((F.col(f"_v{i}_{b}"), F.shiftrightunsigned(F.col(f"_v{i}_{b}"), 16)))
-    ]
-    rows = rows.groupBy(*keys).agg(F.sum("_n").alias("_n"), *halves)
-    mask = F.lit((1 << 32) - 1)
+    rows = rows.groupBy(*keys).agg(F.count("_t0").alias("_n"), *votes)
 
     def word(i: int) -> Column:
         out = []
-        for b in range(16):
-            for lane in range(4):
-                half = F.col(f"_v{i}_{b}_{lane % 2}")
-                count = half.bitwiseAND(mask) if lane < 2 else F.shiftrightunsigned(half, 32)
-                bit = 1 << (b + 16 * lane)
+        for b in range(32):
+            v = F.col(f"_v{i}_{b}")
+            for lane, count in enumerate((v.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(v, 32))):
+                bit = 1 << (b + 32 * lane)
                 bit = bit - (1 << 64) if bit >= 1 << 63 else bit
                 out.append(F.when(2 * count > F.col("_n"), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
         return reduce(lambda x, y: x.bitwiseOR(y), out)
@@ -190,8 +180,8 @@ def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     edited = F.concat(F.expr("substring(t.text, 1, length(t.text) - length(t.text) div 3)"), F.col("h.head"))
     both = t.join(h, same_on("t", "h")).select("t.id", "t.k1", "t.k2", F.col("t.text").alias("text"), edited.alias("edited"))
     sides = both.select("id", "k1", "k2", F.explode_outer(F.array(
-        F.struct(F.lit(0).alias("side"), F.lit(None).cast("string").alias("sha"), F.col("text").alias("text")),
-        F.struct(F.lit(1).alias("side"), F.sha2("edited", 256).alias("sha"), F.col("edited").alias("text")))).alias("s"))
+        F.struct(F.lit(0).alias("side"), F.lit(None).cast("binary").alias("sha"), F.col("text").alias("text")),
+        F.struct(F.lit(1).alias("side"), F.unhex(F.sha2("edited", 256)).alias("sha"), F.col("edited").alias("text")))).alias("s"))
     sides = sides.select("id", "k1", "k2", "s.side", "s.sha", F.col("s.text").alias("text"))
     fps = stage(fingerprints(sides, ["id", "k1", "k2", "side", "sha"], "text", bits), "fingerprints")
     own = fps.where("side = 0").select("id", "k1", "k2", "fp")
@@ -201,7 +191,7 @@ def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     rows = rows.join(own.alias("x"), (F.col("p.next_k1") == F.col("x.k1")) & (F.col("p.next_k2") == F.col("x.k2")) & F.col("p.next_id").eqNullSafe(F.col("x.id")))
     fp, efp, nfp = F.col("o.fp"), F.col("e.edited_fp"), F.col("x.fp")
     return rows.select(
-        F.col("p.id").alias(key), F.col("p.n").alias("n_chars"), F.col("e.sha").alias("edited_sha256"),
+        F.col("p.id").alias(key), F.col("p.n").alias("n_chars"), F.lower(F.hex("e.sha")).alias("edited_sha256"),
         text_of(fp, bits).alias("fingerprint"), text_of(efp, bits).alias("edited_fingerprint"),
         likeness(fp, efp, bits).alias("near_edited"), likeness(fp, nfp, bits).alias("near_next"), fp.alias("fp"), F.explode(F.sequence(F.lit(1), F.col("p.repeats").cast("int"))),
     ).drop("col")
