@@ -348,3 +348,39 @@ def test_own_classifier(spark):
     table = spark.createDataFrame([("a", 1)], "x string, y int")
     rows = columns.scan_catalog({"t": table}, None, classifier=shout).collect()
     assert {(r["column"], r["label"], r["status"]) for r in rows} == {("x", "REDACT", "pending"), ("y", "REDACT", "pending")}
+
+
+def test_ids_repeat_over_scopes(spark):
+    from velum.operators.mask import mask_documents
+
+    docs = spark.createDataFrame([("a", 1, "x@a.ch z@a.ch"), ("b", 1, "z@a.ch y@a.ch")], "scope string, doc_id long, text string")
+    got = {r["scope"]: r["text"] for r in mask_documents(docs, "scope").rows.collect()}
+    assert got == {"a": "[EMAIL_1] [EMAIL_2]", "b": "[EMAIL_1] [EMAIL_2]"}
+
+
+def test_payload_of_many_fields_over_scopes(spark):
+    from velum.operators.payloads import mask_payloads
+
+    lines = "nom,ville,x\n" + "\n".join(f"Jean {i},Bern,{i}" for i in range(2000))
+    rows = spark.createDataFrame([("a", 1, lines), ("b", 1, "nom,ville,x\nMax Muster,Bern,1")], "scope string, doc_id long, text string")
+    result = mask_payloads(rows, lexicon(spark))
+    got = {r["scope"]: r["text"] for r in result.rows.collect()}
+    assert len(got) == 2 and result.rows.count() == 2
+    assert "Jean 1999" not in got["a"] and "Max Muster" not in got["b"]
+
+
+def test_samples_follow_typed_order(spark):
+    from velum.operators.columns import first_samples
+
+    got = first_samples(spark.range(1, 80).toDF("k"), ["k"], 50).orderBy("rank").collect()
+    assert [int(r["value"]) for r in got] == list(range(1, 51))
+
+
+def test_no_machine_local_stages_on_a_cluster():
+    from types import SimpleNamespace
+
+    from velum import session
+
+    conf = SimpleNamespace(get=lambda key, default=None: None)
+    with pytest.raises(RuntimeError):
+        session.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn")))

@@ -194,7 +194,7 @@ def mask_bodies(
     blocks = stage(chat_blocks(base, ["scope", "doc_id"]), "blocks")
     refused = (
         blocks.where("route = 'refuse'")
-        .groupBy("doc_id")
+        .groupBy("scope", "doc_id")
         .agg(F.concat(F.lit("unsupported block: "), F.min("type")).alias("reason"))
     )
     texts = blocks.where("route = 'mask'").select(
@@ -202,20 +202,21 @@ def mask_bodies(
     ).where(~is_blank(F.col("text")) & ~already_masked(F.col("text")))
     found = detect_entities(texts, ["scope", "doc_id", "msg", "block", "part"], hide_placeholders(F.col("text")), config)
     found = stage(
-        found.withColumn("ord", F.col("msg") * 1_000_000 + F.col("block") * 1_000 + F.col("part")), "findings"
+        found.withColumn("ord", F.shiftleft("msg", 42) + F.shiftleft("block", 21) + F.col("part")), "findings"
     )
     new = assign_tokens(found, existing, high_water)
     known = new if existing is None else new.unionByName(existing.select(*new.columns))
-    entries = entry_lists(tokens_for(found, known), ["doc_id"], "value", "token")
+    at = ["_scope", "doc_id"]
+    entries = entry_lists(tokens_for(found, known), ["scope", "doc_id"], "value", "token").withColumnRenamed("scope", "_scope")
     rows = (
-        bodies.withColumnsRenamed({key: "doc_id", body: "body"})
-        .join(refused.select("doc_id"), "doc_id", "left_anti")
-        .join(entries, "doc_id", "left")
+        bodies.withColumn("_scope", F.col(scope)).withColumnsRenamed({key: "doc_id", body: "body"})
+        .join(refused.select(F.col("scope").alias("_scope"), "doc_id"), at, "left_anti")
+        .join(entries, at, "left")
         .withColumn("body", _rewrite_body(F.col("body"), F.col("entries")))
         .withColumnsRenamed({"doc_id": key, "body": body})
         .select(*bodies.columns)
     )
-    return MaskedBodies(rows, refused.withColumnRenamed("doc_id", key), new, found)
+    return MaskedBodies(rows, refused.select(F.col("doc_id").alias(key), "reason"), new, found)
 
 
 # ---- one row per turn ----------------------------------------------------------

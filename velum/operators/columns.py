@@ -95,7 +95,7 @@ def first_samples(df: DataFrame, order: Sequence[str], n: int = 5, columns: Sequ
         raise ValueError("n must be between 1 and 1000")
     names = list(columns or df.columns)
     head = df.orderBy(*order).limit(n).select(
-        F.array(*[F.col(c).cast("string") for c in order]).alias("_o"),
+        F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)]).alias("_o"),  # typed, so 2 stays before 10
         *[F.col(c).cast("string").alias(c) for c in names],
     )
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in names])

@@ -99,19 +99,20 @@ def mask_documents(
     found = stage(found, "findings")
     new, known = token_findings(found, existing, high_water)
 
-    pairs = tokens_for(found, known).select("doc_id", "ord", "value", "token")
+    pairs = tokens_for(found, known).select("scope", "doc_id", "ord", "value", "token")
     touched = None
     if model_spans is None:
         touched = might_match(body, config.patterns)
         if kb is not None:
             touched = touched | F.coalesce(F.col("text").rlike(STATEMENT), F.lit(False))
-    renamed = docs.withColumnsRenamed({key: "doc_id", text: "text"})
+    # ids may repeat over scopes, so lists belong to (scope, id)
+    renamed = docs.withColumn("_scope", F.col(scope)).withColumnsRenamed({key: "doc_id", text: "text"})
     pair = F.struct(F.col("value").alias("key"), F.col("token").alias("value"))
-    lists = pairs.groupBy("doc_id").agg(
+    lists = pairs.groupBy(F.col("scope").alias("_scope"), "doc_id").agg(
         F.collect_set(F.when(F.col("ord") == 1, pair)).cast(ENTRIES).alias("entries"),
         F.collect_set(F.when(F.col("ord") == 0, pair)).cast(ENTRIES).alias("literals"),
     )
-    rows = attach_entries(renamed, lists, ["doc_id"], touched)
+    rows = attach_entries(renamed, lists, ["_scope", "doc_id"], touched)
     masked_text = F.col("text") if kb is None else splice_statements(F.col("text"), F.col("literals"))
     swap = (
         replace_in_sequence

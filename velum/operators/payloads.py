@@ -27,6 +27,11 @@ STATEMENT = (
 # Spark adds a filter on the array's size and builds it a second time for that.
 
 
+def in_order(outer: str, inner: str) -> Column:
+    """Two array positions as one number that sorts like them, for arrays of any size."""
+    return F.shiftleft(F.col(outer).cast("bigint"), 31) + F.col(inner).cast("bigint")
+
+
 # ---- readers ---------------------------------------------------------------
 
 
@@ -97,7 +102,7 @@ def statement_findings(texts: DataFrame, kb: DataFrame) -> DataFrame:
         .select(
             "scope", "doc_id", "f.field", "f.value",
             # position in the text's run of literals: statement first, then literal
-            (F.col("_s").cast("bigint") * 100_000 + F.col("_i")).alias("start"),
+            in_order("_s", "_i").alias("start"),
             F.lit(None).cast("string").alias("db"), F.lit(None).cast("string").alias("table"),
         )
     )
@@ -211,7 +216,7 @@ def mask_payloads(
     ).select(
         "scope", "doc_id", "db", "table", "fmt", "_outer",
         # all leaves in document order: outer position, then position inside
-        (F.col("_p") * 1_000_000 + F.col("_s")).cast("bigint").alias("ord"), "f.*",
+        in_order("_p", "_s").alias("ord"), "f.*",
     )
     fields = stage(fields, "leaves")
     columns = ["field", "db", "table"]
@@ -257,23 +262,24 @@ def mask_payloads(
 
     new = assign_tokens(findings, existing, high_water)
     token_map = new if existing is None else new.unionByName(existing.select(*new.columns))
-    entries = entry_lists(tokens_for(findings, token_map), ["doc_id"], "value", "token")
+    entries = entry_lists(tokens_for(findings, token_map), ["scope", "doc_id"], "value", "token")
     blobs = (
         fields.where("depth > 0 AND fmt IN ('sql', 'csv', 'table')")
-        .groupBy("doc_id")
+        .groupBy("scope", "doc_id")
         .agg(F.collect_set("_outer").alias("blobs"))
     )
     good = (
         read.where("error IS NULL")
-        .select("doc_id", F.when(F.get("fields", F.lit(0))["field"].isNull(), "freetext").otherwise(F.col("fmt")).alias("fmt"))
-        .join(entries, "doc_id", "left")
-        .join(blobs, "doc_id", "left")
+        .select("scope", "doc_id", F.when(F.get("fields", F.lit(0))["field"].isNull(), "freetext").otherwise(F.col("fmt")).alias("fmt"))
+        .join(entries, ["scope", "doc_id"], "left")
+        .join(blobs, ["scope", "doc_id"], "left")
         .withColumn("entries", with_blob_entries(F.col("blobs"), F.col("entries")))
         .drop("blobs")
+        .withColumnRenamed("scope", "_scope")
     )
     rows = (
-        payloads.withColumnsRenamed({key: "doc_id", text: "text"})
-        .join(good, "doc_id")
+        payloads.withColumn("_scope", F.col(scope)).withColumnsRenamed({key: "doc_id", text: "text"})
+        .join(good, ["_scope", "doc_id"])
         .withColumn("text", replace_by_format(F.col("fmt"), F.col("text"), F.col("entries")))
         .withColumnsRenamed({"doc_id": key, "text": text})
         .select(*payloads.columns, "fmt")

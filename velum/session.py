@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,11 +34,14 @@ _local_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a local one is made only where none is named (tests)."""
+    """The folder all executors see; a local one is made only where none is named and there is one machine."""
     global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"name a folder that all executors share in spark.checkpoint.dir; master is {master}")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="velum-stage-")
     return _local_dir
