@@ -6,6 +6,7 @@ inclusive indices.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,12 +25,8 @@ STRATEGY_LABELS = {
     "mask_id": "ID",
     "redact": "PII",
 }
-# Sentence templates, in the order they are tried.
-TEMPLATES = (
-    ("", ": ", ""),
-    ("La colonne ", " contient ", "."),
-    (None, " est la valeur de ", "."),
-)
+# Sentences in the order they are tried; a job can give its own.
+TEMPLATES = ("{column}: {value}", "Field {column} holds {value}.", "{value} stands under {column}.")
 # Labels every example lists.
 MENTION_LABELS = (
     "PERSON", "EMAIL", "PHONE", "DATE", "ADDRESS", "LICENSE_PLATE", "ID", "IBAN", "CONTRACT", "POLICY",
@@ -37,14 +34,9 @@ MENTION_LABELS = (
 MAX_VALUES = 3
 
 
-def _sentence(template: tuple, field: Column, value: Column) -> Column:
-    head, middle, tail = template
-    parts = (
-        [value, F.lit(middle), field, F.lit(tail)]
-        if head is None
-        else [F.lit(head), field, F.lit(middle), value, F.lit(tail)]
-    )
-    return F.concat(*parts)
+def _sentence(template: str, column: Column, value: Column) -> Column:
+    slots = {"{column}": column, "{value}": value}
+    return F.concat(*[slots.get(part, F.lit(part)) for part in re.split(r"(\{column\}|\{value\})", template) if part])
 
 
 def find_run(tokens: Column, run: Column) -> Column:
@@ -58,7 +50,7 @@ def find_run(tokens: Column, run: Column) -> Column:
     )
 
 
-def ner_examples(columns: DataFrame, keys: Sequence[str]) -> DataFrame:
+def ner_examples(columns: DataFrame, keys: Sequence[str], templates: Sequence[str] = TEMPLATES) -> DataFrame:
     """Column rows (column, strategy, values) to one example each.
 
     Templates are tried in order, and within one the first three values; the first
@@ -70,7 +62,7 @@ def ner_examples(columns: DataFrame, keys: Sequence[str]) -> DataFrame:
         *keys, "label", "column", F.posexplode(F.slice("values", 1, MAX_VALUES)).alias("_v", "value")
     ).select(
         *keys, "label", "_v", "value",
-        F.posexplode(F.array(*[_sentence(t, F.col("column"), F.col("value")) for t in TEMPLATES])).alias("_t", "_text"),
+        F.posexplode(F.array(*[_sentence(t, F.col("column"), F.col("value")) for t in templates])).alias("_t", "_text"),
     )
     tokens = tries.select(
         *keys, "label", "_v", "_t", words(F.col("_text")).alias("tokens"), words(F.col("value")).alias("_run")
