@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ FOLDS = 4
 #: Lexicon entries at most, by strength; documents an entry must be seen in.
 MOST_ENTRIES = 20_000
 LEAST_SEEN = 4
+#: Counts that a task holds before it hands them on to be summed.
+GATHERED = 100_000
 #: Lengths of word beginnings that can be entries.
 BEGINNINGS = range(3, 9)
 
@@ -58,7 +61,7 @@ def entries(word: str) -> list[str]:
 class Worth(dict):
     """Strength (log odds) of words seen so far, 0 for most; the room for them is bounded."""
 
-    def __init__(self, strength: dict[str, float], room: int = 500_000):
+    def __init__(self, strength: dict[str, float], room: int = 100_000):
         super().__init__()
         self.strength, self.room = strength, room
 
@@ -127,15 +130,23 @@ def features_udf(strength: dict[str, float]):
 
 
 def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(entry, fold, toxic, n): texts that hold a word or beginning, summed within a batch."""
+    """(entry, fold, toxic, other): texts that hold a word or beginning; partial sums, at most about GATHERED at a time."""
+    sums: Counter[tuple[str, int, int]] = Counter()
+
+    def partial() -> pd.DataFrame:
+        rows = pd.DataFrame(list(sums), columns=["entry", "fold", "_label"])
+        n = np.fromiter(sums.values(), np.int64, len(sums))
+        return rows.assign(toxic=n * rows["_label"], other=n * (1 - rows["_label"])).drop(columns="_label")
+
     for batch in batches:
-        sums: dict[tuple[str, int], list[int]] = {}
         for text, label, fold in zip(batch["_text"], batch["_label"], batch["_fold"]):
-            for key in {k for w in set(WORD.findall(text.lower())) for k in entries(w)}:
-                slot = sums.setdefault((key, fold), [0, 0])
-                slot[label] += 1
-        if sums:
-            yield pd.DataFrame([(k, f, c[1], c[0]) for (k, f), c in sums.items()], columns=["entry", "fold", "toxic", "other"])
+            keys = {k for w in set(WORD.findall(text.lower())) for k in entries(w)}
+            sums.update((k, fold, label) for k in keys)
+            if len(sums) >= GATHERED:
+                yield partial()
+                sums.clear()
+    if sums:
+        yield partial()
 
 
 def lexicons(rows: DataFrame, weight_other: float) -> list[dict[str, float]]:
