@@ -103,34 +103,46 @@ def whole_pieces(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     )
 
 
-def _read_frame(frame: str) -> tuple[str, dict | None, str]:
-    """(lines before the data, data object, rest) of one event frame."""
-    lines = frame.split("\n")
-    for i, line in enumerate(lines):
-        if line.startswith("data: "):
+DATA_LINE = re.compile(r"^data: (.*)$", re.M)
+
+
+def _at(node, *path):
+    """What lies at a path of names inside parsed JSON; None where the path ends early."""
+    for name in path:
+        node = node.get(name) if isinstance(node, dict) else None
+    return node
+
+
+class Frame:
+    """One event frame: its first data line, read as JSON, and the text around that line."""
+
+    def __init__(self, raw: str):
+        self.head, self.data, self.tail = raw, None, ""
+        if line := DATA_LINE.search(raw):
             try:
-                data = json.loads(line[6:])
+                data = json.loads(line[1])
             except ValueError:
-                return frame, None, ""
+                data = None
             if isinstance(data, dict):
-                return "".join(x + "\n" for x in lines[:i]), data, "\n" + "\n".join(lines[i + 1:])
-            break
-    return frame, None, ""
-
+                self.head, self.data, self.tail = raw[: line.start()], data, raw[line.end():]
 
-def _delta_text(data: dict) -> str | None:
-    delta = data.get("delta")
-    if data.get("type") != "content_block_delta" or not isinstance(delta, dict):
-        return None
-    text = delta.get("text", "")
-    return text if delta.get("type") == "text_delta" and isinstance(text, str) else None
+    @property
+    def text(self) -> str | None:
+        """The text of a text delta; None for any other frame."""
+        kinds = _at(self.data, "type"), _at(self.data, "delta", "type")
+        text = _at(self.data, "delta", "text")
+        return text if kinds == ("content_block_delta", "text_delta") and isinstance(text, str) else None
 
+    @property
+    def opens(self) -> int | None:
+        """The number of the text block that starts here."""
+        kinds = _at(self.data, "type"), _at(self.data, "content_block", "type")
+        index = _at(self.data, "index")
+        return index if kinds == ("content_block_start", "text") and isinstance(index, int) else None
 
-def _text_block(data: dict):
-    block = data.get("content_block")
-    starts = data.get("type") == "content_block_start" and isinstance(block, dict)
-    index = data.get("index")
-    return index if starts and block.get("type") == "text" and isinstance(index, int) else None
+    def payload(self) -> str:
+        """The data with its text taken out."""
+        return json.dumps(self.data | {"delta": self.data["delta"] | {"text": SLOT}}, ensure_ascii=False)
 
 
 def whole_frames(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
@@ -145,19 +157,15 @@ def whole_frames(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
         scope, next_seq, waiting, buffer, raw, block, sent = _load(state)
         rows = []
 
-        def send(seq, frame):
+        def send(seq, raw_frame):
             nonlocal buffer, block, sent
-            head, data, tail = _read_frame(frame)
-            text = None if data is None else _delta_text(data)
-            if data is not None:
-                started = _text_block(data)
-                block = block if started is None else started
-            if text is None:
-                rows.append((key[0], scope, seq, sent, frame, None, None, None))
-            else:
-                out, buffer = _cut_tail(buffer + text)
-                data["delta"]["text"] = SLOT
-                rows.append((key[0], scope, seq, sent, head, json.dumps(data, ensure_ascii=False), out, tail))
+            frame = Frame(raw_frame)
+            block = block if frame.opens is None else frame.opens
+            out = (raw_frame, None, None, None)
+            if frame.text is not None:
+                whole, buffer = _cut_tail(buffer + frame.text)
+                out = (frame.head, frame.payload(), whole, frame.tail)
+            rows.append((key[0], scope, seq, sent, *out))
             sent += 1
 
         def finish(seq):
