@@ -60,6 +60,13 @@ def test_might_match_agrees_with_find_spans(spark):
     assert [g["a"] for g in got] == [False, True, True, True, True, False, False, True, False]
 
 
+def test_grouped_ibans_and_foreign_digits(spark):
+    values = ["to CH93 0076 2011 6238 5295 7 please", "CH9300762011623852957", "AB12 CDEF", "\u0661\u0662.\u0661\u0662.\u0662\u0660\u0662\u0663"]
+    spans = column(spark, values, lambda c: patterns.find_spans(c, patterns.DEFAULT_PATTERNS))
+    assert [[(s["value"], s["label"]) for s in row] for row in spans] == [
+        [("CH93 0076 2011 6238 5295 7", "IBAN")], [("CH9300762011623852957", "IBAN")], [], []]
+
+
 def test_python_spellings_run_on_the_jvm(spark):
     assert patterns.java_regex(r"(?P<a>x)\Z") == r"(?U)(x)\z"
     assert patterns.java_regex(r"x\\Z") == r"(?U)x\\Z"
@@ -73,7 +80,9 @@ def test_python_spellings_run_on_the_jvm(spark):
     [
         (r"\bAB-\d{4}\b", True), ("[a-z]+", True), ("(ab){1,10}c*", True), ("(abc", False), ("", False), ("   ", False), (None, False),
         ("(a+)+", False), ("(a*b)*", False), ("(?:x{0,60})+", False), ("(?:a{1,5})+", True), ("(a|b+)*", False), ("(?=(a+)+)b", False),
-        ("a" * 201, False), ("a" * 200, True),
+        ("a" * 201, False), ("a" * 200, True), (r"(?P<a>x)(?P=a)", False), ("[[]x", False), ("(a)?(?(1)b|c)", False),
+        ("[a&&b]", False), ("a{,3}", False), ("(?a)x", False), (r"\[[a\]]{2,3}\{", True), (r"(?i)x[^\[]{4}", True),
+        ("((a+)b)+", False), ("a+b+c*", True), ("(?>a+)+", False),
     ],
 )
 def test_vet_regex(regex, ok):

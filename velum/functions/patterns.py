@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,19 +45,21 @@ class Pattern:
 
 # Identifier forms, labels and scores.
 IDENTIFIER_PATTERNS = [
-    Pattern("AVS", r"756\.\d{4}\.\d{4}\.\d{2}", "AVS", 0.9, needle="756."),
-    Pattern("POLICY", r"\bPO\d{9}-\d{5}/\d{2}\b", "POLICE", 0.9, needle="PO"),
-    Pattern("CONTRACT", r"\bCT-\d{5,10}\b", "CONTRAT", 0.75, needle="CT-"),
+    Pattern("AVS", r"756\.[0-9]{4}\.[0-9]{4}\.[0-9]{2}", "AVS", 0.9, needle="756."),
+    Pattern("POLICY", r"\bPO[0-9]{9}-[0-9]{5}/[0-9]{2}\b", "POLICE", 0.9, needle="PO"),
+    Pattern("CONTRACT", r"\bCT-[0-9]{5,10}\b", "CONTRAT", 0.75, needle="CT-"),
     Pattern("VIN", r"\b[A-HJ-NPR-Z0-9]{17}\b", "VIN", 0.8, first="A-Z0-9"),
 ]
 
 GENERAL_PATTERNS = [
     Pattern("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "EMAIL", 0.95, needle="@"),
-    Pattern("IBAN", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", "IBAN", 0.85, first="A-Z"),
-    Pattern("DATE_DMY", r"\b\d{1,2}[./-]\d{1,2}[./-]\d{4}\b", "DATE", 0.6, first="0-9"),
-    Pattern("DATE_ISO", r"\b\d{4}-\d{2}-\d{2}\b", "DATE", 0.6, first="0-9"),
-    Pattern("CARD", r"\b\d{16}\b", "CARD", 0.7, first="0-9"),
-    Pattern("IPV4", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "IP", 0.7, first="0-9"),
+    Pattern("IBAN", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", "IBAN", 0.85, first="A-Z"),
+    Pattern("DATE_DMY", r"\b[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}\b", "DATE", 0.6, first="0-9"),
+    Pattern("DATE_ISO", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", "DATE", 0.6, first="0-9"),
+    Pattern("CARD", r"\b[0-9]{16}\b", "CARD", 0.7, first="0-9"),
+    Pattern("IPV4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "IP", 0.7, first="0-9"),
+    # written in groups of four
+    Pattern("IBAN_SPACED", r"\b[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7} [A-Z0-9]{1,4}\b", "IBAN", 0.85, first="A-Z"),
 ]
 
 DEFAULT_PATTERNS = IDENTIFIER_PATTERNS + GENERAL_PATTERNS
@@ -105,15 +109,26 @@ PATTERN_SCHEMA = "name string, regex string, label string, score double, active
 
 
 def load_patterns(table: DataFrame) -> list[Pattern]:
-    """Read the active, vetted rows of a pattern table as configuration."""
+    """Read the active rows of a pattern table as configuration; a warning names those that are refused."""
     rows = table.where("active").orderBy("name").limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"pattern table holds more than {MAX_PATTERNS} active rows")
-    return [
-        Pattern(r["name"], r["regex"], r["label"], r["score"], True, r["source"])
-        for r in rows
-        if vet_regex(r["regex"])[0]
-    ]
+    compile_ = table.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile
+    good, refused = [], []
+    for r in rows:
+        ok, reason = vet_regex(r["regex"])
+        if ok:
+            try:
+                compile_(java_regex(r["regex"]))
+            except Py4JJavaError:
+                ok, reason = False, "invalid in the JVM"
+        if ok:
+            good.append(Pattern(r["name"], r["regex"], r["label"], r["score"], True, r["source"]))
+        else:
+            refused.append(f"{r['name']} ({reason})")
+    if refused:
+        warnings.warn(f"patterns refused: {', '.join(refused)}", stacklevel=2)
+    return good
 
 
 def java_regex(regex: str) -> str:
@@ -222,38 +237,44 @@ MAX_REGEX_LENGTH = 200
 UNBOUNDED_FROM = 50
 
 
-def _nests_unbounded(parsed, inside: bool) -> bool:
-    """Whether an unbounded repeat holds another one."""
-    for op, args in parsed:
-        kind = str(op)
-        if kind.endswith("_REPEAT"):
-            most, body = args[1], args[2]
-            loose = most > UNBOUNDED_FROM
-            if (loose and inside) or _nests_unbounded(body, inside or loose):
-                return True
-            continue
-        todo = [args]
-        while todo:
-            item = todo.pop()
-            if hasattr(item, "getwidth"):
-                if _nests_unbounded(item, inside):
-                    return True
-            elif isinstance(item, (list, tuple)):
-                todo.extend(item)
-    return False
+#: Escapes and whole character classes of a pattern; what is left over is searched for FOREIGN.
+_ESCAPE_OR_CLASS = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", re.S)
+#: Written so, the JVM refuses a pattern or reads it in another way: back references and
+#: conditions by name, flags it lacks, a brace that is no repeat.
+_FOREIGN = re.compile(r"\(\?P=|\(\?\(|\(\?[a-zA-Z]*[aLu]|\{(?![0-9]+(?:,[0-9]*)?\})")
+
+
+def _open_repeats(node) -> int:
+    """How many open repeats stand inside one another at most, counted from the innermost."""
+    if isinstance(node, re._parser.SubPattern):
+        node = node.data
+    if not isinstance(node, (list, tuple)):
+        return 0
+    inside = max(map(_open_repeats, node), default=0)
+    # a repeat is (which, (least, most, body))
+    codes = re._constants
+    repeats = (codes.MAX_REPEAT, codes.MIN_REPEAT, codes.POSSESSIVE_REPEAT)
+    repeat = isinstance(node, tuple) and len(node) == 2 and node[0] in repeats
+    return inside + (repeat and node[1][1] > UNBOUNDED_FROM)
+
+
+def _is_portable(regex: str) -> bool:
+    """Whether the JVM reads a pattern as Python does, as far as its text tells."""
+    classes = [c[1:-1] for c in _ESCAPE_OR_CLASS.findall(regex) if c.startswith("[")]
+    plain = [re.sub(r"\\.", "", c, flags=re.S) for c in classes]
+    return not any("[" in c or "&&" in c for c in plain) and not _FOREIGN.search(_ESCAPE_OR_CLASS.sub("", regex))
 
 
 def vet_regex(regex: str | None) -> tuple[bool, str]:
-    """(accepted, reason): refuses blank, long, broken and catastrophic patterns."""
+    """(accepted, reason): refuses blank, long, broken and catastrophic patterns, and those the JVM reads otherwise."""
     if regex is None or not regex.strip():
         return False, "blank"
     if len(regex) > MAX_REGEX_LENGTH:
         return False, "too long"
     try:
-        parsed = re._parser.parse(regex)
         re.compile(regex)
     except re.error:
         return False, "invalid"
-    if _nests_unbounded(parsed, False):
+    if _open_repeats(re._parser.parse(regex)) > 1:
         return False, "nested repeats"
-    return True, ""
+    return (True, "") if _is_portable(regex) else (False, "not portable")
