@@ -203,16 +203,69 @@ def test_chat_bodies(spark):
                                  "body_id bigint, scope string, body string")
     result = chat.mask_bodies(rows)
     out = {r["body_id"]: r["body"] for r in result.rows.collect()}
-    assert set(out) == {1, 3} and out[3] == "{broken"
+    assert set(out) == {1}
     got = json.loads(out[1])
-    assert got["system"] == "mail s@x.ch" and got["messages"][0]["content"] == "mail [EMAIL_1]"
+    assert got["system"] == "mail [EMAIL_1]" and got["messages"][0]["content"] == "mail [EMAIL_2]"
     blocks = got["messages"][1]["content"]
-    assert blocks[0]["text"] == "again [EMAIL_1] and [EMAIL_7]"
-    assert blocks[1]["input"] == {"a@b.ch": ["[EMAIL_2]", 3, {"x": "[EMAIL_1]"}]}
-    assert blocks[2]["content"] == [{"type": "text", "text": "[EMAIL_3]"}, {"type": "other", "text": "q@r.ch"}]
+    assert blocks[0]["text"] == "again [EMAIL_2] and [EMAIL_7]"
+    assert blocks[1]["input"] == {"a@b.ch": ["[EMAIL_3]", 3, {"x": "[EMAIL_2]"}]}
+    assert blocks[2]["content"] == [{"type": "text", "text": "[EMAIL_4]"}, {"type": "other", "text": "q@r.ch"}]
     assert blocks[3]["text"] == "a@b.ch"
-    assert [(r["body_id"], r["reason"]) for r in result.refused.collect()] == [(2, "unsupported block: image")]
+    assert sorted((r["body_id"], r["reason"]) for r in result.refused.collect()) == [(2, "unsupported block: image"), (3, "no json")]
     assert [r["body_id"] for r in chat.unreadable(rows).collect()] == [3]
+    kept = json.loads(chat.mask_bodies(rows, mask_system=False).rows.first()["body"])
+    assert kept["system"] == "mail s@x.ch" and kept["messages"][0]["content"] == "mail [EMAIL_1]"
+
+
+def test_odd_bodies_are_refused(spark):
+    odd = ['{"messages": null}', '{"prompt": "a@b.ch"}', '{"messages": ["a@b.ch"]}', "[1]", '{"messages": [null]}']
+    fine = ['{"messages": []}', '{"messages": [{"role": "user"}]}', '{"messages": [{"role": "user", "content": null}]}']
+    rows = spark.createDataFrame([(i, "u", b) for i, b in enumerate(odd + fine)], "body_id bigint, scope string, body string")
+    result = chat.mask_bodies(rows)
+    assert {r["body_id"] for r in result.refused.collect()} == set(range(len(odd)))
+    assert [r["body"] for r in result.rows.orderBy("body_id").collect()] == fine
+
+
+def test_files_inside_chats_are_read_by_field(spark):
+    def body(text):
+        return json.dumps({"messages": [{"role": "user", "content": [{"type": "tool_result", "content": text}]}]})
+
+    texts = ["nom,ville,x\nJean Rex,Bern,1\n", json.dumps({"nom": "Max \"M\" Muster", "n": 1}),
+             "please run UPDATE c SET nom = 'Eva; Rex' WHERE n = 1; thanks"]
+    rows = spark.createDataFrame([(i, "u", body(t)) for i, t in enumerate(texts)], "body_id bigint, scope string, body string")
+    out = [r["body"] for r in chat.mask_bodies(rows, kb=lexicon(spark)).rows.orderBy("body_id").collect()]
+    assert not any(name in b for b in out for name in ("Jean", "Bern", "Muster", "Eva"))
+    assert json.loads(json.loads(out[1])["messages"][0]["content"][0]["content"])["n"] == 1
+
+
+def test_all_statements_of_a_script_are_masked(spark):
+    text = "INSERT INTO c (nom) VALUES ('Jean Rex'); INSERT INTO c (nom) VALUES ('Max; O''Muster');\nUPDATE c SET nom = 'Eva' WHERE n = 2"
+    out = payloads.mask_payloads(docs(spark, [(1, "u", text)]), lexicon(spark)).rows.first()["text"]
+    assert out == ("INSERT INTO c (nom) VALUES ('[PERSONNE_1]'); INSERT INTO c (nom) VALUES ('[PERSONNE_2]');\n"
+                   "UPDATE c SET nom = '[PERSONNE_3]' WHERE n = 2")
+
+
+def test_ids_repeated_over_scopes_and_inside_one(spark):
+    rows = docs(spark, [(1, "a", "x@a.ch"), (1, "b", "y@a.ch"), (1, "b2", "z@a.ch")])
+    got = mask.mask_columns(rows, "doc_id", "scope", {"text": "EMAIL"}).rows
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "[EMAIL_1]"), (1, "b", "[EMAIL_1]"), (1, "b2", "[EMAIL_1]")]
+    twice = docs(spark, [(1, "a", "nom,x,y\nJean,1,2\n"), (1, "a", "nom,x,y\nMax,1,2\n")])
+    with pytest.raises(Exception, match="key repeated"):
+        payloads.mask_payloads(twice, lexicon(spark)).rows.collect()
+    with pytest.raises(Exception, match="key repeated"):
+        mask.mask_columns(twice, "doc_id", "scope", {"text": "EMAIL"}).rows.collect()
+
+
+def test_pattern_table_as_configuration(spark):
+    from velum.functions.patterns import PATTERN_SCHEMA, load_patterns
+
+    rows = [("a", r"\bX-[0-9]{4}\b", "POLICE", 0.9, True, "manual"), ("b", "(a)?(?(1)b|c)", "ID", 0.9, True, "manual"),
+            ("c", "off", "ID", 0.9, False, "manual"), ("d", r"\p{Nope}", "ID", 0.9, True, "manual")]
+    with pytest.warns(UserWarning, match="patterns refused: b .*d "):
+        loaded = load_patterns(spark.createDataFrame(rows, PATTERN_SCHEMA))
+    assert [p.name for p in loaded] == ["a"]
+    config = DetectorConfig(patterns=tuple(loaded))
+    assert mask.mask_documents(docs(spark, [(1, "u", "see X-1234")]), "scope", config=config).rows.first()["text"] == "see [POLICE_1]"
 
 
 def test_masked_query(spark):
@@ -316,7 +369,7 @@ def test_stream_mask_keeps_tokens_and_repeats_safely(spark, tmp_path):
 
 def test_audit_append_and_retention(spark, tmp_path):
     texts = docs(spark, [(1, "u", "a@b.ch a@b.ch"), (2, "u", "nothing")])
-    found = detect.detect_entities(texts, ["doc_id"])
+    found = detect.detect_entities(texts, ["scope", "doc_id"])
     rows = audit.audit_rows(texts, found, F.to_timestamp(F.lit("2024-03-01 10:00:00")))
     got = {r["token_count"]: r for r in rows.collect()}
     assert got[1]["entity_counts"] == {"EMAIL": 2} and got[0]["sources"] == {}

@@ -82,7 +82,9 @@ def table_fields(text: Column, drop_empty: bool = True) -> Column:
 
 # ---- SQL statements: native, on quoted literals and VALUES lists ------------
 
-_STRING = r"'(?:[^']|'')*'"
+_STRING = r"'[^']*+(?:''[^']*+)*'"
+# What stands between semicolons that are in no string.
+_STATEMENT = r"(?:[^;']++|'[^']*+'|')++"
 _NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 _TUPLE = rf"\((?:[^()']|{_STRING}|\((?:[^()']|{_STRING})*\))*\)"
 _INSERT = rf"(?is)^\s*insert\s+into\s+[^\s(]+\s*(?:\(([^)]*)\))?\s*values\s*({_TUPLE}(?:\s*,\s*{_TUPLE})*)"
@@ -170,8 +172,18 @@ def _bound_fields(sql: Column) -> Column:
 
 
 def sql_fields(sql: Column) -> Column:
-    """Literals of a statement under their columns."""
-    return F.when(sql.rlike(r"(?i)^\s*insert\b"), _insert_fields(sql)).otherwise(_bound_fields(sql))
+    """Literals of a script under their columns; paths name the statement where there are several."""
+
+    def of_all(statements: Column) -> Column:
+        def of_one(statement: Column, k: Column) -> Column:
+            fields = F.when(statement.rlike(_INSERT), _insert_fields(statement)).otherwise(_bound_fields(statement))
+            place = F.when(F.size(statements) > 1, F.concat(F.lit("stmt"), k.cast("string"), F.lit("."))).otherwise("")
+            return F.transform(fields, lambda f: F.struct(f["field"], f["value"], F.concat(place, f["path"]).alias("path")))
+
+        return F.flatten(F.transform(statements, of_one))
+
+    pieces = F.regexp_extract_all(sql, F.lit(_STATEMENT), F.lit(0))
+    return bind(F.filter(pieces, lambda s: s.rlike(r"\S")), of_all)
 
 
 # ---- JSON, XML, CSV: the shape differs by row, so a small helper per row -----

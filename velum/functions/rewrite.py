@@ -85,7 +85,7 @@ def replace_values(text: Column, entries: Column) -> Column:
     )
 
 
-_LITERAL = r"'(?:[^']|'')*'|(?<![\w.'])[0-9]+(?:\.[0-9]+)?(?![\w.'])"
+_LITERAL = r"'[^']*+(?:''[^']*+)*'|(?<![\w.'])[0-9]+(?:\.[0-9]+)?(?![\w.'])"
 
 
 def _lookup(entries: Column) -> Column:

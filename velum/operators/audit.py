@@ -13,10 +13,10 @@ from velum.functions.text import clip
 def audit_rows(texts: DataFrame, findings: DataFrame, at: Column, text: str = "text", fmt: Column | None = None) -> DataFrame:
     """One row per masked text; texts without findings count too.
 
-    ``texts`` (scope, doc_id, text), ``findings`` (doc_id, value, label, source [, field]).
+    ``texts`` (scope, doc_id, text), ``findings`` (scope, doc_id, value, label, source [, field]).
     """
     has_field = "field" in findings.columns
-    keys = ["doc_id"]
+    keys = ["scope", "doc_id"]
     per = findings.groupBy(*keys, "label", "source").agg(F.count("*").alias("n"))
     by_label = per.groupBy(*keys, "label").agg(F.sum("n").alias("n"))
     maps = by_label.groupBy(*keys).agg(
@@ -33,7 +33,7 @@ def audit_rows(texts: DataFrame, findings: DataFrame, at: Column, text: str = "t
     empty = F.create_map().cast("map<string,bigint>")
     return (
         texts.select(
-            at.alias("at"), "doc_id",
+            at.alias("at"), "scope", "doc_id",
             F.sha2(F.col("scope").cast("string"), 256).alias("user_hash"),
             F.sha2(F.col(text), 256).alias("text_hash"),
             (fmt if fmt is not None else F.lit("freetext")).alias("format"),

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from velum.functions.patterns import DetectorConfig, might_match
-from velum.functions.rewrite import _pairs, _swap
+from velum.functions.rewrite import _leaf, _pairs
 from velum.functions.text import already_masked, is_blank
 from velum.operators.detect import detect_entities
 from velum.operators.mask import hide_placeholders, replace_outside_placeholders
+from velum.operators.payloads import structured_findings
 from velum.operators.tokens import assign_tokens, attach_entries, entry_lists, required, tokens_for
 from velum.session import stage
 
@@ -48,22 +49,28 @@ def _leaves(tree: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def chat_blocks(bodies: DataFrame, keys: Sequence[str], body: str = "body") -> DataFrame:
+def chat_blocks(bodies: DataFrame, keys: Sequence[str], body: str = "body", system: bool = False) -> DataFrame:
     """One row per block: (keys, msg, block, role, type, route, texts).
 
     ``route`` is mask, refuse or pass; a message whose content is a string is one
-    text block. Bodies that are no JSON object have no rows here (see ``unreadable``).
+    text block; with ``system`` the body's system text is message -1. Bodies that cannot
+    be read have no rows here (see ``unreadable``).
     """
+    said = F.transform(
+        F.try_variant_get("_t", "$.messages", "array<variant>"),
+        lambda m: F.struct(
+            F.try_variant_get(m, "$.role", "string").alias("role"), F.try_variant_get(m, "$.content", "variant").alias("_c")
+        ),
+    )
+    if system:
+        own = F.struct(F.lit("system").alias("role"), F.try_variant_get("_t", "$.system", "variant").alias("_c"))
+        said = F.concat(F.array(own), said)
     # each step is its own projection, so the parsed tree is not rebuilt per field
     messages = (
         bodies.select(*keys, F.try_parse_json(F.col(body)).alias("_t"))
-        .select(*keys, F.posexplode_outer(F.try_variant_get("_t", "$.messages", "array<variant>")).alias("msg", "_m"))
+        .select(*keys, F.posexplode_outer(said).alias("msg", "_m"))
         .where("msg IS NOT NULL")
-        .select(
-            *keys, "msg",
-            F.try_variant_get("_m", "$.role", "string").alias("role"),
-            F.try_variant_get("_m", "$.content", "variant").alias("_c"),
-        )
+        .select(*keys, (F.col("msg") - int(system)).alias("msg"), "_m.role", "_m._c")
         .withColumn("_kind", F.schema_of_variant("_c"))
     )
     as_text = F.array(
@@ -122,30 +129,52 @@ def chat_blocks(bodies: DataFrame, keys: Sequence[str], body: str = "body") -> D
     )
 
 
+def body_fault(body: Column) -> Column:
+    """Why a body cannot be masked; NULL for one that can, and for a NULL body."""
+    tree = F.try_parse_json(body)
+    messages = F.try_variant_get(tree, "$.messages", "array<variant>")
+    odd = F.exists(messages, lambda m: ~F.coalesce(F.schema_of_variant(m).startswith("OBJECT"), F.lit(False)))
+    return F.when(
+        body.isNotNull(),
+        F.when(tree.isNull(), "no json").when(messages.isNull(), "no list of messages").when(odd, "message is no object"),
+    )
+
+
 def unreadable(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Bodies that are no JSON; they go on as they are."""
-    return bodies.where(F.try_parse_json(F.col(body)).isNull())
+    """Bodies that cannot be masked, with the ``reason``; ``mask_bodies`` refuses them."""
+    return bodies.withColumn("reason", body_fault(F.col(body))).where("reason IS NOT NULL")
+
+
+def _rewrite_content(content, pairs):
+    """A message's content: one text or a list of blocks."""
+    if isinstance(content, str):
+        return _leaf(content, pairs, 0)
+    if isinstance(content, list):
+        for block in content:
+            if isinstance(block, dict):
+                _rewrite_block(block, pairs)
+    return content
 
 
 def _rewrite_block(block, pairs) -> None:
     kind = block.get("type")
     if kind == "text" and isinstance(block.get("text"), str):
-        block["text"] = _swap(block["text"], pairs)
+        block["text"] = _leaf(block["text"], pairs, 0)
     elif kind == "tool_use":
         block["input"] = _rewrite_leaves(block.get("input"), pairs)
     elif kind == "tool_result":
         content = block.get("content")
         if isinstance(content, str):
-            block["content"] = _swap(content, pairs)
+            block["content"] = _leaf(content, pairs, 0)
         elif isinstance(content, list):
             for part in content:
                 if isinstance(part, dict) and part.get("type") == "text" and isinstance(part.get("text"), str):
-                    part["text"] = _swap(part["text"], pairs)
+                    part["text"] = _leaf(part["text"], pairs, 0)
 
 
 def _rewrite_leaves(node, pairs):
     if isinstance(node, str):
-        return _swap(node, pairs)
+        return _leaf(node, pairs, 0)
     if isinstance(node, list):
         return [_rewrite_leaves(item, pairs) for item in node]
     if isinstance(node, dict):
@@ -154,21 +183,18 @@ def _rewrite_leaves(node, pairs):
 
 
 @F.pandas_udf(T.StringType())
-def _rewrite_body(body: pd.Series, entries: pd.Series) -> pd.Series:
+def _rewrite_body(body: pd.Series, entries: pd.Series, system: pd.Series) -> pd.Series:
     out = []
-    for text, row in zip(body, entries):
+    for text, row, own in zip(body, entries, system):
         if text is None or row is None or len(row) == 0:
             out.append(text)
             continue
         tree, pairs = json.loads(text), _pairs(row)
-        for message in tree.get("messages", []):
-            content = message.get("content")
-            if isinstance(content, str):
-                message["content"] = _swap(content, pairs)
-            elif isinstance(content, list):
-                for block in content:
-                    if isinstance(block, dict):
-                        _rewrite_block(block, pairs)
+        for message in tree["messages"]:
+            if "content" in message:
+                message["content"] = _rewrite_content(message["content"], pairs)
+        if own and "system" in tree:
+            tree["system"] = _rewrite_content(tree["system"], pairs)
         out.append(json.dumps(tree, ensure_ascii=False))
     return pd.Series(out, dtype=object)
 
@@ -188,19 +214,31 @@ def mask_bodies(
     config: DetectorConfig = DetectorConfig(),
     existing: DataFrame | None = None,
     high_water: DataFrame | None = None,
+    kb: DataFrame | None = None,
+    mask_system: bool = True,
 ) -> MaskedBodies:
-    """Mask the readable blocks of chat request bodies; bodies with a refused block leave."""
+    """Mask the readable blocks of chat request bodies.
+
+    Bodies that cannot be read, or that hold a refused block, leave as (key, reason)
+    without their text. With ``kb`` texts that are payloads (JSON, CSV, tables, SQL ...) are read
+    by field, as ``mask_payloads`` does; ``mask_system`` masks the body's system text too.
+    """
     base = bodies.select(required(scope).alias("scope"), required(key).alias("doc_id"), F.col(body).alias("body"))
-    blocks = stage(chat_blocks(base, ["scope", "doc_id"]), "blocks")
+    blocks = stage(chat_blocks(base, ["scope", "doc_id"], system=mask_system), "blocks")
     refused = (
         blocks.where("route = 'refuse'")
+        .select("scope", "doc_id", F.concat(F.lit("unsupported block: "), F.col("type")).alias("reason"))
+        .unionByName(unreadable(base).drop("body"))
         .groupBy("scope", "doc_id")
-        .agg(F.concat(F.lit("unsupported block: "), F.min("type")).alias("reason"))
+        .agg(F.min("reason").alias("reason"))
     )
     texts = blocks.where("route = 'mask'").select(
         "scope", "doc_id", "msg", "block", F.posexplode("texts").alias("part", "text")
     ).where(~is_blank(F.col("text")) & ~already_masked(F.col("text")))
-    found = detect_entities(texts, ["scope", "doc_id", "msg", "block", "part"], hide_placeholders(F.col("text")), config)
+    place = ["scope", "doc_id", "msg", "block", "part"]
+    found = detect_entities(texts, place, hide_placeholders(F.col("text")), config)
+    if kb is not None:
+        found = found.unionByName(structured_findings(texts, place, kb), allowMissingColumns=True)
     found = stage(
         found.withColumn("ord", F.shiftleft("msg", 42) + F.shiftleft("block", 21) + F.col("part")), "findings"
     )
@@ -212,7 +250,7 @@ def mask_bodies(
         bodies.withColumn("_scope", F.col(scope)).withColumnsRenamed({key: "doc_id", body: "body"})
         .join(refused.select(F.col("scope").alias("_scope"), "doc_id"), at, "left_anti")
         .join(entries, at, "left")
-        .withColumn("body", _rewrite_body(F.col("body"), F.col("entries")))
+        .withColumn("body", _rewrite_body(F.col("body"), F.col("entries"), F.lit(mask_system)))
         .withColumnsRenamed({"doc_id": key, "body": body})
         .select(*bodies.columns)
     )

@@ -16,10 +16,10 @@ from velum.operators.kb import is_pii, with_labels
 from velum.operators.tokens import assign_tokens, entry_lists, required, tokens_for
 from velum.session import stage
 
-# A statement inside prose: from its first word to the first semicolon or the line end.
+# A statement inside prose: from its first word to the first semicolon outside strings or the line end.
 STATEMENT = (
     r"(?i)\b(?:insert[ \t]+into[ \t]+[^\s;]+|update[ \t]+[^\s;]+[ \t]+set[ \t]+[^\s;=]+[ \t]*="
-    r"|delete[ \t]+from[ \t]+[^\s;]+|select[ \t]+[^;\n]*?[ \t]from[ \t]+[^\s;]+)[^;\n]*;?"
+    r"|delete[ \t]+from[ \t]+[^\s;]+|select[ \t]+[^;\n]*?[ \t]from[ \t]+[^\s;]+)(?:[^;\n']++|'[^'\n]*+'|')*+;?"
 )
 
 
@@ -116,6 +116,21 @@ def statement_findings(texts: DataFrame, kb: DataFrame) -> DataFrame:
     )
 
 
+def structured_findings(texts: DataFrame, keys: list[str], kb: DataFrame) -> DataFrame:
+    """Labelled fields of texts that are payloads, and literals of statements inside prose."""
+    read = with_fields(texts.select(*keys, "text")).where("error IS NULL")
+    literals = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(STATEMENT), F.lit(0)), lambda s: sql_fields(s)))
+    fields = read.select(
+        *keys, F.posexplode_outer(F.when(F.col("fmt") == "freetext", literals).otherwise(F.col("fields"))).alias("start", "f")
+    ).where("f.field IS NOT NULL").select(
+        *keys, "start", "f.field", "f.value",
+        F.lit(None).cast("string").alias("db"), F.lit(None).cast("string").alias("table"),
+    )
+    return with_labels(fields, kb).where(is_pii(F.col("label"))).select(
+        *keys, "start", F.lit(0).alias("prio"), "value", "label", F.concat(F.lit("kb_"), F.col("match")).alias("source")
+    )
+
+
 # ---- column views of one payload --------------------------------------------
 
 
@@ -268,9 +283,13 @@ def mask_payloads(
         .groupBy("scope", "doc_id")
         .agg(F.collect_set("_outer").alias("blobs"))
     )
+    fmt = F.when(F.get("fields", F.lit(0))["field"].isNull(), "freetext").otherwise(F.col("fmt"))
     good = (
-        read.where("error IS NULL")
-        .select("scope", "doc_id", F.when(F.get("fields", F.lit(0))["field"].isNull(), "freetext").otherwise(F.col("fmt")).alias("fmt"))
+        read.groupBy("scope", "doc_id")
+        .agg(F.count("*").alias("_n"), F.max("error").alias("error"), F.min(fmt).alias("fmt"))
+        # two payloads of one key could not be told apart
+        .where(F.when(F.col("_n") > 1, F.raise_error(F.lit("key repeated in a scope"))).otherwise(F.col("error").isNull()))
+        .drop("_n", "error")
         .join(entries, ["scope", "doc_id"], "left")
         .join(blobs, ["scope", "doc_id"], "left")
         .withColumn("entries", with_blob_entries(F.col("blobs"), F.col("entries")))

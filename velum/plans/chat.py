@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from velum.functions.text import already_masked as masked_already
 from velum.operators import audit, chat, detect, mask
 from velum.plans.base import DOC_FINDINGS, derived, query, quote, spans_sql, tokens_sql
+from velum.plans.kb import lexicon_kb
 from velum.plans.text import doc_findings, doc_tokens
 from velum.session import stage
 from velum.sources.files import table
@@ -91,6 +92,33 @@ def mask_chat_bodies(spark, root):
     return chat.mask_bodies(rows).rows.select("body_id", "body")
 
 
+_MAIL = "concat('c', cast(c_custkey % 97 as string), '@example.com')"
+
+
+def structured_body(mail: str, nom: str) -> str:
+    """A body with a system text and a tool result that is a CSV file."""
+    return f"""concat('{{"system": "', {mail}, ' helps", "messages": [{{"role": "user", "content": [{{"type": "tool_result", "content": "nom,note,segment',
+     chr(92), 'n', {nom}, ',none,', c_mktsegment, chr(92), 'n"}}]}}]}}')"""
+
+
+@query(
+    "mask_chat_structured",
+    f"""WITH src AS (SELECT *, c_nationkey::VARCHAR AS scope, c_custkey AS doc_id, {_MAIL} AS mail FROM customer WHERE c_custkey % 10 <> 0),
+    found AS (SELECT scope, doc_id, 0 AS ord, 0 AS start, 0 AS prio, c_name AS value, 'PERSONNE' AS label FROM src
+      UNION ALL SELECT scope, doc_id, -1, 0, 4, mail, 'EMAIL' FROM src),
+    tokens AS ({tokens_sql('found')})
+    SELECT doc_id AS body_id, {structured_body('b.token', 'a.token')} AS body
+    FROM src JOIN tokens a ON a.scope = src.scope AND a.value = c_name JOIN tokens b ON b.scope = src.scope AND b.value = mail
+    UNION ALL SELECT c_custkey, 'no json' FROM customer WHERE c_custkey % 10 = 0""",
+)
+def mask_chat_structured(spark, root):
+    """Fields of files inside tool results, the system text, and bodies refused for what they are."""
+    body = f"case when c_custkey % 10 = 0 then concat('{{\"nom\": \"', c_name) else {structured_body(_MAIL, 'c_name')} end AS body"
+    rows = derived(spark, root, "customer", f"c_custkey AS body_id, cast(c_nationkey as string) AS scope, {body}")
+    result = chat.mask_bodies(rows, kb=lexicon_kb(spark))
+    return result.rows.select("body_id", "body").union(result.refused.select("body_id", "reason"))
+
+
 PARTLY = """o_orderkey, concat('[PERSONNE_', cast(o_custkey as string), '] ', case when o_orderkey % 3 = 0 then 'et [TEL_4]' else o_orderpriority end,
  case when o_orderkey % 4 = 0 then ' avec un long texte qui suit les jetons' else '' end) AS text"""
 

@@ -105,6 +105,19 @@ def explode_sql_literals(spark, root):
     return exploded(spark, root, f"case when c_custkey % 2 = 0 then {INSERT_TEXT} else {UPDATE_TEXT} end")
 
 
+SCRIPT_TEXT = f"concat({INSERT_TEXT}, '; ', {UPDATE_TEXT}, ';', {NL}, 'INSERT INTO v (nom) VALUES (', {Q}, 'a;b', {Q}, ');')"
+
+
+@query(
+    "explode_sql_script",
+    f"""SELECT c_custkey, ord, field, value, 'stmt0.' || path AS path FROM ({_INSERTED})
+    UNION ALL SELECT c_custkey, ord + 5, field, value, 'stmt1.' || path FROM ({_UPDATED})
+    UNION ALL SELECT c_custkey, 10, 'nom', 'a;b', 'stmt2.ins0.0' FROM customer""",
+)
+def explode_sql_script(spark, root):
+    return exploded(spark, root, SCRIPT_TEXT)
+
+
 # JSON held as text in JSON, XML held in that.
 _INNER = """concat('{"nom": "', c_name, '", "deep": "<a v=\\\\"', c_mktsegment, '\\\\"/>"}')"""
 NESTED_TEXT = f"""concat('{{"note": "plain", "blob": "', replace(replace({_INNER}, '\\\\', '\\\\\\\\'), '"', '\\\\"'), '", "bad": "[1, 2"}}')"""
