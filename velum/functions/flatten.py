@@ -176,7 +176,7 @@ def sql_fields(sql: Column) -> Column:
 
     def of_all(statements: Column) -> Column:
         def of_one(statement: Column, k: Column) -> Column:
-            fields = F.when(statement.rlike(_INSERT), _insert_fields(statement)).otherwise(_bound_fields(statement))
+            fields = F.when(statement.rlike(r"(?i)^\s*insert\b"), _insert_fields(statement)).otherwise(_bound_fields(statement))
             place = F.when(F.size(statements) > 1, F.concat(F.lit("stmt"), k.cast("string"), F.lit("."))).otherwise("")
             return F.transform(fields, lambda f: F.struct(f["field"], f["value"], F.concat(place, f["path"]).alias("path")))
 
