@@ -172,7 +172,7 @@ def mask_columns(
 
     tokens = tokens_for(findings, known)
     own = {c: F.when(F.col("field") == c, F.col("token")) for c in labels}
-    per_row = tokens.groupBy(F.col("scope").alias("_scope"), F.col("doc_id").alias("_key")).agg(
+    per_row = tokens.groupBy(F.col("scope").alias("_of_scope"), F.col("doc_id").alias("_of_key")).agg(
         *[
             # two rows of one key could not be told apart
             F.when(F.count(own[c]) > 1, F.raise_error(F.lit("key repeated in a scope"))).otherwise(F.max(own[c])).alias(f"_t_{i}")
@@ -185,7 +185,7 @@ def mask_columns(
             for i, c in enumerate(detect_in)
         ],
     )
-    rows = df.join(per_row, (df[scope] == per_row["_scope"]) & (df[key] == per_row["_key"]), "left")
+    rows = df.join(per_row, (df[scope] == per_row["_of_scope"]) & (df[key] == per_row["_of_key"]), "left")
     changed = {c: F.coalesce(F.col(f"_t_{i}"), F.col(c).cast("string")) for i, c in enumerate(labels)}
     changed |= {c: replace_values(F.col(c).cast("string"), F.col(f"_d_{i}")) for i, c in enumerate(detect_in)}
     rows = rows.withColumns(changed).select(*df.columns)
