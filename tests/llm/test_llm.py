@@ -242,6 +242,22 @@ def test_rates_reach_the_least_squares_optimum(spark):
     assert max(abs(a - s) for a, s in zip(at, shares)) < 5e-3
 
 
+def test_mixing_counts_words_across_any_white_space(spark):
+    """n_tokens against a plain count: line breaks, tabs and other white space part words as spaces do."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [sep.join(words) for sep in (" ", "\n", "\r\n", "\t", "\x0b", "\x0c", "\x1f", "\x85", "\u00a0", "\u2028", "\u3000", " \n\n\t ", ", ", ".\n")]
+    texts += ["One two\nthree\tfour, five.\n\n\nsix", "\n\t \n", "...", "It's a well-known\ncase", ""]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = mixing.mix(docs, mixing.fit_domains(docs, docs.select("doc_id")), {"en": 1.0})
+    want = {i: len(re.findall(r"[^\s!-/:-@\[-`{-~]+", t)) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == want and want[0] == 40
+    # words are told from one another there too, so a text of one word a line finds its domain
+    pair = [(i, sep.join(w), d) for i, (sep, w, d) in enumerate((sep, w, d) for sep in (" ", "\n", "\t") for w, d in ((words[:20], "en"), (words[20:], "de")))]
+    docs = spark.createDataFrame(pair, "doc_id long, text string, lang string")
+    got = mixing.mix(docs, mixing.fit_domains(docs, docs.where("doc_id < 2")), {"en": 0.5, "de": 0.5})
+    assert {r.doc_id: r.domain for r in got.collect()} == {i: d for i, _, d in pair}
+
+
 # decontamination -----------------------------------------------------------------------------------------------------
 
 

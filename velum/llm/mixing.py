@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from velum.llm.common import content_key, stage
 
 #: Labelled documents used for fitting at most, and domains.
-MOST_FIT = 2_500
+MOST_FIT = 6_000
 MOST_DOMAINS = 50
 BUCKETS = 1 << 12
 RIDGE = 1e-3
@@ -29,8 +29,8 @@ STILL = 1e-6
 
 
 def tokens(text: Column) -> Column:
-    """Words between single spaces; a text without any other sign counts as it is."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), "")
+    """Words between white space of any kind and ASCII punctuation."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\x1C-\x1F\x85\p{Z}\p{Punct}]+"), "")
 
 
 class DomainModel:
@@ -78,7 +78,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", te
     number = F.array_position(F.array(*map(F.lit, domains)), F.col("_d")) - 1
     rows = rows.where(F.col("_d").isin(domains)).withColumn("_l", number.cast("double"))
     lr = LogisticRegression(featuresCol="_x", labelCol="_l", predictionCol="_y", probabilityCol="_p", rawPredictionCol="_m",
-                            regParam=1e-3, maxIter=12, family="multinomial")
+                            regParam=1e-3, maxIter=25, family="multinomial")
     return DomainModel(domains, lr.fit(stage(vectors(rows).select("_x", "_l"), "mix-x").coalesce(4)), prior)
 
 
