@@ -148,6 +148,41 @@ def test_search_within_radius(spark):
         assert r.near_count == sum((f ^ g).bit_count() <= 3 for g in fps) - 1
 
 
+def test_near_copies_are_found(spark):
+    """Recall against brute force on five-word runs: planted copies at a similarity of 0.8 or more."""
+    draw = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts, pairs = [], []
+    for _ in range(120):
+        base = draw.choices(vocabulary, k=draw.choice([60, 100, 300, 800]))
+        texts.append(base)
+        at = len(texts) - 1
+        for share in (0.002, 0.01, 0.02):
+            w = list(base)
+            for _ in range(max(1, round(share * len(w)))):
+                w[draw.randrange(len(w))] = draw.choice(vocabulary)
+            texts.append(w)
+            pairs.append((at, len(texts) - 1))
+
+    def runs(w):
+        return {tuple(([None] * 4 + w)[i : i + 5]) for i in range(len(w))}
+
+    sets = [runs(w) for w in texts]
+    alike = {(a, b) for a, b in pairs if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    fps = simhash.fingerprints(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "k long, text string"), ["k"], "text")
+    fps = simhash.stage(fps, "test-fps")
+    of = {tuple(r.fp): r.k for r in fps.collect()}
+    asked = fps.where(F.col("k") % 4 == 0)
+    hits = simhash.within(asked, fps, simhash.RADIUS).collect()
+    found = {(of[tuple(r.query)], of[tuple(r.fp)]) for r in hits}
+    assert len(alike) > 200 and len(alike & found) >= 0.97 * len(alike)
+    assert all(a // 4 == b // 4 for a, b in found)  # nothing unlike is counted
+    value = {k: sum((x & (2**64 - 1)) << (64 * i) for i, x in enumerate(f)) for f, k in of.items()}
+    assert found == {(a, b) for a in value if a % 4 == 0 for b in value if (value[a] ^ value[b]).bit_count() <= simhash.RADIUS}  # exact for the radius
+    counts = {r.k: r.near_count for r in simhash.with_near_counts(fps, F.col("k") % 4 == 0).collect()}
+    assert all(counts[k] == (sum(a == k for a, _ in found) - 1 if k % 4 == 0 else None) for k in counts)
+
+
 # quality and toxicity ------------------------------------------------------------------------------------------------
 
 ROOT = "/root/testdata/sf0.1"

@@ -47,9 +47,9 @@ def op2(spark, root):
 
 @query("op3_fingerprints")
 def op3(spark, root):
-    """Adds near_count: documents within 3 bits of every 50th one (by id), itself left out; NULL for the others."""
+    """Adds near_count: documents within simhash.RADIUS bits of every 50th one (by id), itself left out; NULL for the others."""
     rows = simhash.fingerprint_edits(table(spark, root, "documents"))
-    return simhash.with_near_counts(rows, F.col("doc_id") % 50 == 0, radius=3).drop("fp")
+    return simhash.with_near_counts(rows, F.col("doc_id") % 50 == 0, radius=simhash.RADIUS).drop("fp")
 
 
 @query("op4_quality")

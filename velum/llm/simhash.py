@@ -14,13 +14,19 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from velum.llm.common import content_key, stage
+from velum.llm.common import bounded, content_key, stage
 
 #: Words of a term; bits of a fingerprint (a multiple of 64).
 WORDS = 5
 BITS = 128
 #: The lowest bit of either half of a long: votes of two bits are added at a time, room for 2^32 terms.
 LANES = 0x0000000100000001
+#: Of ``BITS``, what texts with a Jaccard similarity of 0.8 differ in at most but for about one pair in a hundred (19 bits expected, deviation 4).
+RADIUS = 28
+#: Radius up to which block tables have selective keys; beyond it fingerprints are compared in pairs.
+NARROW = 6
+#: Fingerprints asked for that are broadcast at most.
+MOST_BROADCAST = 1_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -111,8 +117,17 @@ def table_keys(fp: Column, radius: int, extra: int = 2, bits: int = BITS) -> Col
 def within(queries: DataFrame, fps: DataFrame, radius: int, bits: int = BITS) -> DataFrame:
     """(query, fp, distance): every fingerprint of ``fps`` (fp) within ``radius`` of one of ``queries`` (fp).
 
-    Both sides are reduced to distinct fingerprints first, so copies are not multiplied.
+    Both sides are reduced to distinct fingerprints first, so copies are not multiplied. No
+    pair is missed: a small radius is searched by block tables; for a wide one, where no
+    block need agree, each of ``fps`` is compared with every query where it is.
     """
+    if radius > NARROW:
+        words = range(bits // 64)
+        q = stage(queries.select("fp").distinct().select(F.col("fp").alias("query"), *[F.col("fp")[i].alias(f"_q{i}") for i in words]), "asked")
+        parts = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        d = fps.select("fp").distinct().repartition(parts, "fp").select("fp", *[F.col("fp")[i].alias(f"_d{i}") for i in words])
+        far = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"_q{i}").bitwiseXOR(F.col(f"_d{i}"))) for i in words])
+        return d.join(bounded(q, MOST_BROADCAST), far <= radius).select("query", "fp", far.alias("distance"))
     q = queries.select("fp").distinct().select(F.col("fp").alias("query"), F.explode_outer(table_keys(F.col("fp"), radius, 2, bits)).alias("key"))
     d = fps.select("fp").distinct().select("fp", F.explode_outer(table_keys(F.col("fp"), radius, 2, bits)).alias("key"))
     far = distance(F.col("query"), F.col("fp"), bits)
@@ -201,7 +216,7 @@ def same_on(a: str, b: str) -> Column:
     return (F.col(f"{a}.k1") == F.col(f"{b}.k1")) & (F.col(f"{a}.k2") == F.col(f"{b}.k2")) & F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id"))
 
 
-def with_near_counts(rows: DataFrame, asked: Column, radius: int = 3, bits: int = BITS) -> DataFrame:
+def with_near_counts(rows: DataFrame, asked: Column, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
     """``rows`` (fp) with near_count: how many other rows have a fingerprint within ``radius``; NULL where not ``asked``."""
     rows = stage(rows, "fingerprinted")
     sizes = stage(rows.groupBy("fp").agg(F.count("*").alias("_rows"), F.max(F.coalesce(asked, F.lit(False))).alias("_asked")), "sizes")
