@@ -436,3 +436,35 @@ def test_licences(spark, odd, empty):
     got = {r.doc_id: r.families for r in licences.scan(said, model).collect()}
     assert got == {1: "", 2: "all-rights-reserved"}
     assert licences.fit(empty).names[0] == licences.NONE
+
+
+def test_wrapped_licences(spark):
+    """A notice counts however its lines are broken, and as the family of the whole of it."""
+    import textwrap
+
+    gpl3 = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+            "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+    notices = {
+        gpl3: "gpl-3.0", "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.".replace("Attribution-Non", "Attribution Non"): "cc-by-nc-4.0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+        "you may not use this file except in compliance with the Apache License, Version 2.0": "apache-2.0",
+    }
+    rows, want = [], {}
+    for text, family in notices.items():
+        for width in (1, 24, 40, 72):
+            for mark, end in (("", "\n"), (" * ", "\r\n"), ("# ", "\n")):
+                lines = textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False)
+                body = end.join(mark + x for x in ["Once upon a time there was a house.", "", *lines, "", "The end of the tale is near."])
+                want[len(rows)] = family
+                rows.append((len(rows), body))
+    usual = "\n".join(["    This program is free software: you can redistribute it and/or modify", "    it under the terms of the GNU General Public License as published by",
+                       "    the Free Software Foundation, either version 3 of the License, or", "    (at your option) any later version."])
+    want[len(rows)] = "gpl-3.0"
+    rows.append((len(rows), usual))
+    parted = {len(rows): "You can redistribute it and/or modify it under the terms of\n\nthe GNU general", len(rows) + 1: "the license\nplate\nof my car"}
+    want |= dict.fromkeys(parted, "")
+    docs = spark.createDataFrame([*rows, *parted.items()], "doc_id long, text string")
+    model = licences.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    got = {r.doc_id: r.families for r in licences.scan(docs, model).collect()}
+    assert {k: (got[k], dict([*rows, *parted.items()])[k]) for k in want if got[k] != want[k]} == {}

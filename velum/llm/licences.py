@@ -1,6 +1,7 @@
 """Licence scans: which licence families do a document's paragraphs declare?
 
-Every paragraph that can hold a template is classified by multinomial logistic regression on its words and word
+Every line that can hold a template, and every window over the end of a line and what
+follows it up to a blank line, is classified by multinomial logistic regression on its words and word
 pairs, with a class for paragraphs that declare none; the probabilities are calibrated by
 a temperature on paragraphs that were not fitted on. A prediction counts if the paragraph
 also holds most of a template of that family.
@@ -107,6 +108,46 @@ def paragraphs(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
     return rows.where(F.col("paragraph").rlike(r"\S"))
 
 
+#: Words of the longest template. A template that starts in a line and goes on in the next ends within so many words of either side.
+LONGEST = max(len(t.split()) for own in TEMPLATES.values() for t in own)
+
+
+def passages(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """``keep``, at, to (lines, from 0), paragraph and ``_apart``: lines that are not blank, and windows for wrapped notices.
+
+    A window is the last LONGEST words of a line and the first LONGEST of the lines after
+    it, as far as the next line without letter or digit; there is one for each line that
+    another follows. ``_apart`` has its two sides, and is NULL for a line. Only what holds a word that a
+    template needs is given.
+    """
+    said = r"[\p{L}\p{N}]"
+    rows = docs.select(*keep, F.split(F.coalesce(F.col(text), F.lit("")), r"\R").alias("_lines"))
+    rows = rows.select("*", F.transform("_lines", may_match).alias("_cue"), F.transform("_lines", lambda p: p.rlike(said)).alias("_said"))
+    lines = F.filter(F.transform("_lines", lambda p, i: F.struct(
+        i.alias("at"), i.alias("to"), p.alias("paragraph"), F.lit(None).cast("array<string>").alias("_apart"), F.element_at("_cue", i + 1).alias("_cue"))), lambda x: x["_cue"])
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_lines") - 1, F.lit(1))), lambda i: (i < F.size("_lines")) & F.element_at("_said", i)
+                      & F.element_at("_said", F.least(i + 1, F.size("_lines"))) & F.exists(F.slice("_cue", i, LONGEST + 1), lambda c: c))
+
+    def after(i: Column) -> Column:
+        """How many lines follow line ``i`` (from 1) up to one that says nothing."""
+        end = F.array_position(F.slice("_said", i + 1, LONGEST), F.lit(False)).cast("int")
+        return F.when(end > 0, end - 1).otherwise(F.least(F.lit(LONGEST), F.size("_lines") - i))
+
+    def sides(i: Column, n: Column) -> Column:
+        own = words(F.element_at("_lines", i))
+        own = F.slice(own, F.greatest(F.size(own) - (LONGEST - 1), F.lit(1)), F.lit(LONGEST))
+        rest = F.slice(words(F.array_join(F.slice("_lines", i + 1, n), "\n")), 1, LONGEST)
+        return F.array(F.array_join(own, " "), F.array_join(rest, " "))
+
+    windows = F.transform(F.transform(places, lambda i: F.struct(i.alias("i"), after(i).alias("n"))), lambda x: F.struct(
+        (x["i"] - 1).alias("at"), (x["i"] - 1 + x["n"]).alias("to"), sides(x["i"], x["n"]).alias("sides")))
+    windows = F.transform(windows, lambda x: F.struct(
+        x["at"].alias("at"), x["to"].alias("to"), F.array_join(x["sides"], " ").alias("paragraph"), x["sides"].alias("_apart"), F.lit(True).alias("_cue")))
+    own = [c for c in rows.columns if not c.startswith("_")]
+    rows = rows.select(*own, F.explode(F.concat(lines, windows)).alias("_p"))
+    return rows.select(*own, "_p.at", "_p.to", "_p.paragraph", "_p._apart").where(F.col("_apart").isNull() | may_match(F.col("paragraph")))
+
+
 def template_match(own: Column, family: Column | None = None) -> Column:
     """The largest share of the word pairs of a template, of that family if one is given, that ``own`` holds."""
     out = []
@@ -182,12 +223,19 @@ def scan(docs: DataFrame, model: LicenceModel, *, key: str = "doc_id", text: str
 
     ``licence`` is the confirmed family of the highest score and match, NULL if
     none; ``families`` all confirmed ones, sorted, comma-joined; score and match are the
-    licence's. NULL and empty texts declare none; repeated rows stay and are equal.
+    licence's; notices that are wrapped over lines are read as a whole. ``n_paragraphs``
+    counts the lines that are not blank. NULL and empty texts declare none; repeated rows stay and are equal.
     """
     likely = docs.where(may_match(F.col(text)))  # no other text has a paragraph that a template confirms
-    found = paragraphs(likely, text, *content_key(F.col(text))).where(may_match(F.col("paragraph")))
-    found = model.predict(found)
-    found = found.where(F.col("match") >= LEAST_MATCH).groupBy("k1", "k2").agg(
+    found = passages(likely, text, *content_key(F.col(text)))
+    found = stage(model.predict(found).where(F.col("match") >= LEAST_MATCH).dropDuplicates(["k1", "k2", "at", "to"]), "licence-found")
+    # a window tells something only if neither side holds as much by itself; what it covers with less is a part of it
+    windows = [pairs(words(F.col("_apart")[i])) for i in range(2)]
+    found = found.where(F.col("_apart").isNull() | (F.col("match") > F.greatest(*map(template_match, windows))))
+    whole = found.where(F.col("_apart").isNotNull()).select("k1", "k2", F.explode(F.sequence("at", "to")).alias("at"), "match")
+    whole = whole.groupBy("k1", "k2", "at").agg(F.max("match").alias("_whole"))
+    found = found.join(whole, ["k1", "k2", "at"], "left").where(F.col("_whole").isNull() | (F.col("_whole") <= F.col("match")))
+    found = found.groupBy("k1", "k2").agg(
         F.max_by(F.struct("family", "score", "match"), F.struct("score", "match", "family")).alias("best"),
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
     )
