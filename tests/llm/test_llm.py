@@ -364,6 +364,22 @@ def test_url_rules_and_trees(spark):
     assert urls.judge(df.limit(0), RULES, urls.fit(labelled)).count() == 0
 
 
+def test_suffixes_are_counted_before_the_draw(spark):
+    """Every suffix that has a labelled URL has the counts of all of them, however few are drawn."""
+    import math
+
+    rows = [(f"http://h{i}.s{i % 6000}/x", float(i % 6000 % 3 == 0)) for i in range(9000)]
+    model = urls.fit(spark.createDataFrame(rows + rows[:50], "url string, label double"), most=200, trees=1)
+    base = sum(label for _, label in rows) / len(rows)
+    n, s = {}, {}
+    for url, label in rows:
+        k = url.split(".")[-1].split("/")[0]
+        n[k], s[k] = n.get(k, 0) + 1, s.get(k, 0) + label
+    got = {r.suffix: (r.f_suffix_rate, r.f_suffix_log) for r in model.suffixes.collect()}
+    assert set(got) == set(n) and len(n) == 6000
+    assert all(abs(got[k][0] - (s[k] + 5 * base) / (n[k] + 5)) < 1e-9 and abs(got[k][1] - math.log1p(n[k])) < 1e-9 for k in n)
+
+
 # n-gram join ---------------------------------------------------------------------------------------------------------
 
 

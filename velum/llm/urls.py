@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm.common import UPPER, stage
+from velum.llm.common import UPPER, bounded, stage
 
 #: Labelled URLs used for fitting, the bound of the sample.
 MOST_FIT = 20_000
@@ -67,7 +67,7 @@ def features(df: DataFrame, url: str = "url") -> DataFrame:
     host, path = F.col("host"), F.col("path")
     query = F.regexp_extract(raw, r"\?([^#]*)", 1)
     return df.withColumns({
-        "suffix": F.regexp_extract(host, r"([^.]*)$", 1),
+        "suffix": suffix_of(host),
         "f_length": F.length(raw).cast("double"),
         "f_host_length": F.length(host).cast("double"),
         "f_labels": F.regexp_count(host, F.lit(r"\.")).cast("double"),
@@ -111,34 +111,40 @@ class UrlModel:
 
 
 def with_suffix(rows: DataFrame, suffixes: DataFrame, base: float) -> DataFrame:
-    rows = rows.join(F.broadcast(suffixes), "suffix", "left")  # at most MOST_SUFFIXES rows
+    rows = rows.join(suffixes, "suffix", "left")
     return rows.withColumns({
         "f_suffix_rate": F.coalesce("f_suffix_rate", F.lit(base)), "f_suffix_log": F.coalesce("f_suffix_log", F.lit(0.0)),
     })
 
 
-#: Suffixes with their own statistics; the rest share the base rate.
-MOST_SUFFIXES = 5_000
+#: Suffixes up to which their statistics are broadcast; all have their own.
+MOST_BROADCAST = 200_000
+
+
+def suffix_of(host: Column) -> Column:
+    return F.regexp_extract(host, r"([^.]*)$", 1)
 
 
 def fit(labelled: DataFrame, most: int = MOST_FIT, trees: int = 15, depth: int = 4) -> UrlModel:
     """Trees from labelled URLs (url, label 0.0 or 1.0), at most about ``most`` of them.
 
-    Distinct URLs are drawn by hash of the URL, unwanted ones first at an even share. With
+    Distinct URLs are drawn by hash of the URL, unwanted ones first at an even share; what
+    is known of suffixes is counted over all of them, before the draw. With
     one class only, or no labelled URL, the model gives that class's share (0.5 for none).
     """
     rows = labelled.where("url is not null and label is not null").groupBy("url").agg(F.max("label").alias("label"))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    counts = rows.groupBy(suffix_of(host_and_path(F.col("url"))["host"]).alias("suffix")).agg(F.count("*").alias("n"), F.sum("label").alias("s"))
+    counts = stage(counts, "suffixes")
+    n, bad = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0.0))).first()
+    sizes = {k: c for k, c in ((0.0, n - int(bad)), (1.0, int(bad))) if c}
     shares = {k: min(1.0, most / 2 / n) for k, n in sizes.items()}
     unit = F.pmod(F.xxhash64(F.lit("fit"), "url"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = functools.reduce(lambda c, k: F.when(F.col("label") == k, shares[k]).otherwise(c), shares, F.lit(0.0))
     rows = rows.where(unit < share)
     rows = stage(features(rows).withColumn("weight", 1.0 / F.greatest(share, F.lit(1e-9))), "urls-fit")
     base = sizes.get(1.0, 0) / max(1, sum(sizes.values())) if sizes else 0.5
-    stats = rows.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("s"))
-    stats = stats.orderBy(F.desc("n"), "suffix").limit(MOST_SUFFIXES).select(
-        "suffix", ((F.col("s") + 5 * base) / (F.col("n") + 5)).alias("f_suffix_rate"), F.log1p("n").alias("f_suffix_log"))
-    stats = stage(stats, "suffixes")
+    stats = bounded(counts.select(
+        "suffix", ((F.col("s") + 5 * base) / (F.col("n") + 5)).alias("f_suffix_rate"), F.log1p("n").alias("f_suffix_log")), MOST_BROADCAST)
     if len(sizes) < 2:
         return UrlModel(None, stats, base)
     rows = with_suffix(rows, stats, base)
