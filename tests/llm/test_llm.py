@@ -60,6 +60,22 @@ def test_main_text(spark):
     assert pages.extract(df.limit(0), "html", "page_id").count() == 0
 
 
+def test_bare_text_beside_blocks():
+    """Runs of text between blocks belong to the article as blocks of their length do; runs of links do not."""
+    long = "A sentence of the article that has some length. " * 6
+    box = f"<div><p>{long}</p><p>{long}</p></div>"
+    both = f"{long}{long}".strip()
+    assert pages.main_text("<body>Intro text.<br>More text.<div><p>long</p><p>long</p></div></body>") == "Intro text. More text. long long"
+    intro = "The intro of the page stands bare in its body, <b>before</b> any box. " * 4
+    plain = intro.replace("<b>", "").replace("</b>", "").strip()
+    for page in (f"<body>{intro}{box}</body>", f"<div id=page><div class=x><a href=1>Home</a> <a href=2>All</a></div>{intro}{box}</div>"):
+        assert pages.main_text(page) == f"{plain} {both}", page
+    assert pages.main_text(f"<body>{box}{intro}<p>{long}</p>{intro}</body>") == f"{both} {plain} {long.strip()} {plain}"
+    many = f"<div>{f'<p>{long}</p>' * 30}</div>"  # a run as long as the paragraphs of a large box
+    assert pages.main_text(f"<body>{long}{many}</body>") == (long * 31).strip()
+    assert pages.main_text(f"<body><a href=1>Home</a> | <a href=2>All</a>{box}</body>") == both
+
+
 def test_deep_and_broken_pages():
     assert pages.main_text("<div>" * 5000 + "x" + "</p>" * 10) == "x"
     assert pages.main_text('<p title="a > b" class="x>y">in</p><a href="unclosed>tail') == "in tail"

@@ -227,37 +227,43 @@ def drop_menus(nodes: list[Node]) -> None:
             node.noise = True
 
 
+def density(node: Node, body_link: float) -> float:
+    """Characters per tag, adjusted for links; ``body_link`` is the share of link characters in the page."""
+    c, t = node.chars, max(1, node.tags)
+    lc, lt = node.link_chars, node.link_tags
+    if lc >= c:
+        return 0.0
+    # links count against a node: the logarithm's base grows with their share, its argument falls
+    base = math.log(c / max(1, c - lc) * lc + body_link * c + math.e)
+    return c / t * math.log(c / max(1, lc) * t / max(1, lt) + 1) / math.log(base + 1)
+
+
+def add_up(node: Node) -> None:
+    """Counts of a node from those of its parts."""
+    node.chars = node.tags = node.link_chars = node.link_tags = 0
+    for part in node.parts:
+        if type(part) is Node:
+            if part.noise:
+                continue
+            node.chars += part.chars
+            node.tags += part.tags + 1
+            node.link_chars += part.link_chars
+            node.link_tags += part.link_tags + (part.tag == "a")
+        else:
+            node.chars += len("".join(part.split()))
+    if node.tag == "a":
+        node.link_chars, node.link_tags = node.chars, node.tags + 1
+
+
 def measure(nodes: list[Node]) -> None:
     """Densities and their sums, from the leaves up."""
-    for node in nodes:
-        node.chars = node.tags = node.link_chars = node.link_tags = 0
     for node in reversed(nodes):
-        link = node.tag == "a"
-        for part in node.parts:
-            if type(part) is Node:
-                if part.noise:
-                    continue
-                node.chars += part.chars
-                node.tags += part.tags + 1
-                node.link_chars += part.link_chars
-                node.link_tags += part.link_tags + (part.tag == "a")
-            else:
-                node.chars += len("".join(part.split()))
-        if link:
-            node.link_chars, node.link_tags = node.chars, node.tags + 1
+        add_up(node)
     body = nodes[0]
     body_link = body.link_chars / max(1, body.chars)
     for node in nodes:
-        c, t = node.chars, max(1, node.tags)
-        lc, lt = node.link_chars, node.link_tags
-        if not c:
-            continue
-        if lc >= c:
-            node.density = 0.0
-            continue
-        # links count against a node: the logarithm's base grows with their share, its argument falls
-        base = math.log(c / max(1, c - lc) * lc + body_link * c + math.e)
-        node.density = c / t * math.log(c / max(1, lc) * t / max(1, lt) + 1) / math.log(base + 1)
+        if node.chars:
+            node.density = density(node, body_link)
     for node in nodes:
         node.sum = sum(child.density for child in node.nodes() if not child.noise and child.tag not in INLINE)
 
@@ -298,8 +304,31 @@ def article(root: Node) -> list[Node]:
         top = top.up
     if top.up is None or top.tag in ("body", "html"):
         return [top]
-    return [n for n in top.up.nodes() if n is top or (not n.noise and n.chars and (
-        n.tag in HEADINGS or n.density >= least) and 2 * n.link_chars < n.chars)]
+    # a run of bare text has no box whose size adds to its density: as many characters per link as per tag on the way will do
+    plain = min((n.chars / max(1, n.tags) for n in way), default=0.0)
+    return [n for n in blocks(top, nodes[0]) if n is top or (not n.noise and n.chars and (
+        n.tag in HEADINGS or n.density >= least or (n.tag == RUN and n.chars / max(1, n.link_tags) >= plain)) and 2 * n.link_chars < n.chars)]
+
+
+#: The tag of a run of bare text and inline elements between the blocks of a box.
+RUN = "#run"
+
+
+def blocks(top: Node, body: Node) -> list[Node]:
+    """``top`` and what is beside it in page order, each run of bare text and inline elements as a node of its own."""
+    out: list[Node] = []
+    for part in top.up.parts:
+        if type(part) is Node and (part is top or any(n.tag not in INLINE and n.tag not in ("br", "wbr", "img") for n in order(part))):
+            out.append(part)
+            continue
+        if not out or out[-1].tag != RUN:
+            out.append(Node(RUN, top.up))
+        out[-1].parts.append(part)
+    for node in out:
+        if node.tag == RUN:
+            add_up(node)
+            node.density = density(node, body.link_chars / max(1, body.chars))
+    return out
 
 
 def alone(node: Node) -> bool:
