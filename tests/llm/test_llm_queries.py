@@ -19,6 +19,8 @@ COLUMNS = {
     "op7_toxicity": "doc_id held_out score predicted",
     "op8_url_filter": "page_id host path rule verdict",
     "op9_ngram_join": "doc_id n_shingles component_id",
+    "op11_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+    "op13_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 
 

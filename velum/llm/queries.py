@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.llm import decontaminate, licences, mixing, ngram_join, pages, quality, simhash, tokens, toxicity, urls
+from velum.llm import alignment, decontaminate, exact, licences, mixing, ngram_join, pages, quality, simhash, spelling, tokens, toxicity, urls
 from velum.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,49 @@ def op9(spark, root):
 def op10(spark, root):
     docs = table(spark, root, "documents").select("doc_id", "text")
     return licences.scan(docs, licences.fit(docs))
+
+
+OP11_SQL = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
+@query("op11_exact_dedup", OP11_SQL)
+def op11(spark, root):
+    """The table arrives in two loads, larger ids first, so the second one is held against the index of the first."""
+    docs = table(spark, root, "documents")
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0] or 0
+    upper = F.coalesce(F.col("doc_id") > middle, F.lit(False))
+    return exact.deduplicate([("upper", docs.where(upper)), ("lower", docs.where(~upper))], exact.open_index(spark))
+
+
+# crc32 byte by byte, its table made by rule; letters beyond A-z take two bytes, 0xC3 and their code less 64
+OP12_SQL = """WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+run AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS r FROM documents WHERE text IS NOT NULL),
+long AS (SELECT doc_id, r, count(*) AS k FROM run WHERE length(r) >= 6 GROUP BY ALL),
+code AS (SELECT r, k, flatten(list_transform(string_split(doc_id || ':' || r, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END)) AS b FROM long),
+hashed AS (SELECT r, k, xor(4294967295, list_reduce(b, lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), CAST(4294967295 AS BIGINT))) AS h FROM code, crc),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN r[:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, k FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+hole AS (SELECT word, i, word[:i - 1] || word[i + 1:] AS rest FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+near AS (SELECT a.word AS a, b.word AS b FROM hole AS a JOIN hole AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT h.word, w.word FROM hole AS h JOIN words AS w ON w.word = h.rest
+  UNION SELECT w.word, h.word FROM hole AS h JOIN words AS w ON w.word = h.rest),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS form, max(n) AS form_n FROM near JOIN words ON words.word = b GROUP BY a),
+chosen AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS root FROM chosen WHERE form IS NULL UNION ALL SELECT c.word, way.root FROM chosen AS c JOIN way ON c.form = way.word)
+SELECT word, form, root, n, n_near, form_n FROM chosen JOIN way USING (word)"""
+
+
+@query("op12_spelling_variants", OP12_SQL)
+def op12(spark, root):
+    return spelling.variants(table(spark, root, "documents"), damage=199)
+
+
+@query("op13_token_alignment")
+def op13(spark, root):
+    import public_tokenizers
+
+    docs = table(spark, root, "documents")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
