@@ -57,14 +57,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str
     """
     found = stage(windows(benchmark, item, item_text, width), "windows")
     anchors = stage(found.select("anchor_len", "anchor", "len").distinct(), "anchors")
-    lengths = sorted(r[0] for r in anchors.select("anchor_len").distinct().collect())  # 1 to ANCHOR
+    lengths = sorted(r[0] for r in anchors.select("anchor_len").distinct().collect()) or [1]  # 1 to ANCHOR; an empty benchmark is met by nothing
     rows = docs.select(F.col(text).alias("_t")).select("_t", F.array_remove(F.split(folded(F.col("_t")), GAP), "").alias("w"))
     shifted = [F.col("w").alias("s0")] + [
-        F.slice("w", i + 1, F.greatest(F.size("w") - i, F.lit(0))).alias(f"s{i}") for i in range(1, max(lengths, default=1))
+        F.slice("w", i + 1, F.greatest(F.size("w") - i, F.lit(0))).alias(f"s{i}") for i in range(1, max(lengths))
     ]
     # outer explodes: an inner one is given a test for emptiness that computes the words a second time
     rows = rows.select("_t", F.arrays_zip(*shifted).alias("z")).select("_t", F.posexplode_outer("z").alias("at", "z"))
-    opening = [F.xxhash64(*[F.col("z")[f"s{i}"] for i in range(n)]) for n in lengths or [0]]
+    opening = [F.xxhash64(*[F.col("z")[f"s{i}"] for i in range(n)]) for n in lengths]
     rows = rows.select("_t", "at", opening[0].alias("anchor") if len(opening) == 1 else F.explode_outer(F.array(*opening)).alias("anchor"))
     rows = rows.join(bounded(anchors.select("anchor", "len").distinct(), MOST_BROADCAST), "anchor")
     rows = rows.select("_t", "at", "len", F.slice(plain_words(F.col("_t")), F.col("at") + 1, F.col("len")).alias("w"))
