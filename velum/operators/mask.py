@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from velum.functions.patterns import DetectorConfig, might_match
 from velum.functions.rewrite import ENTRIES, replace_in_sequence, replace_sql_literals, replace_values
 from velum.functions.text import PLACEHOLDER, placeholders
-from velum.operators.detect import detect_entities
+from velum.operators.detect import dedupe_spans, detect_entities
 from velum.operators.payloads import STATEMENT, embedded_sql, statement_findings
+from velum.operators.spans import rebuild_text, resolve_spans
 from velum.operators.tokens import (
     assign_tokens,
     attach_entries,
@@ -34,10 +35,13 @@ STAND_IN = "\ue020"
 
 
 def hide_placeholders(text: Column) -> Column:
-    """Text for detectors: earlier tokens shrink to one sign no detector matches."""
-    return F.when(
-        text.contains("["), F.regexp_replace(text, PLACEHOLDER, STAND_IN)
-    ).otherwise(text)
+    """Text for detectors: earlier tokens become signs no detector matches, as many as they are long,
+    so that positions hold in the text itself."""
+    hidden = F.zip_with(
+        F.split(text, PLACEHOLDER, -1), placeholders(text),
+        lambda gap, p: F.concat(gap, F.coalesce(F.repeat(F.lit(STAND_IN), F.length(p)), F.lit(""))),
+    )
+    return F.when(text.rlike(PLACEHOLDER), F.array_join(hidden, "")).otherwise(text)
 
 
 def replace_outside_placeholders(text: Column, entries: Column) -> Column:
@@ -79,26 +83,42 @@ def mask_documents(
     model_spans: DataFrame | None = None,
     chained: bool = False,
     keep_placeholders: bool = False,
+    by_position: bool = False,
 ) -> Masked:
     """Mask a free-text column.
 
     Detection runs once and its (small) result is staged; texts without a match are
     neither joined nor shuffled. ``kb`` turns on the pass over embedded statements;
     ``model_spans`` adds spans from ``detect_with_model``; ``chained`` is plain
-    one-after-the-other replacement.
+    one-after-the-other replacement. A span that two detectors meet counts once.
+
+    By default a found value is replaced wherever its text holds it. ``by_position``
+    resolves overlapping spans and replaces those places only; texts are rebuilt once.
     """
+    if by_position and (kb is not None or chained):
+        raise ValueError("by_position reads no statements and replaces no values in a row")
     source = docs.select(required(scope).alias("scope"), required(key).alias("doc_id"), F.col(text).alias("text"))
     body = hide_placeholders(F.col("text")) if keep_placeholders else F.col("text")
     keys = ["scope", "doc_id"]
     found = detect_entities(source, keys, body, config)
     if model_spans is not None:
         found = found.unionByName(model_spans)
+    if by_position:
+        found = resolve_spans(found, keys)
+    elif model_spans is not None:
+        found = dedupe_spans(found, keys)
     found = found.withColumn("ord", F.lit(1))
     if kb is not None:
         found = found.unionByName(statement_findings(source, kb), allowMissingColumns=True)
     found = stage(found, "findings")
     new, known = token_findings(found, existing, high_water)
 
+    if by_position:
+        puts = tokens_for(found, known).select(F.col("scope").alias("_scope"), "doc_id", "start", "end", F.col("token").alias("put"))
+        renamed = docs.withColumn("_scope", F.col(scope)).withColumnsRenamed({key: "doc_id", text: "text"})
+        touched = might_match(body, config.patterns) if model_spans is None else None
+        rows = rebuild_text(renamed, puts, ["_scope", "doc_id"], touched=touched)
+        return Masked(rows.withColumnsRenamed({"doc_id": key, "text": text}).select(*docs.columns), new, found)
     pairs = tokens_for(found, known).select("scope", "doc_id", "ord", "value", "token")
     touched = None
     if model_spans is None:

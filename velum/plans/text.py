@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from velum.functions.patterns import DEFAULT_PATTERNS, IDENTIFIER_PATTERNS, DetectorConfig, Pattern
-from velum.operators import detect, mask, tokens
+from velum.operators import containment, detect, mask, spans, tokens
 from velum.plans.base import DOC_FINDINGS, DOC_MASKED, DOC_SPANS, derived, query, spans_sql, tokens_sql
 from velum.session import stage
 from velum.sources.files import table
@@ -97,6 +97,49 @@ def source_counts(spark, root):
     return detect.source_counts(detect.dedupe_spans(found, ["doc_id", "lang"]), ["lang"], ["pattern", "model"])
 
 
+# Detectors that meet, nest and overlap: hosts inside addresses, numbers inside cards, words around both.
+OVERLAPPING = DEFAULT_PATTERNS + [
+    Pattern("LONG_NUMBER", r"\b\d{12,19}\b", "ID", 0.5),
+    Pattern("HOST", r"[A-Za-z0-9-]+\.(?:org|com|net|example)", "ORG", 0.4),
+    Pattern("PAIR", r"[a-z]+ [0-9]+", "ID", 0.3),
+]
+# chosen one after the other: longest, then priority, then from the left
+RESOLVED = f"""WITH found AS ({spans_sql('documents', 'doc_id', 'text', OVERLAPPING)}),
+lists AS (SELECT doc_id, list({{'s': start, 'e': start + length(value), 'v': value, 'l': label}}
+    ORDER BY -length(value), prio, start, -score, label, value) AS a FROM found GROUP BY doc_id),
+chosen AS (SELECT doc_id, list_reduce(a, lambda got, x: CASE WHEN len(list_filter(got, lambda g: g.s < x.e AND x.s < g.e)) = 0
+    THEN list_append(got, x) ELSE got END, a[1:0]) AS c FROM lists)"""
+
+
+def _overlapping(spark, root):
+    docs = table(spark, root, "documents")
+    found = detect.detect_entities(docs, ["doc_id"], config=DetectorConfig(patterns=tuple(OVERLAPPING)))
+    return spans.resolve_spans(found, ["doc_id"])
+
+
+@query(
+    "resolve_spans",
+    RESOLVED + """ SELECT doc_id, CAST(x.s AS BIGINT) AS start, CAST(x.e AS BIGINT) AS "end", x.v AS value, x.l AS label
+    FROM (SELECT doc_id, unnest(c) AS x FROM chosen)""",
+)
+def resolve_spans(spark, root):
+    return _overlapping(spark, root).select(
+        "doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "value", "label"
+    )
+
+
+@query(
+    "rebuild_text",
+    RESOLVED + """ SELECT d.doc_id, CASE WHEN c IS NULL THEN text ELSE
+      list_reduce(list_reverse_sort(c), lambda a, x: a[:x.s] || '<' || x.l || '>' || a[x.e + 1:], text) END AS text
+    FROM documents d LEFT JOIN (SELECT doc_id, list_transform(c, lambda x: {'s': x.s, 'e': x.e, 'l': x.l}) AS c FROM chosen) USING (doc_id)""",
+)
+def rebuild_text(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    puts = _overlapping(spark, root).select("doc_id", "start", "end", F.concat(F.lit("<"), "label", F.lit(">")).alias("put"))
+    return spans.rebuild_text(docs, puts, ["doc_id"])
+
+
 SWISS = """c_custkey, concat('Dossier AVS 756.', lpad(cast(c_custkey % 10000 as string), 4, '0'), '.',
  lpad(cast((c_custkey * 7) % 10000 as string), 4, '0'), '.', lpad(cast(c_custkey % 100 as string), 2, '0'),
  ', police PO', lpad(cast(c_custkey as string), 9, '0'), '-', lpad(cast((c_custkey * 3) % 100000 as string), 5, '0'), '/',
@@ -143,6 +186,40 @@ def leak_check(spark, root):
     )
 
 
+# masked texts, the last one of each scope with the scope's first mapped value put back
+PLANTED = """SELECT m.doc_id, m.source, CASE WHEN m.doc_id = p.last THEN concat(m.text, ' ... ', p.value) ELSE m.text END AS text
+ FROM masked m LEFT JOIN (SELECT source, last, value FROM (SELECT source, max(doc_id) AS last FROM masked GROUP BY source) s
+   JOIN (SELECT scope, min(value) AS value FROM tokens GROUP BY scope) v ON v.scope = s.source) p ON p.source = m.source"""
+
+
+@query(
+    "leak_check_scope",
+    DOC_MASKED + f""", planted AS ({PLANTED})
+    SELECT p.source AS scope, doc_id, value, CAST((length(text) - length(replace(text, value, ''))) // length(value) AS BIGINT) AS n
+    FROM planted p JOIN tokens t ON t.scope = p.source AND contains(p.text, t.value)""",
+)
+def leak_check_scope(spark, root):
+    """Each value of a scope's map is sought in every masked text of the scope; one is planted per scope."""
+    docs = table(spark, root, "documents").select("doc_id", "source", "text")
+    result = mask.mask_documents(docs, "source")
+    token_map = stage(result.token_map, "tokens")
+    result.rows.createOrReplaceTempView("masked")
+    token_map.createOrReplaceTempView("tokens")
+    return containment.leak_check_scope(spark.sql(PLANTED), token_map, ["doc_id"], scope="source")
+
+
+@query(
+    "scope_containment",
+    DOC_FINDINGS + """ SELECT d.source AS scope, doc_id, value FROM documents d
+    JOIN tokens t ON t.scope = d.source AND contains(d.text, t.value)""",
+)
+def scope_containment(spark, root):
+    """Every text that holds a value found anywhere in its scope."""
+    docs = table(spark, root, "documents")
+    found = containment.contained_values(docs, stage(doc_tokens(spark, root), "tokens"), ["doc_id"], scope="source")
+    return found.select("scope", "doc_id", "value").distinct()
+
+
 ORDER_TEXTS = """o_orderkey, 'all' AS scope, concat('Order for [PERSONNE_', cast(o_custkey as string), '], mail [EMAIL_',
  cast(o_custkey % 10 as string), '] (not [PERSONNE_', cast(o_custkey % 7 as string), '0]), ref [POLICE_',
  cast(o_orderkey as string), '] list [1, 2]') AS text"""
