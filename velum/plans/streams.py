@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from velum.plans.base import DOC_MASKED, derived, query
+from velum.plans.base import DOC_MASKED, DOC_SPANS, derived, query
 from velum.plans.text import ORDER_TEXTS, RESTORED, order_map
 from velum.session import shared_dir, stage
 from velum.sources.files import table
@@ -87,6 +87,48 @@ def stream_mask(spark, root):
     return mask.read_batches(spark, f"{out}/masked").select("doc_id", "text")
 
 
+# Four batches: thirds of the ids, then the first third again. src3 is erased before the
+# third batch, every scope expires before the fourth.
+BATCH = "cast(floor(3 * doc_id / (1 + (SELECT max(doc_id) FROM documents))) as int)"
+
+
+def _compacted_sql() -> str:
+    parts = [f"""WITH found AS (SELECT f.*, {BATCH} AS b FROM (SELECT source AS scope, doc_id, start, prio, value, label FROM ({DOC_SPANS})) f),
+    batches AS (SELECT * FROM found UNION ALL SELECT scope, doc_id, start, prio, value, label, 3 FROM found WHERE b = 0),
+    m0 AS (SELECT '' AS scope, '' AS label, CAST(0 AS BIGINT) AS n, '' AS value, -1 AS batch WHERE false)"""]
+    for b in range(4):
+        live = {2: "scope <> 'src3'", 3: "false"}.get(b, "true")
+        parts.append(f"""m{b + 1} AS (SELECT * FROM m{b} UNION ALL SELECT scope, label, n + coalesce(top, 0), value, {b} FROM (
+          SELECT *, row_number() OVER (PARTITION BY scope, label ORDER BY doc_id, start, prio, value) AS n FROM (
+            SELECT *, row_number() OVER (PARTITION BY scope, value ORDER BY doc_id, start, prio, label) AS r FROM batches WHERE b = {b})
+          WHERE r = 1 AND (scope, value) NOT IN (SELECT (scope, value) FROM m{b} WHERE {live}))
+         LEFT JOIN (SELECT scope, label, max(n) AS top FROM m{b} GROUP BY ALL) USING (scope, label))""")
+    return ",\n".join(parts) + " SELECT batch, scope, label, n, value FROM m4"
+
+
+@query("stream_mask_compacted", _compacted_sql())
+def stream_mask_compacted(spark, root):
+    """Tokens that each of four micro-batches made, with an erased scope, an expiry and two compactions between them."""
+    docs = table(spark, root, "documents").select("doc_id", "source", "text")
+    docs.createOrReplaceTempView("documents")
+    third = docs.withColumn("b", F.expr(BATCH))
+    folder, out, state = (_folder(spark, name) for name in ("batches", "mask-out", "mask-state"))
+    store = mask.token_store(spark, out)
+    made = None
+    for batch in range(4):
+        if batch == 2:
+            store.erase(["src3"])
+        if batch == 3:
+            store.expire(F.current_timestamp() + F.expr("interval 2 days"))
+        third.where(F.col("b") == batch % 3).drop("b").write.mode("append").parquet(folder)
+        source = spark.readStream.schema(docs.schema).parquet(folder)
+        mask.start_mask(source, out, state, "source", compact_every=2).awaitTermination()
+        # kept apart, as a compaction takes ended tokens out
+        new = stage(store.live(batch + 1).where(F.col("batch_id") == batch), "new-tokens")
+        made = new if made is None else made.unionByName(new)
+    return made.select(F.col("batch_id").cast("int").alias("batch"), "scope", "label", "n", "value")
+
+
 KINDS = ("click", "error", "purchase", "signup", "view")
 
 
