@@ -69,7 +69,23 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     _staged.append(path)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete tables made by ``stage`` while a job goes on.
+
+    Only once all that was computed from them has been staged itself: a lost executor's
+    work is done again from the tables it read.
+    """
+    for df in staged:
+        path = getattr(df, "_staged_at", None)
+        if path in _staged:
+            _staged.remove(path)
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage_small(df: DataFrame, name: str = "stage") -> tuple[DataFrame, bool]:
