@@ -17,7 +17,7 @@ SQL_SHAPES = (
     r"delete\s+from\s+\S+",
     r"select\s+(?:[^;]*?\sfrom\s+\S+|\*|[0-9'(][^;]*$)",
 )
-SQL_START = r"(?is)^\s*(?:" + "|".join(SQL_SHAPES) + ")"
+SQL_START = r"(?is)^(?:\s++|--[^\n]*+(?:\n|\z)|/\*.*?\*/)*+(?:" + "|".join(SQL_SHAPES) + ")"
 
 
 @F.pandas_udf(T.BooleanType())

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from velum.functions.flatten import MAX_NESTING, blob_kind, parse_xml
 from velum.functions.hof import bind
+from velum.functions.sql_lex import PARTS, STRING, unquoted
+from velum.functions.text import PLACEHOLDER, placeholders
 
 # array<struct<key,value>>: what to look for and what to put in its place
 ENTRIES = T.ArrayType(
@@ -85,9 +87,6 @@ def replace_values(text: Column, entries: Column) -> Column:
     )
 
 
-_LITERAL = r"'[^']*+(?:''[^']*+)*'|(?<![\w.'])[0-9]+(?:\.[0-9]+)?(?![\w.'])"
-
-
 def _lookup(entries: Column) -> Column:
     return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["value"])))
 
@@ -95,32 +94,31 @@ def _lookup(entries: Column) -> Column:
 def replace_sql_literals(sql: Column, entries: Column) -> Column:
     """Replace literals whose value is a key; a replaced literal is always quoted.
 
-    A longer string literal that only holds keys has them replaced inside, so no
-    value stays readable.
+    A longer string literal or comment that only holds keys has them replaced inside, so
+    no value stays readable. Quoted names stay.
     """
 
     def swap(gap: Column, literal: Column, known: Column) -> Column:
-        quoted = literal.startswith("'")
-        inner = F.when(
-            quoted,
-            F.replace(F.substring(literal, F.lit(2), F.length(literal) - 2), F.lit("''"), F.lit("'")),
-        ).otherwise(literal)
+        quoted = literal.rlike(STRING)
+        comment = literal.startswith("--") | literal.startswith("/*")
+        inner = unquoted(literal)
         held = quoted & F.exists(entries, lambda e: F.contains(inner, e["key"]))
         new = F.coalesce(
             F.try_element_at(known, inner), F.when(held, replace_values(inner, entries))
         )
-        put = F.when(
-            new.isNotNull(),
-            F.concat(F.lit("'"), F.replace(new, F.lit("'"), F.lit("''")), F.lit("'")),
-        ).otherwise(literal)
+        put = (
+            F.when(comment, replace_values(literal, entries))
+            .when(new.isNotNull() & ~literal.rlike('^["`]'), F.concat(F.lit("'"), F.replace(new, F.lit("'"), F.lit("''")), F.lit("'")))
+            .otherwise(literal)
+        )
         return F.concat(gap, F.coalesce(put, F.lit("")))
 
     rebuilt = bind(
         _lookup(entries),
         lambda known: F.array_join(
             F.zip_with(
-                F.split(sql, _LITERAL, -1),
-                F.regexp_extract_all(sql, F.lit(_LITERAL), F.lit(0)),
+                F.split(sql, PARTS, -1),
+                F.regexp_extract_all(sql, F.lit(PARTS), F.lit(0)),
                 lambda gap, literal: swap(gap, literal, known),
             ),
             "",
@@ -129,6 +127,34 @@ def replace_sql_literals(sql: Column, entries: Column) -> Column:
     return F.when(entries.isNull() | (F.size(entries) == 0), sql).otherwise(rebuilt)
 
 
+# A statement inside prose: from its first word to the first semicolon outside strings or the line end.
+STATEMENT = (
+    r"(?i)\b(?:insert[ \t]+into[ \t]+[^\s;]+|update[ \t]+[^\s;]+[ \t]+set[ \t]+[^\s;=]+[ \t]*="
+    r"|delete[ \t]+from[ \t]+[^\s;]+|select[ \t]+[^;\n]*?[ \t]from[ \t]+[^\s;]+)(?:[^;\n']++|'[^'\n]*+'|')*+;?"
+)
+
+
+def replace_outside_placeholders(text: Column, entries: Column) -> Column:
+    """As ``replace_values``, but earlier tokens stay as they are."""
+    gaps = F.transform(
+        F.split(text, PLACEHOLDER, -1), lambda gap: replace_values(gap, entries)
+    )
+    kept = F.array_join(
+        F.zip_with(gaps, placeholders(text), lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), ""
+    )
+    return F.when(text.rlike(PLACEHOLDER), kept).otherwise(replace_values(text, entries))
+
+
+def splice_statements(text: Column, entries: Column) -> Column:
+    """Rewrite the literals of embedded statements only."""
+    parts = F.zip_with(
+        F.split(text, STATEMENT, -1),
+        F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(0)),
+        lambda gap, sql: F.concat(gap, F.coalesce(replace_sql_literals(sql, entries), F.lit(""))),
+    )
+    return F.when(text.rlike(STATEMENT), F.array_join(parts, "")).otherwise(text)
+
+
 # ---- nested documents: the shape differs by row, so a small helper per row ----
 
 
@@ -244,8 +270,6 @@ def restore_tokens(text: Column, entries: Column) -> Column:
 
     Tokens end with a bracket, so none is the head of another and one split does it.
     """
-    from velum.functions.text import PLACEHOLDER, placeholders
-
     rebuilt = bind(
         _lookup(entries),
         lambda known: F.array_join(

@@ -9,10 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.functions.patterns import DetectorConfig, might_match
-from velum.functions.rewrite import ENTRIES, replace_in_sequence, replace_sql_literals, replace_values
+from velum.functions.rewrite import (
+    ENTRIES,
+    STATEMENT,
+    replace_in_sequence,
+    replace_outside_placeholders,
+    replace_values,
+    splice_statements,
+)
 from velum.functions.text import PLACEHOLDER, placeholders
 from velum.operators.detect import dedupe_spans, detect_entities
-from velum.operators.payloads import STATEMENT, embedded_sql, statement_findings
+from velum.operators.payloads import statement_findings
 from velum.operators.spans import rebuild_text, resolve_spans
 from velum.operators.tokens import (
     assign_tokens,
@@ -44,27 +51,6 @@ def hide_placeholders(text: Column) -> Column:
     return F.when(text.rlike(PLACEHOLDER), F.array_join(hidden, "")).otherwise(text)
 
 
-def replace_outside_placeholders(text: Column, entries: Column) -> Column:
-    """As ``replace_values``, but earlier tokens stay as they are."""
-    gaps = F.transform(
-        F.split(text, PLACEHOLDER, -1), lambda gap: replace_values(gap, entries)
-    )
-    kept = F.array_join(
-        F.zip_with(gaps, placeholders(text), lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), ""
-    )
-    return F.when(text.rlike(PLACEHOLDER), kept).otherwise(replace_values(text, entries))
-
-
-def splice_statements(text: Column, entries: Column) -> Column:
-    """Rewrite the literals of embedded statements only."""
-    parts = F.zip_with(
-        F.split(text, STATEMENT, -1),
-        F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(0)),
-        lambda gap, sql: F.concat(gap, F.coalesce(replace_sql_literals(sql, entries), F.lit(""))),
-    )
-    return F.when(text.rlike(STATEMENT), F.array_join(parts, "")).otherwise(text)
-
-
 def token_findings(findings: DataFrame, existing: DataFrame | None, high_water: DataFrame | None):
     new = assign_tokens(findings, existing, high_water)
     known = new if existing is None else new.unionByName(existing.select(*new.columns))

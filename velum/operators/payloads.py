@@ -5,24 +5,19 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velum.functions.flatten import flatten, open_nested, sql_fields
 from velum.functions.formats import detect_format
 from velum.functions.patterns import DetectorConfig, find_spans
-from velum.functions.rewrite import replace_by_format, with_blob_entries
+from velum.functions.rewrite import ENTRIES, STATEMENT, replace_by_format, replace_outside_placeholders, splice_statements, with_blob_entries
 from velum.operators.columns import Classifier, classify, column_profile
 from velum.operators.kb import is_pii, with_labels
-from velum.operators.tokens import assign_tokens, entry_lists, required, tokens_for
+from velum.operators.sql_text import sql_literals
+from velum.operators.tokens import assign_tokens, required, tokens_for
 from velum.session import stage
 
-# A statement inside prose: from its first word to the first semicolon outside strings or the line end.
-STATEMENT = (
-    r"(?i)\b(?:insert[ \t]+into[ \t]+[^\s;]+|update[ \t]+[^\s;]+[ \t]+set[ \t]+[^\s;=]+[ \t]*="
-    r"|delete[ \t]+from[ \t]+[^\s;]+|select[ \t]+[^;\n]*?[ \t]from[ \t]+[^\s;]+)(?:[^;\n']++|'[^'\n]*+'|')*+;?"
-)
-
-
 # Arrays that are costly to build are exploded with the outer form: for an inner one
 # Spark adds a filter on the array's size and builds it a second time for that.
 
@@ -43,14 +38,22 @@ def format_profile(texts: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def with_fields(payloads: DataFrame, text: str = "text", drop_empty: bool = True) -> DataFrame:
-    """Add ``fmt``, ``fields`` and ``error``; free text is one field without a name."""
+def with_fields(payloads: DataFrame, text: str = "text", drop_empty: bool = True, statements: bool = False) -> DataFrame:
+    """Add ``fmt``, ``fields`` and ``error``; free text is one field without a name.
+
+    With ``statements`` literals of SQL are left to ``sql_literals``: ``sql`` holds the
+    scripts and the statements inside free text.
+    """
     whole = F.array(
         F.struct(F.lit(None).cast("string").alias("field"), F.col(text).alias("value"), F.lit("").alias("path"))
     )
+    fmt, body = F.col("fmt"), F.col(text)
+    rows = payloads.withColumn("fmt", detect_format(body))
+    if statements:
+        inside = F.when(body.rlike(STATEMENT), F.regexp_extract_all(body, F.lit(STATEMENT), F.lit(0)))
+        rows = rows.withColumn("sql", F.when(fmt == "sql", F.array(body)).when(fmt == "freetext", inside))
     return (
-        payloads.withColumn("fmt", detect_format(F.col(text)))
-        .withColumn("_flat", flatten(F.col("fmt"), F.col(text), drop_empty))
+        rows.withColumn("_flat", flatten(F.when(fmt != "sql", fmt) if statements else fmt, body, drop_empty))
         .withColumn("error", F.col("_flat.error"))
         .withColumn("fields", F.when(F.col("error").isNull(), F.col("_flat.fields")))
         .withColumn(
@@ -95,16 +98,12 @@ def embedded_sql(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
 
 def statement_findings(texts: DataFrame, kb: DataFrame) -> DataFrame:
     """Labelled literals of statements inside free text, as findings with ``ord`` 0."""
-    literals = (
-        embedded_sql(texts, ["scope", "doc_id"])
-        .select("scope", "doc_id", F.col("ord").alias("_s"), F.posexplode_outer(sql_fields(F.col("sql"))).alias("_i", "f"))
-        .where("_i IS NOT NULL")
-        .select(
-            "scope", "doc_id", "f.field", "f.value",
-            # position in the text's run of literals: statement first, then literal
-            in_order("_s", "_i").alias("start"),
-            F.lit(None).cast("string").alias("db"), F.lit(None).cast("string").alias("table"),
-        )
+    statements = embedded_sql(texts, ["scope", "doc_id"]).repartition("scope", "doc_id").withColumnRenamed("ord", "_s")
+    literals = sql_literals(statements, ["scope", "doc_id", "_s"], "sql").where("field IS NOT NULL").select(
+        "scope", "doc_id", "field", "value",
+        # position in the text's run of literals: statement first, then literal
+        in_order("_s", "ord").alias("start"),
+        F.lit(None).cast("string").alias("db"), F.lit(None).cast("string").alias("table"),
     )
     return (
         with_labels(literals, kb)
@@ -222,14 +221,21 @@ def mask_payloads(
             required(scope).alias("scope"), required(key).alias("doc_id"), F.col(text).alias("text"),
             (F.col(db) if db else null).alias("db"), (F.col(table) if table else null).alias("table"),
         ),
-        "text", drop_empty,
+        "text", drop_empty, statements=True,
     ).drop("text")
     read = stage(read, "payload-fields")
-    fields = read.select("scope", "doc_id", "db", "table", "fmt", F.posexplode("fields").alias("_p", "f")).select(
-        "scope", "doc_id", "db", "table", "fmt", "_p", F.col("f.value").alias("_outer"),
-        F.posexplode_outer(open_nested(F.col("f.field"), F.col("f.value"), F.col("f.path"))).alias("_s", "f"),
+    own = ["scope", "doc_id", "db", "table", "fmt"]
+    flat = read.select(*own, F.posexplode("fields").alias("_p", "f")).select(*own, "_p", "f.field", "f.value", "f.path")
+    # literals of scripts and of statements inside prose, after the text itself
+    scripts = read.where("sql IS NOT NULL").repartition("scope", "doc_id").select(*own, F.posexplode_outer("sql").alias("_k", "text"))
+    said = sql_literals(scripts, [*own, "_k"])
+    place = W.partitionBy("scope", "doc_id").orderBy("_k", "ord")
+    flat = flat.where("fmt <> 'sql'").unionByName(said.select(*own, F.row_number().over(place).alias("_p"), "field", "value", "path"))
+    fields = flat.select(
+        *own, "_p", F.col("value").alias("_outer"),
+        F.posexplode_outer(open_nested(F.col("field"), F.col("value"), F.col("path"))).alias("_s", "f"),
     ).select(
-        "scope", "doc_id", "db", "table", "fmt", "_outer",
+        *own, "_outer",
         # all leaves in document order: outer position, then position inside
         in_order("_p", "_s").alias("ord"), "f.*",
     )
@@ -277,13 +283,20 @@ def mask_payloads(
 
     new = assign_tokens(findings, existing, high_water)
     token_map = new if existing is None else new.unionByName(existing.select(*new.columns))
-    entries = entry_lists(tokens_for(findings, token_map), ["scope", "doc_id"], "value", "token")
+    pair = F.struct(F.col("value").alias("key"), F.col("token").alias("value"))
+    entries = tokens_for(findings, token_map).groupBy("scope", "doc_id").agg(
+        F.collect_set(pair).cast(ENTRIES).alias("entries"),
+        # in free text a literal is replaced in its statement, other values anywhere
+        F.collect_set(F.when(F.col("field").isNotNull(), pair)).cast(ENTRIES).alias("literals"),
+        F.collect_set(F.when(F.col("field").isNull(), pair)).cast(ENTRIES).alias("spans"),
+    )
     blobs = (
         fields.where("depth > 0 AND fmt IN ('sql', 'csv', 'table')")
         .groupBy("scope", "doc_id")
         .agg(F.collect_set("_outer").alias("blobs"))
     )
-    fmt = F.when(F.get("fields", F.lit(0))["field"].isNull(), "freetext").otherwise(F.col("fmt"))
+    nameless = F.get("fields", F.lit(0))["field"].isNull() & (F.col("fmt") != "sql")
+    fmt = F.when(nameless, "freetext").otherwise(F.col("fmt"))
     good = (
         read.groupBy("scope", "doc_id")
         .agg(F.count("*").alias("_n"), F.max("error").alias("error"), F.min(fmt).alias("fmt"))
@@ -299,7 +312,10 @@ def mask_payloads(
     rows = (
         payloads.withColumn("_scope", F.col(scope)).withColumnsRenamed({key: "doc_id", text: "text"})
         .join(good, ["_scope", "doc_id"])
-        .withColumn("text", replace_by_format(F.col("fmt"), F.col("text"), F.col("entries")))
+        .withColumn("text", F.when(
+            F.col("fmt") == "freetext",
+            replace_outside_placeholders(splice_statements(F.col("text"), F.col("literals")), F.col("spans")),
+        ).otherwise(replace_by_format(F.col("fmt"), F.col("text"), F.col("entries"))))
         .withColumnsRenamed({"doc_id": key, "text": text})
         .select(*payloads.columns, "fmt")
     )

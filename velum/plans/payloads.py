@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from velum.operators import payloads as P
+from velum.operators.sql_text import sql_literals
 from velum.plans.base import derived, query, spans_sql, tokens_sql
 from velum.plans.kb import lexicon_kb
 
@@ -118,6 +119,24 @@ def explode_sql_script(spark, root):
     return exploded(spark, root, SCRIPT_TEXT)
 
 
+# Calls in calls, comments with apostrophes, other ways of quoting, both sides of a comparison, what follows the values.
+LEXED_TEXT = f"""concat('-- it', {Q}, 's customer ', cast(c_custkey as string), {NL}, 'INSERT INTO clients (nom, "ville", n) VALUES (', {Q}, c_name, {Q},
+ ', lower(trim(', {Q}, c_mktsegment, {Q}, ')), ', cast(c_nationkey as string), '), (f(1, g(', {Q}, 'a', {Q}, {Q}, 'b', {Q}, ')), null, 2)',
+ ' ON CONFLICT (nom) DO UPDATE SET nom = ', {Q}, c_name, {Q}, '; /* don', {Q}, 't */ UPDATE c SET nom = upper($$T ', c_mktsegment, '$$), k = 4',
+ ' WHERE ', {Q}, 'q;', {Q}, ' = c.`rue` AND d BETWEEN 1 AND 9 AND z NOT IN (1, ', {Q}, c_mktsegment, {Q}, ') LIMIT 7;')"""
+_LEXED = [
+    (None, "'-- it''s customer ' || c_custkey", "comment"), ("nom", "c_name", "stmt0.ins0.0"), ("ville", "c_mktsegment", "stmt0.ins0.1"),
+    ("n", "c_nationkey::VARCHAR", "stmt0.ins0.2"), ("nom", "'a''b'", "stmt0.ins1.0"), ("n", "'2'", "stmt0.ins1.2"), ("nom", "c_name", "stmt0.lit0"),
+    (None, "'/* don''t */'", "comment"), ("nom", "'T ' || c_mktsegment", "stmt1.lit0"), ("k", "'4'", "stmt1.lit1"), ("rue", "'q;'", "stmt1.lit2"),
+    ("d", "'1'", "stmt1.lit3"), ("d", "'9'", "stmt1.lit4"), ("z", "'1'", "stmt1.lit5"), ("z", "c_mktsegment", "stmt1.lit6"),
+]
+
+
+@query("sql_lexed", rows_sql(*_LEXED).replace("'None' AS field", "NULL AS field"))
+def sql_lexed(spark, root):
+    return sql_literals(derived(spark, root, "customer", f"c_custkey, {LEXED_TEXT} AS text"), ["c_custkey"])
+
+
 # JSON held as text in JSON, XML held in that.
 _INNER = """concat('{"nom": "', c_name, '", "deep": "<a v=\\\\"', c_mktsegment, '\\\\"/>"}')"""
 NESTED_TEXT = f"""concat('{{"note": "plain", "blob": "', replace(replace({_INNER}, '\\\\', '\\\\\\\\'), '"', '\\\\"'), '", "bad": "[1, 2"}}')"""
@@ -211,6 +230,29 @@ def mask_payloads(spark, root):
     return P.mask_payloads(derived(spark, root, "customer", PAYLOADS), lexicon_kb(spark)).rows.select("doc_id", "text")
 
 
+def prose(nom: str, ville: str, again: str, mail: str) -> str:
+    """Free text with a statement in it; the name outside the statement is no literal."""
+    return f"""concat('Voir ', {mail}, ' : INSERT INTO clients (nom, ville) VALUES (', {Q}, {nom}, {Q}, ', upper(lower(trim(', {Q}, {ville}, {Q}, '))))',
+ ' ON CONFLICT DO UPDATE SET nom = ', {Q}, {again}, {Q}, '; merci')"""
+
+
+@query(
+    "mask_payloads_prose",
+    f"""WITH src AS (SELECT *, c_nationkey::VARCHAR AS scope, c_custkey AS doc_id, {_MAIL} AS mail FROM customer),
+    found AS (SELECT scope, doc_id, 0 AS ord, 5 AS start, 0 AS prio, mail AS value, 'EMAIL' AS label FROM src
+      UNION ALL SELECT scope, doc_id, 1, 0, 0, c_name, 'PERSONNE' FROM src UNION ALL SELECT scope, doc_id, 2, 0, 0, c_mktsegment, 'LOCALISATION' FROM src
+      UNION ALL SELECT scope, doc_id, 3, 0, 0, 'Z ' || c_name, 'PERSONNE' FROM src),
+    tokens AS ({tokens_sql('found')})
+    SELECT doc_id, {prose('a.token', 'b.token', 'c.token', 'd.token')} AS text FROM src
+    JOIN tokens a ON a.scope = src.scope AND a.value = c_name JOIN tokens b ON b.scope = src.scope AND b.value = c_mktsegment
+    JOIN tokens c ON c.scope = src.scope AND c.value = 'Z ' || c_name JOIN tokens d ON d.scope = src.scope AND d.value = mail""",
+)
+def mask_payloads_prose(spark, root):
+    text = prose("c_name", "c_mktsegment", "concat('Z ', c_name)", _MAIL)
+    rows = derived(spark, root, "customer", f"c_custkey AS doc_id, cast(c_nationkey as string) AS scope, {text} AS text")
+    return P.mask_payloads(rows, lexicon_kb(spark)).rows.select("doc_id", "text")
+
+
 BROKEN = f"""c_custkey AS doc_id, 'all' AS scope, case when c_custkey % 10 = 0 then concat('{{"nom": "', c_name)
  when c_custkey % 10 = 5 then concat('"a,x",b', {NL}, c_name, ',2,3') else {PROSE_TEXT} end AS text"""
 
