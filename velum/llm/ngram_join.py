@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from velum.llm.common import bounded, content_key, stage
+from velum.session import release
 
 WORDS = 4
 #: Two documents link when 100 * intersection >= PERCENT * union.
@@ -33,6 +34,8 @@ BITMAP = 8
 MOST_COMMON = 500_000
 #: N-grams gathered before they are counted, and the count from which one is reported.
 GATHERED, REPORTED = 4_000_000, 3
+#: Word hashes a worker keeps.
+WORD_HASHES = 100_000
 MOST_BROADCAST = 2_000_000
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -43,7 +46,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > WORD_HASHES:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -83,7 +86,12 @@ def survey(width: int):
         hashes, met, held, size = WordHashes(), set(), [], 0
 
         def common() -> pd.DataFrame:
-            token, seen = np.unique(np.concatenate(held), return_counts=True)
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens.sort()  # in place: np.unique would sort a copy
+            first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+            seen = np.diff(np.append(first, len(tokens)))
+            token = tokens[first]
             keep = seen >= REPORTED
             return pd.DataFrame({"id": pd.array([None] * int(keep.sum()), "Int64"), "k1": 0, "k2": 0, "n": 0, "c": None, "token": token[keep].view(np.int64), "seen": seen[keep]})
 
@@ -98,7 +106,7 @@ def survey(width: int):
                     size += len(s)
             if size >= GATHERED:
                 yield common()
-                held, size = [], 0
+                size = 0
         if held:
             yield common()
 
@@ -108,12 +116,16 @@ def survey(width: int):
 class Order:
     """Rarest first: n-grams not known as common by hash, then the common ones by count."""
 
-    def __init__(self, tokens: np.ndarray, seen: np.ndarray):
+    def __init__(self, tokens: np.ndarray, rank: np.ndarray):
+        self.tokens, self.rank = tokens, rank
+
+    @staticmethod
+    def of(tokens: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted n-grams and their ranks: plain arrays, as a broadcast object would have to be imported by workers."""
         by_token = np.argsort(tokens)
-        self.tokens = tokens[by_token]
         rank = np.empty(len(tokens), np.int64)
         rank[np.lexsort((tokens, seen))] = np.arange(1, len(tokens) + 1)
-        self.rank = rank[by_token]
+        return tokens[by_token], rank[by_token]
 
     def ranks(self, tokens: np.ndarray) -> np.ndarray:
         if not len(self.tokens):
@@ -140,7 +152,7 @@ def prefixes(order, width: int, percent: int):
         import xxhash
 
         hashes, met, groups = WordHashes(), set(), set()
-        known: Order = order.value
+        known = Order(*order.value)
         for batch in batches:
             classes, posts = [], []
             for text in batch["text"]:
@@ -231,7 +243,9 @@ def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int,
     both = pairs.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
     linked = F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent
-    return stage(both.where(linked).select("a", "b").distinct(), "links")
+    links = stage(both.where(linked).select("a", "b").distinct(), "links")
+    release(pairs, wanted, sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -242,16 +256,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = stage(both, "edges")
-    labels = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("c"), "label"), "labels")
+    last = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("c"), "label"), "labels")
+    labels = last
     while True:
         near = both.join(labels.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
         spread = labels.join(near.withColumnRenamed("a", "c"), "c").select("c", "label", F.least("label", "near").alias("new"))
         jump = labels.toDF("new", "jump")
         spread = spread.join(jump, "new").select("c", "label", F.least("new", "jump").alias("new"))
         spread = stage(spread, "labels")
+        release(last)
+        last = spread
         changed = spread.where("label <> new").limit(1).count()
         labels = spread.select("c", F.col("new").alias("label"))
         if not changed:
+            release(both)
             return labels
 
 
@@ -271,7 +289,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     reps = stage(rows.where("c is not null").groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     common = seen.where("seen > 0").groupBy("token").agg(F.sum("seen").alias("seen"))
     common = common.orderBy(F.desc("seen"), "token").limit(MOST_COMMON).toPandas()  # order only, bounded
-    order = spark.sparkContext.broadcast(Order(common["token"].to_numpy(np.int64).view(np.uint64), common["seen"].to_numpy(np.int64)))
+    order = spark.sparkContext.broadcast(Order.of(common["token"].to_numpy(np.int64).view(np.uint64), common["seen"].to_numpy(np.int64)))
 
     parts = stage(docs.select("text").mapInPandas(
         prefixes(order, width, percent), "c binary, g long, n int, bits array<bigint>, long array<bigint>, token long, common boolean"), "prefixes")
@@ -285,21 +303,25 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     shared = rare.union(posts.where("common").select("token", "g")).distinct()
     members = stage(members.join(reps, "c"), "members")
     inside = members.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.col("g").alias("token"), "g")  # of one group
-    lists = stage(shared.union(inside).join(members.select("g", "c", "n", "copies"), "g").select("token", "c", "n", "copies"), "lists")
-    share = stage(lists.groupBy("c").agg((F.count("*") / F.max("n")).alias("share")), "share")
+    gathered = stage(shared.union(inside).join(members.select("g", "c", "n", "copies"), "g").select("token", "c", "n", "copies"), "lists")
+    release(parts)
+    share = stage(gathered.groupBy("c").agg((F.count("*") / F.max("n")).alias("share")), "share")
 
-    lists = stage(lists.join(share, "c").withColumn("band", F.floor(F.log("n") / np.log(100 / percent)).cast("int")), "lists")
+    lists = stage(gathered.join(share, "c").withColumn("band", F.floor(F.log("n") / np.log(100 / percent)).cast("int")), "lists")
+    release(gathered, share)
     hubs = lists.groupBy("token", "band").agg(F.max(F.struct("copies", "share", "c", "n")).alias("hub"))
     first = lists.join(hubs, ["token", "band"]).where((F.col("c") != F.col("hub.c")) & sizes_may(F.col("n"), F.col("hub.n"), percent))
     first = stage(first.select(F.col("c").alias("a"), F.col("hub.c").alias("b")).distinct(), "pairs")
     links = verified(first, members, docs, width, percent)
 
-    parted = lists.select("token", "c").join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    parted = stage(parted, "parted")
-    counts = parted.groupBy("token", "label").agg(F.count("*").alias("k"))
+    labelled = lists.select("token", "c").join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    labelled = stage(labelled, "parted")
+    release(lists)
+    counts = labelled.groupBy("token", "label").agg(F.count("*").alias("k"))
     major = counts.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.count("*").alias("labels"))
     major = stage(major.where("labels > 1").select("token", "major"), "major")
-    parted = stage(parted.join(major, "token").join(members.select("c", "n", "bits"), "c"), "parted")
+    parted = stage(labelled.join(major, "token").join(members.select("c", "n", "bits"), "c"), "parted")
+    release(labelled, major)
     m, o = parted.where("label <> major").alias("m"), parted.alias("o")
     second = m.join(o, (F.col("m.token") == F.col("o.token")) & (F.col("m.label") != F.col("o.label"))
                     & ((F.col("o.label") == F.col("o.major")) | (F.col("m.c") < F.col("o.c")))
@@ -308,7 +330,9 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     second = second.select(F.least("m.c", "o.c").alias("a"), F.greatest("m.c", "o.c").alias("b")).distinct()
     met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = stage(second.join(met, ["a", "b"], "left_anti"), "pairs")
+    release(parted, first)
     links = links.union(verified(second, members, docs, width, percent))
+    release(members, second)
 
     named = reps.join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
