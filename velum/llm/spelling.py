@@ -86,9 +86,12 @@ def pairs(words: DataFrame) -> DataFrame:
     trie = edges(words)
     looks = [f"below_{look}" for look in LOOKS]
     frontier = words.select("word", F.col("word").alias("rest"), F.lit("").alias("node"), F.lit(False).alias("edited"))
+    frontier = stage(frontier, "frontier")  # a written column: a literal would make the join a product
     found, level = None, 0
     while True:
         at = trie.where(F.col("level") == level).drop("level")
+        if level < 2:  # all words meet at the root: its edges, and those of the next nodes, are as few as letters and their pairs
+            at = F.broadcast(at)
         own = frontier.where("not edited").join(at, "node")
         c, rest, label = F.col("first"), F.col("rest"), F.col("label")
         n = F.length("label")
