@@ -3,7 +3,8 @@
 Both tokenizers cover the bytes of a text; the places where a token of each ends cut the
 text into groups. The shorter list of ends drives an exponential and then binary search
 into the longer one. Arrow batches of texts are laid end to end, so one search serves a
-batch. Pairs of ids whose tokens end together are counted over the corpus, first in the
+batch, and as both tokenizers begin tokens at single spaces, words met before are not
+aligned again. Pairs of ids whose tokens end together are counted over the corpus, first in the
 worker, then by Spark; the counts come back to the texts by broadcast while they are few,
 by a join beyond that.
 """
@@ -15,16 +16,21 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velum.llm.common import once_per_worker, read_bytes, stage
+from velum.llm.tokens import splits_at_spaces
 
 #: Texts are encoded in groups of about so many characters.
 GROUP = 1_000_000
-#: Links gathered in a worker before they are counted.
-GATHERED = 4_000_000
+#: Links of texts aligned whole that a worker gathers before they are counted.
+GATHERED = 1_000_000
+#: Words a worker keeps.
+ROOM = 150_000
+#: Rows looked up at a time.
+ROWS = 1_000
 #: Distinct id pairs up to which counts are broadcast (24 bytes each); beyond, links are joined by shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -47,6 +53,7 @@ class ByteLevel:
         self.made.encode_special_tokens = True
         self.made.no_truncation()
         self.made.no_padding()
+        self.splits = splits_at_spaces(data)
         byte = byte_of_char()
         vocabulary = json.loads(data)["model"]["vocab"]
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
@@ -193,42 +200,138 @@ def grouped(texts: list[str]) -> Iterator[list[str]]:
         yield group
 
 
+class Words:
+    """Alignments of words, each aligned once per worker with the space before it.
+
+    Where a single space stands between two other characters, tokens of both kinds begin,
+    so a text's groups are those of its words one after the other.
+    """
+
+    def __init__(self, a: Side, b: Side, room: int = ROOM):
+        self.a, self.b, self.room = a, b, room
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.sizes = np.zeros((4, 1024), np.int64)  # tokens of a, of b, groups, links
+        self.links, self.filled = np.zeros(4096, np.int64), 0
+        self.start = np.zeros(1024, np.int64)
+        self.seen = np.zeros(1024, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        for part in grouped(words):
+            for word, (n_a, n_b, n_groups, groups, x, y) in zip(part, aligned(part, self.a, self.b)):
+                k = self.index[word] = len(self.groups)
+                self.groups.append(groups)
+                if k == self.sizes.shape[1]:
+                    self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)), axis=1)
+                    self.start, self.seen = (np.concatenate((v, np.zeros_like(v))) for v in (self.start, self.seen))
+                while self.filled + len(x) > len(self.links):
+                    self.links = np.concatenate((self.links, np.zeros_like(self.links)))
+                self.sizes[:, k] = n_a, n_b, n_groups, len(x)
+                self.start[k] = self.filled
+                self.links[self.filled : self.filled + len(x)] = (x << 32) | y
+                self.filled += len(x)
+
+    def links_of(self, words: np.ndarray) -> np.ndarray:
+        many = self.sizes[3, words]
+        stop = np.cumsum(many)
+        return self.links[np.repeat(self.start[words] - stop + many, many) + np.arange(stop[-1] if len(stop) else 0)]
+
+    def counted(self, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Links of all words seen since the last call, and of ``others``, with how often each was met."""
+        met = np.flatnonzero(self.seen)
+        links = np.concatenate((self.links_of(met), *others))
+        times = np.concatenate((np.repeat(self.seen[met], self.sizes[3, met]), np.ones(len(links) - self.sizes[3, met].sum(), np.int64)))
+        self.seen[:] = 0
+        others.clear()
+        order = np.argsort(links, kind="stable")
+        links, times = links[order], times[order]
+        first = np.flatnonzero(np.concatenate(([True], links[1:] != links[:-1]))) if len(links) else np.empty(0, np.int64)
+        return links[first], np.add.reduceat(times, first) if len(first) else times
+
+
+def spaced(text: str) -> list[str] | None:
+    """The words of a text in which every space stands between two other characters that are no white space."""
+    words = text.split(" ")
+    return words if all(w and not w[0].isspace() and not w[-1].isspace() for w in words) else None
+
+
+def splits_words(a, b) -> bool:
+    """Whether both tokenizers begin a token at every such space."""
+    return a.splits and all("▁" not in b.made.id_to_piece(i).lstrip("▁") for i in range(len(b.bytes)))
+
+
+def aligned_texts(texts: list[str], words: Words, split: bool, others: list[np.ndarray]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(sizes by text, groups by text, links of all texts): through their words where that is exact, else whole."""
+    parts = [spaced(t) if split and t else None for t in texts]
+    words.learn(sorted({w for p in parts if p for w in p} - words.index.keys()))
+    sizes, groups = np.zeros((4, len(texts)), np.int64), [""] * len(texts)
+    links: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
+    for k, p in enumerate(parts):
+        if p:
+            at = np.fromiter(map(words.index.__getitem__, p), np.int64, len(p))
+            if (words.sizes[0, at] > 0).all():  # else the bytes of some word differ
+                sizes[:, k] = words.sizes[:, at].sum(axis=1)
+                groups[k] = ";".join(map(words.groups.__getitem__, at.tolist()))
+                links[k] = words.links_of(at)
+                words.seen += np.bincount(at, minlength=len(words.seen))
+    whole = [k for k, p in enumerate(parts) if p is None and texts[k]]
+    for k, (n_a, n_b, n_groups, text, x, y) in zip(whole, aligned([texts[k] for k in whole], words.a, words.b)):
+        sizes[:, k] = n_a, n_b, n_groups, len(x)
+        groups[k] = text
+        links[k] = (x << 32) | y
+        others.append(links[k])
+    return sizes, groups, np.concatenate(links) if links else np.empty(0, np.int64)
+
+
+OWN = ["key", "n_a", "n_b", "n_groups", "groups_sha256"]
+NAMES = ["row", *OWN, "a", "b", "pair", "seen"]
 ALIGNED = "row long, key {}, n_a long, n_b long, n_groups long, groups_sha256 string, a array<int>, b array<int>, pair long, seen long"
 
 
-def aligner(name_a: str, data_a, name_b: str, data_b, key_type):
+def aligner(name_a: str, data_a, name_b: str, data_b):
     """Rows of texts, and rows (pair, seen) that count id pairs; a pair is its a id shifted by 32 bits with its b id."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        a = once_per_worker(f"align-a {name_a}", lambda: Side(loaded(name_a, data_a.value), "|"))
-        b = once_per_worker(f"align-b {name_b}", lambda: Side(loaded(name_b, data_b.value), ";"))
-        held, size = [], 0
+        def made():
+            a, b = loaded(name_a, data_a.value), loaded(name_b, data_b.value)
+            return Words(Side(a, "|"), Side(b, ";")), splits_words(a, b)
 
-        def counted() -> pd.DataFrame:
-            pair, seen = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"row": None, "key": None, "n_a": 0, "n_b": 0, "n_groups": 0, "groups_sha256": None, "a": None, "b": None, "pair": pair, "seen": seen})
+        words, split = once_per_worker(f"align {name_a} {name_b}", made)
+        words.seen[:] = 0  # a task that failed may have left some
+        others: list[np.ndarray] = []
+        size, key_type = 0, pa.int64()
+
+        def counts() -> pa.RecordBatch:
+            pair, seen = words.counted(others)
+            n = len(pair)
+            no = [pa.nulls(n, t) for t in (pa.int64(), key_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([*no, pa.array(pair), pa.array(seen)], names=NAMES)
 
         for batch in batches:
+            key_type = batch.column(1).type
             at = 0
-            for texts in grouped(batch["text"].tolist()):
-                found = aligned(texts, a, b)
-                part = batch.iloc[at : at + len(texts)]
+            for texts in grouped(batch.column(2).to_pylist()):
+                sizes, groups, links = aligned_texts(texts, words, split, others)
+                own = batch.slice(at, len(texts))
                 at += len(texts)
-                yield pd.DataFrame({
-                    "row": part["row"].to_numpy(), "key": part["key"].to_numpy(),
-                    "n_a": [f[0] for f in found], "n_b": [f[1] for f in found], "n_groups": [f[2] for f in found],
-                    "groups_sha256": [hashlib.sha256(f[3].encode()).hexdigest() if f[0] else "" for f in found],
-                    "a": [f[4].astype(np.int32) for f in found], "b": [f[5].astype(np.int32) for f in found], "pair": None, "seen": 0,
-                })
-                held += [(f[4] << 32) | f[5] for f in found]
-                size += sum(len(f[4]) for f in found)
-                if size >= GATHERED:
-                    yield counted()
-                    held, size = [], 0
-        if size:
-            yield counted()
+                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes[3]))).astype(np.int32))
+                sides = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (links >> 32, links & 0xFFFFFFFF)]
+                digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                none = pa.nulls(len(texts), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), own.column(1), *map(pa.array, sizes[:3]), pa.array(digests, pa.string()), *sides, none, none], names=NAMES)
+                size += sum(map(len, others))
+                if size >= GATHERED or len(words.index) > words.room:
+                    yield counts()
+                    size = 0
+                    if len(words.index) > words.room:
+                        words.clear()
+        yield counts()
 
     return run
 
@@ -236,16 +339,19 @@ def aligner(name_a: str, data_a, name_b: str, data_b, key_type):
 def looker(pairs):
     """Adds up counts over the links of each row, from sorted ``pairs`` with (count, best)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, seen, best = pairs.value
-        for batch in batches:
-            n = np.array([len(x) for x in batch["a"]], np.int64)
-            links = (np.concatenate([*batch["a"], np.empty(0, np.int32)]).astype(np.int64) << 32) | np.concatenate([*batch["b"], np.empty(0, np.int32)]).astype(np.int64)
-            at = np.searchsorted(pair, links)
-            stop = np.cumsum(n)
-            sums, tops = (np.concatenate(([0], np.cumsum(x[at].astype(np.int64)))) for x in (seen, best))
-            out = batch[["key", "n_a", "n_b", "n_groups", "groups_sha256"]].copy()
-            yield out.assign(n_links=n, n_best=tops[stop] - tops[stop - n], count_sum=sums[stop] - sums[stop - n])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                a, b = batch.column(5), batch.column(6)
+                links = (a.flatten().to_numpy().astype(np.int64) << 32) | b.flatten().to_numpy()
+                stop = np.cumsum(np.diff(a.offsets.to_numpy()).astype(np.int64))
+                n = np.diff(stop, prepend=0)
+                place = np.searchsorted(pair, links)
+                sums = [np.concatenate(([0], np.cumsum(x[place].astype(np.int64)))) for x in (best, seen)]
+                out = [pa.array(n), *(pa.array(x[stop] - x[stop - n]) for x in sums)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], *out], names=[*OWN, "n_links", "n_best", "count_sum"])
 
     return run
 
@@ -263,19 +369,18 @@ def align(docs: DataFrame, first: str, second: str, *, key: str = "doc_id", text
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "key", "text")
     schema = ALIGNED.format(rows.schema["key"].dataType.simpleString())
-    run = aligner(os.path.basename(first), data_a, os.path.basename(second), data_b, rows.schema["key"].dataType)
-    made = stage(rows.mapInPandas(run, schema), "aligned")
+    run = aligner(os.path.basename(first), data_a, os.path.basename(second), data_b)
+    made = stage(rows.mapInArrow(run, schema), "aligned")
     counts = made.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("seen").alias("seen"))
     counts = stage(counts, "pairs")
     top = counts.groupBy(F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("id")).agg(F.max("seen").alias("top"))
     counts = counts.join(top, F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)) == F.col("id")).select("pair", "seen", (F.col("seen") == F.col("top")).alias("best"))
     counts = stage(counts, "pairs")
     own = made.where("row IS NOT NULL")
-    plain = ["key", "n_a", "n_b", "n_groups", "groups_sha256"]
     if counts.count() <= most_broadcast:
         table = counts.orderBy("pair").toPandas()
         sent = spark.sparkContext.broadcast((table["pair"].to_numpy(np.int64), table["seen"].to_numpy(np.int64), table["best"].to_numpy(bool)))
-        out = own.select(*plain, "a", "b").mapInPandas(
+        out = own.select(*OWN, "a", "b").mapInArrow(
             looker(sent), f"key {rows.schema['key'].dataType.simpleString()}, n_a long, n_b long, n_groups long, groups_sha256 string, n_links long, n_best long, count_sum long")
     else:
         links = own.select("row", F.explode(F.arrays_zip("a", "b")).alias("l"))
@@ -283,5 +388,5 @@ def align(docs: DataFrame, first: str, second: str, *, key: str = "doc_id", text
         links = links.groupBy("row", "pair").agg(F.count("*").alias("k"))
         sums = links.join(counts, "pair").groupBy("row").agg(
             F.sum(F.when(F.col("best"), F.col("k")).otherwise(0)).alias("n_best"), F.sum(F.col("k") * F.col("seen")).alias("count_sum"))
-        out = own.join(sums, "row", "left").select(*plain, F.size("a").cast("long").alias("n_links"), F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"))
+        out = own.join(sums, "row", "left").select(*OWN, F.size("a").cast("long").alias("n_links"), F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"))
     return out.select(F.col("key").alias(key), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
