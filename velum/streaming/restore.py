@@ -11,11 +11,13 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from velum.functions.text import placeholders
 from velum.operators.tokens import restore_text
+from velum.session import release, stage
 
 # Fixed value: a text end that may be the head of a placeholder.
 OPEN_TAIL = r"\[(?:[A-Z][A-Z_]*(?:_[0-9]*)?)?\Z"
@@ -27,6 +29,8 @@ _STATE = "scope string, next_seq long, waiting string, buffer string, raw string
 # stands for the delta text inside a frame's JSON until the text is restored
 SLOT = "\ue021"
 IDLE_MS = 600_000
+#: How long a stream that was flushed or has ended is remembered, so that it can go on and repeats are known.
+LIFETIME_MS = 86_400_000
 
 
 def _in_order(batches, next_seq: int, waiting: dict[int, list]) -> tuple[list, bool, int]:
@@ -64,6 +68,19 @@ def _save(state, scope, next_seq, waiting, buffer, raw, block, sent, idle_ms) ->
         state.setTimeoutDuration(idle_ms)
 
 
+def _rest(next_seq: int, waiting: dict[int, list]) -> tuple[str, int]:
+    """Text of the chunks that still wait, and the chunk to go on with after them."""
+    return "".join(waiting[k][0] for k in sorted(waiting)), max([next_seq, *(k + 1 for k in waiting)])
+
+
+def _forget(state, scope, next_seq, block, sent, idle_ms) -> None:
+    """Keep only where a stream stands; streams without idle times are dropped."""
+    if idle_ms is None:
+        state.remove()
+    else:
+        _save(state, scope, next_seq, {}, "", "", block, sent, LIFETIME_MS)
+
+
 def _timeout(idle_ms: int | None) -> str:
     return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
 
@@ -72,16 +89,21 @@ def whole_pieces(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Streaming (stream_id, scope, seq, chunk, is_last) to pieces that cut no token.
 
     The rest of a stream is sent when its last chunk comes or when it has been idle
-    (``idle_ms``; None for inputs that end, as an idle limit keeps a query running).
+    (``idle_ms``; None for inputs that end, as an idle limit keeps a query running). After
+    an idle time a stream goes on with its next chunk; chunks up to there count as late.
     """
 
     def run(key, batches, state):
         scope, next_seq, waiting, buffer, raw, block, sent = _load(state)
         if state.hasTimedOut:
-            state.remove()
-            left = buffer + "".join(waiting[k][0] for k in sorted(waiting))
+            left, after = _rest(next_seq, waiting)
+            left = buffer + left
             if left:
-                yield pd.DataFrame([(key[0], scope, next_seq, left)], columns=["stream_id", "scope", "seq", "text"])
+                # the tail of the last piece bears its number; pieces of one number are in order of their batches
+                yield pd.DataFrame([(key[0], scope, after - 1, left)], columns=["stream_id", "scope", "seq", "text"])
+                _forget(state, scope, after, block, sent, idle_ms)
+            else:
+                state.remove()
             return
         batches = list(batches)
         for batch in batches:
@@ -93,7 +115,7 @@ def whole_pieces(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
             rows.append([key[0], scope, seq, out])
         if ended:
             rows[-1][3] += buffer
-            state.remove()
+            _forget(state, scope, next_seq, block, sent, idle_ms)
         else:
             _save(state, scope, next_seq, waiting, buffer, raw, block, sent, idle_ms)
         yield pd.DataFrame([r for r in rows if r[3]], columns=["stream_id", "scope", "seq", "text"])
@@ -177,11 +199,16 @@ def whole_frames(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
                 rows.append(
                     (key[0], scope, seq, sent, "event: content_block_delta\n", json.dumps(data, ensure_ascii=False), buffer, "\n\n")
                 )
+                sent += 1
 
         if state.hasTimedOut:
-            raw += "".join(waiting[k][0] for k in sorted(waiting))
-            state.remove()
-            finish(next_seq)
+            left, after = _rest(next_seq, waiting)
+            raw += left
+            if raw or buffer:
+                finish(next_seq)
+                _forget(state, scope, after, block, sent, idle_ms)
+            else:
+                state.remove()
             yield pd.DataFrame(rows, columns=columns)
             return
         batches = list(batches)
@@ -195,7 +222,7 @@ def whole_frames(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
                 send(seq, frame + "\n\n")
         if ended:
             finish(next_seq)
-            state.remove()
+            _forget(state, scope, next_seq, block, sent, idle_ms)
         else:
             _save(state, scope, next_seq, waiting, buffer, raw, block, sent, idle_ms)
         yield pd.DataFrame(rows, columns=columns)
@@ -224,19 +251,79 @@ def restore_frames(frames: DataFrame, token_map: DataFrame) -> DataFrame:
     return join_frames(restore_text(frames, token_map, ["stream_id", "part"]))
 
 
-def start_restore(chunks: DataFrame, read_token_map, out: str, checkpoint: str, framed: bool = False, **trigger):
+def park(pieces: DataFrame, token_map: DataFrame, now: Column, late_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(ready, parked) rows of ``pieces`` (with ``since``, when they were first met).
+
+    A piece with a token that the map does not know yet is parked until it is ``late_ms``
+    old; then it is ready as it is, and its tokens are not asked for again.
+    """
+    keys = ["stream_id", "seq"]
+    asked = pieces.where(F.col("text").contains("[")).select(*keys, "scope", F.explode(F.array_distinct(placeholders(F.col("text")))).alias("token"))
+    unknown = asked.join(token_map.select("scope", "token"), ["scope", "token"], "left_anti").select(*keys).distinct()
+    rows = pieces.join(unknown.withColumn("_open", F.lit(True)), keys, "left")
+    waits = F.coalesce("_open", F.lit(False)) & (F.col("since") + F.make_dt_interval(secs=F.lit(late_ms / 1000)) > now)
+    rows = stage(rows.withColumn("_waits", waits).drop("_open"), "pieces")
+    return rows.where(~F.col("_waits")).drop("_waits"), rows.where("_waits").drop("_waits")
+
+
+def _parked(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
+    """What the batch before ``batch_id`` parked."""
+    return spark.read.schema(PIECES + ", since timestamp").parquet(f"{out}-parked/batch_id={batch_id - 1}")
+
+
+def send_parked(spark: SparkSession, out: str, read_token_map) -> None:
+    """After a stream has ended: send what is still parked, with the tokens known now."""
+    batches = [int(p.name.split("=")[1]) for p in _folders(spark, f"{out}-parked")]
+    if batches:
+        last = max(batches)
+        rows = restore_pieces(_parked(spark, out, last + 1).drop("since"), read_token_map())
+        rows.write.mode("overwrite").parquet(f"{out}/batch_id={last + 1}")
+
+
+def _folders(spark: SparkSession, path: str):
+    from types import SimpleNamespace
+
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return []
+    return [SimpleNamespace(name=f.getPath().getName()) for f in fs.listStatus(place) if f.getPath().getName().startswith("batch_id=")]
+
+
+def start_restore(
+    chunks: DataFrame, read_token_map, out: str, checkpoint: str, framed: bool = False,
+    idle_ms: int | None = IDLE_MS, late_ms: int | None = None, **trigger,
+):
     """Run the restore stream; ``read_token_map()`` is called for every micro-batch.
 
-    Each micro-batch owns one folder of the output, so a repeated batch replaces
-    itself.
+    Each micro-batch owns one folder of the output, so a repeated batch replaces itself.
+    Its pieces are written down first, so the stateful step runs once a batch. With
+    ``late_ms`` (unframed text) pieces wait so long for tokens that come later than the
+    text; ``send_parked`` sends the rest when the stream has ended.
     """
+    if framed and late_ms is not None:
+        raise ValueError("late_ms is for text without frames")
+    spark = chunks.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        step = restore_frames if framed else restore_pieces
-        step(batch, read_token_map()).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        pieces = stage(batch, "pieces")
+        token_map = read_token_map()
+        if late_ms is None:
+            step = restore_frames if framed else restore_pieces
+            step(pieces, token_map).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        else:
+            now = spark.sql("SELECT current_timestamp()").first()[0]
+            rows = pieces.withColumn("since", F.lit(now))
+            if batch_id:
+                rows = rows.unionByName(_parked(spark, out, batch_id))
+            ready, parked = park(rows, token_map, F.lit(now), late_ms)
+            parked.write.mode("overwrite").parquet(f"{out}-parked/batch_id={batch_id}")
+            restore_pieces(ready.drop("since"), token_map).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            release(parked, ready)
+        release(pieces)
 
     ends = not trigger or "availableNow" in trigger or "once" in trigger
-    idle_ms = None if ends else IDLE_MS
+    idle_ms = None if ends else idle_ms
     whole = whole_frames(chunks, idle_ms) if framed else whole_pieces(chunks, idle_ms)
     return (
         whole.writeStream.outputMode("append")
