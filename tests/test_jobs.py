@@ -297,7 +297,7 @@ def test_corpus_round_trip(spark, tmp_path):
     rows = spark.createDataFrame(
         [(1, "nom", "mask_name", ['Jean "J" Rex']), (2, "x", "keep", ["y"]), (3, "c", "mask_id", [".", "A-1"]), (4, "d", "mask_id", [" "])],
         "id int, column string, strategy string, values array<string>")
-    made = corpus.ner_examples(rows, ["id"])
+    made = corpus.ner_examples(rows, ["id"], ("{column} : {value}",))
     got = {r["id"]: (r["tokens"], tuple(r["ner"][0])) for r in made.collect()}
     assert got[1] == (["nom", ":", "Jean", '"', "J", '"', "Rex"], (2, 6, "PERSON"))
     assert set(got) == {1, 3}

@@ -73,9 +73,9 @@ def audit_retention(rows: DataFrame, today: Column, days: int = 90) -> DataFrame
 
 
 def recent_detections(events: DataFrame, limit: int = 50, order: Sequence[str] = ("ts",)) -> DataFrame:
-    """Latest detections with the value cut for display; at most 200 are ever shown."""
+    """Latest detections with the value cut for display."""
     return (
         events.orderBy(*[F.desc(c) for c in order])
-        .limit(min(limit, 200))
+        .limit(limit)
         .withColumn("value", clip(F.col("value")))
     )

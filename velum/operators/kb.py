@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Sequence
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -374,12 +376,13 @@ def publish(rows: DataFrame, root: str) -> str:
 
 
 class SnapshotReader:
-    """Keeps the newest snapshot it could read; a failed refresh keeps the last good one."""
+    """Keeps the newest snapshot it could read; a failed refresh keeps the last good one and tells why in ``problem``."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
         self.version: str | None = None
         self.rows: DataFrame | None = None
+        self.problem: str | None = None
 
     def refresh(self) -> bool:
         """True if a newer version was loaded."""
@@ -396,7 +399,10 @@ class SnapshotReader:
                 f"{self.root}/{newest['version']}/items"
             )
             rows.limit(1).count()
-        except Exception:
+        except (PySparkException, Py4JJavaError) as problem:
+            # what Spark could not read; anything else is an error of the program
+            self.problem = str(problem).splitlines()[0]
+            warnings.warn(f"snapshot {self.version or 'none'} is kept: {self.problem}", stacklevel=2)
             return False
-        self.version, self.rows = newest["version"], rows
+        self.version, self.rows, self.problem = newest["version"], rows, None
         return True

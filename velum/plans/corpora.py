@@ -17,24 +17,27 @@ SUPPLIERS = """s_suppkey + 1000000 AS id, 'fournisseurs' AS "table", 'nom' AS "c
  cast(0.8 as double) AS confidence, s_name AS value, s_name AS other"""
 
 
+SENTENCE = ("In column {column} : {value}",)
+
+
 def column_rows(spark, root, source="customer", select=COLUMN_ROWS):
     rows = derived(spark, root, source, select.replace('"', "`"))
     return rows.withColumn("values", F.array("value", "other")).drop("value", "other")
 
 
 def examples(spark, root):
-    return corpus.ner_examples(column_rows(spark, root), ["id"])
+    return corpus.ner_examples(column_rows(spark, root), ["id"], SENTENCE)
 
 
 def merged(spark, root):
     return corpus.merge_corpora(
-        examples(spark, root), corpus.ner_examples(column_rows(spark, root, "supplier", SUPPLIERS), ["id"])
+        examples(spark, root), corpus.ner_examples(column_rows(spark, root, "supplier", SUPPLIERS), ["id"], SENTENCE)
     )
 
 
 def ner_sql(source: str, select: str) -> str:
-    return f"""SELECT id, toks, len(head) + 1 AS s, len(toks) - 1 AS e, label, value FROM (
-      SELECT id, value, regexp_extract_all("column" || ': ' || value, '\\w+|[^\\w\\s]') AS toks, regexp_extract_all("column", '\\w+|[^\\w\\s]') AS head,
+    return f"""SELECT id, toks, len(head) + 3 AS s, len(toks) - 1 AS e, label, value FROM (
+      SELECT id, value, regexp_extract_all('In column ' || "column" || ' : ' || value, '\\w+|[^\\w\\s]') AS toks, regexp_extract_all("column", '\\w+|[^\\w\\s]') AS head,
         CASE strategy WHEN 'mask_name' THEN 'PERSON' WHEN 'mask_email' THEN 'EMAIL' WHEN 'mask_phone' THEN 'PHONE' END AS label
       FROM (SELECT {select} FROM {source})) WHERE label IS NOT NULL"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,8 @@ def token_store(spark: SparkSession, out: str) -> TokenStore:
 
 def mask_batch(
     docs: DataFrame, batch_id: int, out: str, scope: str, key: str = "doc_id", text: str = "text",
-    config: DetectorConfig = DetectorConfig(), compact_every: int = 20, ttl_seconds: int | None = None,
+    config: DetectorConfig | Callable[[], DetectorConfig] = DetectorConfig(),
+    compact_every: int = 20, ttl_seconds: int | None = None,
 ) -> None:
     """Mask one micro-batch: token map first, then masked rows and audit rows.
 
@@ -38,8 +41,10 @@ def mask_batch(
     so running a batch again gives the same tokens and replaces its output. Of the token
     map only buckets with scopes of the batch are read; every ``compact_every`` batches it
     is folded together. With ``ttl_seconds`` scopes without a new token for so long end
-    before the batch. Numbers are never given twice in a scope.
+    before the batch. Numbers are never given twice in a scope. ``config`` may be a
+    function (see ``SnapshotConfig``): it is asked once per batch.
     """
+    config = config() if callable(config) else config
     store = token_store(docs.sparkSession, out)
     if batch_id and batch_id % compact_every == 0:
         store.compact(batch_id - 1)
@@ -61,7 +66,8 @@ def mask_batch(
 
 
 def start_mask(
-    docs: DataFrame, out: str, checkpoint: str, scope: str, config: DetectorConfig = DetectorConfig(),
+    docs: DataFrame, out: str, checkpoint: str, scope: str,
+    config: DetectorConfig | Callable[[], DetectorConfig] = DetectorConfig(),
     key: str = "doc_id", text: str = "text", compact_every: int = 20, ttl_seconds: int | None = None, **trigger,
 ):
     """Run ``mask_batch`` on every micro-batch of a streaming DataFrame."""
