@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +92,7 @@ class Side:
         self.length = np.array([len(b) for b in made.bytes], np.int64)
         self.inner = np.array([f"{i}," for i in range(len(made.bytes))], object)
         self.last = np.array([f"{i}{close}" for i in range(len(made.bytes))], object)
+        self.width = np.array([len(x) for x in self.inner], np.int64)
 
 
 def loaded(name: str, data: bytes):
@@ -138,42 +142,60 @@ def meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def flat(lists: list[list[int]]) -> np.ndarray:
-    return np.fromiter((i for ids in lists for i in ids), np.int64, sum(map(len, lists)))
+    return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
 
 
-def aligned(texts: list[str], a: Side, b: Side) -> list[tuple]:
-    """(n_a, n_b, groups as text, linked a ids, linked b ids) of each text; zeros where the bytes differ from the text."""
-    whole = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    ids_a, ids_b = a.made.encode(texts), b.made.encode(texts)
-    for k, w in enumerate(whole):
-        if not w or b"".join(map(a.made.bytes.__getitem__, ids_a[k])) != w or b"".join(map(b.made.bytes.__getitem__, ids_b[k])) != w:
-            ids_a[k], ids_b[k] = [], []
+class Aligned(NamedTuple):
+    """Sizes (tokens of a, of b, groups, links) and groups of each text, and the links of all texts in a row."""
+
+    sizes: np.ndarray
+    groups: list[str]
+    links: np.ndarray
+
+
+def kept(texts: list[str], sides: tuple[Side, Side]) -> list[list[list[int]]]:
+    """Token ids of each side; none where the bytes of either differ from a space and the text."""
+    want = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    sizes = np.array([len(w) for w in want], np.int64)
+    ids = [side.made.encode(texts) for side in sides]
+    good = sizes > 0
+    for side, own in zip(sides, ids):
+        stop = np.cumsum([len(x) for x in own])
+        ends = np.concatenate(([0], np.cumsum(side.length[flat(own)])))
+        good &= ends[stop] - ends[np.concatenate(([0], stop[:-1]))] == sizes
+    for side, own in zip(sides, ids):
+        # lengths agree, so one comparison of all the bytes stands for all the texts, unless it fails
+        if b"".join([side.made.bytes[i] for x, g in zip(own, good) if g for i in x]) != b"".join([w for w, g in zip(want, good) if g]):
+            good &= [b"".join(map(side.made.bytes.__getitem__, x)) == w for x, w in zip(own, want)]
+    return [[x if g else [] for x, g in zip(own, good)] for own in ids]
+
+
+def aligned(texts: list[str], a: Side, b: Side) -> Aligned:
+    ids_a, ids_b = kept(texts, (a, b))
     fa, fb = flat(ids_a), flat(ids_b)
-    na, nb = np.array([len(x) for x in ids_a]), np.array([len(x) for x in ids_b])
+    stop_a, stop_b = (np.cumsum([len(x) for x in ids]).astype(np.int64) for ids in (ids_a, ids_b))
     # tokens without bytes end where their predecessor ends: the last of such a run stands for the place
     ends_a, ends_b = np.cumsum(a.length[fa]), np.cumsum(b.length[fb])
-    ra, rb = meeting(*(np.unique(e) for e in (ends_a, ends_b)))
-    places = np.unique(ends_a)[ra]
+    places_a, places_b = (e[np.flatnonzero(np.append(e[1:] != e[:-1], True))] if len(e) else e for e in (ends_a, ends_b))
+    places = places_a[meeting(places_a, places_b)[0]]
     cut_a, cut_b = np.searchsorted(ends_a, places, "right"), np.searchsorted(ends_b, places, "right")  # tokens before each cut
-    group_a = np.searchsorted(cut_a, np.arange(len(fa)), "right")
-    group_b = np.searchsorted(cut_b, np.arange(len(fb)), "right")
     last_a, last_b = np.zeros(len(fa), bool), np.zeros(len(fb), bool)
     last_a[cut_a - 1], last_b[cut_b - 1] = True, True
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
     words = np.empty(len(fa) + len(fb), object)
-    start_b = np.concatenate(([0], cut_b))
-    words[np.arange(len(fa)) + start_b[group_a]] = np.where(last_a, a.last[fa], a.inner[fa])
-    words[np.arange(len(fb)) + cut_a[group_b] if len(fb) else []] = np.where(last_b, b.last[fb], b.inner[fb])
+    at_a = np.arange(len(fa)) + np.concatenate(([0], cut_b))[group_a]
+    at_b = np.arange(len(fb)) + cut_a[group_b] if len(fb) else np.empty(0, np.int64)
+    words[at_a] = np.where(last_a, a.last[fa], a.inner[fa])
+    words[at_b] = np.where(last_b, b.last[fb], b.inner[fb])
+    width = np.zeros(len(words) + 1, np.int64)
+    width[at_a + 1], width[at_b + 1] = a.width[fa], b.width[fb]
+    written, edge = "".join(words), np.cumsum(width)[np.concatenate(([0], stop_a + stop_b))].tolist()
     link_a, link_b = linked(ends_a, ends_b, places)
-    stop_a, stop_b = np.cumsum(na), np.cumsum(nb)
-    of = np.searchsorted(stop_a, link_a, "right")  # the text of each link
-    link_stop = np.searchsorted(of, np.arange(len(texts)), "right")
-    group_stop = np.searchsorted(np.searchsorted(stop_a, cut_a - 1, "right"), np.arange(len(texts)), "right")
-    out, s, g, l = [], 0, 0, 0
-    for k in range(len(texts)):
-        e = int(stop_a[k] + stop_b[k])
-        out.append((int(na[k]), int(nb[k]), int(group_stop[k]) - g, "".join(words[s:e])[:-1], fa[link_a[l:link_stop[k]]], fb[link_b[l:link_stop[k]]]))
-        s, g, l = e, int(group_stop[k]), int(link_stop[k])
-    return out
+    sizes = np.zeros((4, len(texts)), np.int64)
+    sizes[0], sizes[1] = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+    sizes[2] = np.bincount(np.searchsorted(stop_a, cut_a - 1, "right"), minlength=len(texts))
+    sizes[3] = np.bincount(np.searchsorted(stop_a, link_a, "right"), minlength=len(texts))
+    return Aligned(sizes, [written[x : y - 1] if y > x else "" for x, y in zip(edge, edge[1:])], (fa[link_a] << 32) | fb[link_b])
 
 
 def linked(ends_a: np.ndarray, ends_b: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,18 +243,19 @@ class Words:
 
     def learn(self, words: list[str]) -> None:
         for part in grouped(words):
-            for word, (n_a, n_b, n_groups, groups, x, y) in zip(part, aligned(part, self.a, self.b)):
-                k = self.index[word] = len(self.groups)
-                self.groups.append(groups)
-                if k == self.sizes.shape[1]:
-                    self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)), axis=1)
-                    self.start, self.seen = (np.concatenate((v, np.zeros_like(v))) for v in (self.start, self.seen))
-                while self.filled + len(x) > len(self.links):
-                    self.links = np.concatenate((self.links, np.zeros_like(self.links)))
-                self.sizes[:, k] = n_a, n_b, n_groups, len(x)
-                self.start[k] = self.filled
-                self.links[self.filled : self.filled + len(x)] = (x << 32) | y
-                self.filled += len(x)
+            made = aligned(part, self.a, self.b)
+            at, end = len(self.groups), len(self.groups) + len(part)
+            self.index.update(zip(part, range(at, end)))
+            self.groups += made.groups
+            while end > self.sizes.shape[1]:
+                self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)), axis=1)
+                self.start, self.seen = (np.concatenate((v, np.zeros_like(v))) for v in (self.start, self.seen))
+            while self.filled + len(made.links) > len(self.links):
+                self.links = np.concatenate((self.links, np.zeros_like(self.links)))
+            self.sizes[:, at:end] = made.sizes
+            self.start[at:end] = self.filled + np.cumsum(made.sizes[3]) - made.sizes[3]
+            self.links[self.filled : self.filled + len(made.links)] = made.links
+            self.filled += len(made.links)
 
     def links_of(self, words: np.ndarray) -> np.ndarray:
         many = self.sizes[3, words]
@@ -252,10 +275,13 @@ class Words:
         return links[first], np.add.reduceat(times, first) if len(first) else times
 
 
+#: White space beside a space, or at either end.
+UNEVEN = re.compile(r"\s | \s|\A\s|\s\Z")
+
+
 def spaced(text: str) -> list[str] | None:
     """The words of a text in which every space stands between two other characters that are no white space."""
-    words = text.split(" ")
-    return words if all(w and not w[0].isspace() and not w[-1].isspace() for w in words) else None
+    return None if UNEVEN.search(text) else text.split(" ")
 
 
 def splits_words(a, b) -> bool:
@@ -263,27 +289,38 @@ def splits_words(a, b) -> bool:
     return a.splits and all("▁" not in b.made.id_to_piece(i).lstrip("▁") for i in range(len(b.bytes)))
 
 
-def aligned_texts(texts: list[str], words: Words, split: bool, others: list[np.ndarray]) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(sizes by text, groups by text, links of all texts): through their words where that is exact, else whole."""
+def aligned_texts(texts: list[str], words: Words, split: bool, others: list[np.ndarray]) -> Aligned:
+    """Through the texts' words where that is exact, else whole; links of whole texts are added to ``others``."""
     parts = [spaced(t) if split and t else None for t in texts]
-    words.learn(sorted({w for p in parts if p for w in p} - words.index.keys()))
+    words.learn(sorted(set().union(*filter(None, parts)).difference(words.index)))
+    own = [k for k, p in enumerate(parts) if p]
+    many = np.array([len(parts[k]) for k in own], np.int64)
+    at = np.fromiter(map(words.index.__getitem__, chain.from_iterable(parts[k] for k in own)), np.int64, int(many.sum()))
+    first = np.cumsum(many) - many
+    if own:
+        good = np.minimum.reduceat(words.sizes[0, at], first) > 0  # else the bytes of some word differ
+        at, own, many = at[np.repeat(good, many)], [k for k, g in zip(own, good) if g], many[good]
+        first = np.cumsum(many) - many
     sizes, groups = np.zeros((4, len(texts)), np.int64), [""] * len(texts)
-    links: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
-    for k, p in enumerate(parts):
-        if p:
-            at = np.fromiter(map(words.index.__getitem__, p), np.int64, len(p))
-            if (words.sizes[0, at] > 0).all():  # else the bytes of some word differ
-                sizes[:, k] = words.sizes[:, at].sum(axis=1)
-                groups[k] = ";".join(map(words.groups.__getitem__, at.tolist()))
-                links[k] = words.links_of(at)
-                words.seen += np.bincount(at, minlength=len(words.seen))
+    if own:
+        sizes[:, own] = np.add.reduceat(words.sizes[:, at], first, axis=1)
+        held = at.tolist()
+        for k, x, n in zip(own, first.tolist(), many.tolist()):
+            groups[k] = ";".join(map(words.groups.__getitem__, held[x : x + n]))
+        met, times = np.unique(at, return_counts=True)
+        words.seen[met] += times
+    links = words.links_of(at)
     whole = [k for k, p in enumerate(parts) if p is None and texts[k]]
-    for k, (n_a, n_b, n_groups, text, x, y) in zip(whole, aligned([texts[k] for k in whole], words.a, words.b)):
-        sizes[:, k] = n_a, n_b, n_groups, len(x)
-        groups[k] = text
-        links[k] = (x << 32) | y
-        others.append(links[k])
-    return sizes, groups, np.concatenate(links) if links else np.empty(0, np.int64)
+    if whole:
+        made = aligned([texts[k] for k in whole], words.a, words.b)
+        sizes[:, whole] = made.sizes
+        for k, text in zip(whole, made.groups):
+            groups[k] = text
+        others.append(made.links)
+        pieces = np.split(links, np.cumsum(sizes[3, own])) if own else []
+        placed = dict(zip(own, pieces)) | dict(zip(whole, np.split(made.links, np.cumsum(made.sizes[3]))))
+        links = np.concatenate([placed[k] for k in range(len(texts)) if k in placed])
+    return Aligned(sizes, groups, links)
 
 
 OWN = ["key", "n_a", "n_b", "n_groups", "groups_sha256"]
