@@ -218,3 +218,12 @@ def test_gallop():
         assert (alignment.gallop(short, long) == np.searchsorted(long, short)).all()
         a, b = alignment.meeting(short, long)
         assert (short[a] == np.intersect1d(short, long)).all() and (long[b] == short[a]).all()
+
+
+def test_first_of_equal_url_rules(spark):
+    from velum.llm import urls
+
+    rules = [("allow", "a.org", "/"), ("block", "a.org", "/"), ("block", "b.org", "/"), ("allow", "b.org", "/")]
+    rows = spark.createDataFrame([("a.org", "/x"), ("b.org", "/"), ("c.org", "/")], "host string, path string")
+    got = rows.select("host", urls.rule_of(F.col("host"), F.col("path"), rules)["verdict"].alias("v")).collect()
+    assert {r.host: r.v for r in got} == {"a.org": "allow", "b.org": "block", "c.org": None}

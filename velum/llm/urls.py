@@ -41,7 +41,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     the rule's. Of two rules of one length, the one given first is taken.
     """
     out: Column = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for verdict, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # stable: the first of equals is tested first
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
