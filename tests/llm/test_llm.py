@@ -247,6 +247,20 @@ def test_toxicity_on_held_out(spark, labelled, odd, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_with_few_labels(spark, labelled):
+    """Six toxic texts are dealt over the folds and learned from; with one the score is a constant."""
+    docs, labels = labelled
+    toxic = labels.where("toxic = 1 AND quality = 1").orderBy("doc_id").limit(6)
+    few = labels.where("toxic = 0").orderBy("doc_id").limit(394).unionByName(toxic)
+    model = toxicity.fit(docs, few)
+    assert model.trees is not None
+    got = toxicity.score(docs, model).join(few, "doc_id").select("toxic", "predicted", "score").toPandas()
+    assert got[got.toxic == 1].score.mean() > 1.5 * got[got.toxic == 0].score.mean()
+    assert got[got.toxic == 0].predicted.mean() < 0.02
+    one = toxicity.fit(docs, few.where("toxic = 0").unionByName(toxic.limit(1)))
+    assert one.trees is None and abs(one.share - 1 / 395) < 1e-9
+
+
 # mixing --------------------------------------------------------------------------------------------------------------
 
 
@@ -266,8 +280,29 @@ def test_mixing_meets_targets(spark, labelled, odd, empty):
     assert mixing.mix(empty, model, {"en": 1.0}).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(odd, model, {"xx": 1.0})
-    with pytest.raises(ValueError):
-        mixing.fit_domains(empty.withColumn("lang", F.lit("en")), labelled[1])
+    none = mixing.fit_domains(empty.withColumn("lang", F.lit("en")), labelled[1])
+    assert none.domains == [None]
+    got = rows_of(mixing.mix(odd, none, {None: 1.0}))
+    assert len(got) == odd.count() and {r["domain"] for r in got} == {None}
+
+
+def test_rare_and_many_domains(spark, monkeypatch):
+    """Domains and prior come from all labelled documents, not from the draw; small ones beyond the limit are one."""
+    words = {d: [f"{d}{i}" for i in range(30)] for d in "abcde"}
+    sizes = {"a": 400, "b": 300, "c": 3, "d": 2, "e": 1}
+    draw = random.Random(5)
+    rows = [(" ".join(draw.choices(words[d], k=20)), d) for d in sizes for _ in range(sizes[d])]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string").withColumn("_d", F.lit("clash"))
+    model = mixing.fit_domains(docs, docs.select("doc_id"), most=20)
+    assert model.domains == list("abcde") and model.prior == [sizes[d] / 706 for d in "abcde"]
+    with pytest.warns(UserWarning, match="shares of tokens reached"):
+        hard = mixing.mix(docs.where("lang = 'a'"), mixing.fit_domains(docs.where("lang IN ('a', 'b')"), docs.select("doc_id")), {"a": 0.1, "b": 0.9})
+    assert hard.where("rate < 0").count() == 0
+    monkeypatch.setattr(mixing, "MOST_DOMAINS", 3)
+    model = mixing.fit_domains(docs, docs.select("doc_id"))
+    assert model.domains == [mixing.OTHER, "a", "b"] and model.prior[0] == 6 / 706
+    got = {r.doc_id: r.domain for r in mixing.mix(docs, model, {"a": 0.5, "b": 0.5}).collect()}
+    assert all(got[i] == (d if d in "ab" else mixing.OTHER) for i, (_, d) in enumerate(rows))
 
 
 def test_rates_reach_the_least_squares_optimum(spark):

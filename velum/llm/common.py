@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from velum.session import stage
 from velum.sources.files import table
 
-__all__ = ["bounded", "content_key", "lower_ascii", "once_per_worker", "read_bytes", "stage", "table"]
+__all__ = ["bounded", "content_key", "lower_ascii", "once_per_worker", "read_bytes", "small_batches", "stage", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -39,6 +40,18 @@ def bounded(staged: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(staged) if staged.count() <= most_rows else staged
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000):
+    """Arrow batches of at most ``rows`` rows for what is written inside: whole texts in both of a task's processes are many bytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_bytes(path: str) -> bytes:
     """A file that is installed beside the driver (tokenizer vocabularies)."""
     with open(path, "rb") as file:

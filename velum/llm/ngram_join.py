@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from velum.llm.common import bounded, content_key, stage
+from velum.llm.common import bounded, content_key, small_batches, stage
 from velum.session import release
 
 WORDS = 4
@@ -33,7 +33,7 @@ BITMAP = 8
 #: depends on it, never which pairs are found.
 MOST_COMMON = 500_000
 #: N-grams gathered before they are counted, and the count from which one is reported.
-GATHERED, REPORTED = 4_000_000, 3
+GATHERED, REPORTED = 2_000_000, 3
 #: Word hashes a worker keeps.
 WORD_HASHES = 100_000
 MOST_BROADCAST = 2_000_000
@@ -239,7 +239,8 @@ def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int,
     few = bounded(wanted.select("rep").distinct(), MOST_BROADCAST)
     texts = docs.join(few, docs["id"].eqNullSafe(few["rep"]), "left_semi").select("text")
     sets = texts.mapInPandas(sets_of(width), "c binary, tokens array<bigint>").join(bounded(wanted.select("c"), MOST_BROADCAST), "c", "left_semi")
-    sets = stage(sets, "sets")
+    with small_batches(docs.sparkSession):
+        sets = stage(sets, "sets")
     both = pairs.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
     linked = F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent
@@ -284,15 +285,17 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     keyed = docs.select("id", *content_key(F.col("text")), "text")
-    seen = stage(keyed.mapInPandas(survey(width), "id long, k1 long, k2 long, n int, c binary, token long, seen long"), "survey")
+    with small_batches(spark):
+        seen = stage(keyed.mapInPandas(survey(width), "id long, k1 long, k2 long, n int, c binary, token long, seen long"), "survey")
     rows = seen.where("seen = 0").select("id", "k1", "k2", "n", "c")
     reps = stage(rows.where("c is not null").groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     common = seen.where("seen > 0").groupBy("token").agg(F.sum("seen").alias("seen"))
     common = common.orderBy(F.desc("seen"), "token").limit(MOST_COMMON).toPandas()  # order only, bounded
     order = spark.sparkContext.broadcast(Order.of(common["token"].to_numpy(np.int64).view(np.uint64), common["seen"].to_numpy(np.int64)))
 
-    parts = stage(docs.select("text").mapInPandas(
-        prefixes(order, width, percent), "c binary, g long, n int, bits array<bigint>, long array<bigint>, token long, common boolean"), "prefixes")
+    with small_batches(spark):
+        parts = stage(docs.select("text").mapInPandas(
+            prefixes(order, width, percent), "c binary, g long, n int, bits array<bigint>, long array<bigint>, token long, common boolean"), "prefixes")
     members = parts.where("c is not null").select("c", "g", "n", "bits", "long").dropDuplicates(["c"])
     posts = parts.where("c is null").select("token", "g", "common")
     # n-grams known as common are shared, so only the rare ones need to be counted: no long list is gathered;

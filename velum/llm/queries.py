@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,9 +67,13 @@ def op5(spark, root):
 
 
 def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Mixed to TARGETS. A target no labelled document has is warned of, and the others are scaled up; with none, all domains have one share."""
     docs = docs.select("doc_id", "lang", "text")
     model = mixing.fit_domains(docs, labels)
-    return mixing.mix(docs, model, {d: TARGETS.get(d, 0.0) for d in model.domains} if set(model.domains) & set(TARGETS) else dict.fromkeys(model.domains, 1.0))
+    targets = {d: t for d, t in TARGETS.items() if d in model.domains}
+    if len(targets) < len(TARGETS):
+        warnings.warn(f"no labelled document of domain {', '.join(sorted(set(TARGETS) - set(targets)))}", stacklevel=2)
+    return mixing.mix(docs, model, targets or dict.fromkeys(model.domains, 1.0))
 
 
 WORDS_SQL = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

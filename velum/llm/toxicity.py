@@ -19,7 +19,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velum.llm.common import content_key, stage
@@ -29,9 +29,10 @@ from velum.llm.quality import labelled_texts, sample_ids, single_labels, without
 MOST_TOXIC = 5_000
 MOST_OTHER = 10_000
 FOLDS = 4
-#: Lexicon entries at most, by strength; documents an entry must be seen in.
+#: Lexicon entries at most, by strength; toxic documents an entry must be seen in, and where labels name fewer than FEW of them.
 MOST_ENTRIES = 20_000
 LEAST_SEEN = 4
+FEW, LEAST_OF_FEW = 16, 2
 #: Counts that a task holds before it hands them on to be summed.
 GATHERED = 100_000
 #: Lengths of word beginnings that can be entries.
@@ -149,22 +150,22 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield partial()
 
 
-def lexicons(rows: DataFrame, weight_other: float) -> list[dict[str, float]]:
-    """FOLDS lexicons, each without the texts of its fold, and one of all texts."""
+def lexicons(rows: DataFrame, folds: int, least: int) -> list[dict[str, float]]:
+    """``folds`` lexicons, each without the texts of its fold, and one of all texts."""
     toxic = rows.where("_label = 1").mapInPandas(counted, "entry string, fold int, toxic long, other long")
-    toxic = toxic.groupBy("entry").agg(F.sum("toxic").alias("t")).where(F.col("t") >= LEAST_SEEN)
+    toxic = toxic.groupBy("entry").agg(F.sum("toxic").alias("t")).where(F.col("t") >= least)
     counts = rows.mapInPandas(counted, "entry string, fold int, toxic long, other long")
     counts = counts.groupBy("entry", "fold").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
     counts = stage(counts.join(toxic.select("entry"), "entry"), "entries")
     n = {r["_fold"]: (r["t"], r["o"]) for r in rows.groupBy("_fold").agg(
         F.sum("_label").alias("t"), F.sum(1 - F.col("_label")).alias("o")).collect()}
     out = []
-    for fold in range(FOLDS + 1):
+    for fold in range(folds + 1):
         own = counts.where(F.col("fold") != fold).groupBy("entry").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
         nt = sum(v[0] for f, v in n.items() if f != fold)
         no = sum(v[1] for f, v in n.items() if f != fold)
         odds = F.log((F.col("t") + 0.5) / (nt + 1.0)) - F.log((F.col("o") + 0.5) / (no + 1.0))
-        own = own.where(F.col("t") >= LEAST_SEEN).withColumn("s", odds).where("s > 2.0")
+        own = own.where(F.col("t") >= least).withColumn("s", odds).where("s > 2.0")
         rank = own.orderBy(F.desc(F.col("s") * F.sqrt("t")), "entry").limit(MOST_ENTRIES)
         out.append({r["entry"]: r["s"] for r in rank.select("entry", "s").collect()})
     return out
@@ -207,20 +208,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     """Lexicon, trees and curve from a bounded draw of labelled texts (MOST_TOXIC, MOST_OTHER).
 
     The draw is by hash of the id, so it is the same in every run; rows carry the inverse
-    of their share as weight. Without labelled texts of both labels the score is their
-    share (0 for none).
+    of their share as weight. Each label is dealt evenly over FOLDS folds, or over as many
+    as the rarer label has texts. With a single text of a label, or none, nothing can be
+    held out and the score is the share of toxic texts (0 without labels).
     """
     ids = sample_ids(single_labels(labels, key, label), most or {1: MOST_TOXIC, 0: MOST_OTHER}, "toxic")
-    rows = labelled_texts(docs, ids, key, text).withColumn("_fold", F.floor(F.col("_u") * FOLDS).cast("int"))
-    rows = stage(rows.repartition(16, "_id").withColumn("_weight", 1 / F.col("_share")), "toxic-fit")
-    sizes = {(r["_label"], r["_fold"]): r["count"] for r in rows.groupBy("_label", "_fold").count().collect()}
-    total = {v: sum(c for (w, _), c in sizes.items() if w == v) for v in (0, 1)}
-    if any(sizes.get((v, f), 0) == 0 for v in (0, 1) for f in range(FOLDS)):
-        return ToxicityModel({}, None, None, total[1] / max(1, sum(total.values())))
-    lex = lexicons(rows, 1.0)
+    ids = stage(ids.join(docs.select(F.col(key).alias("_id")), "_id", "left_semi"), "drawn")
+    total = {0: 0, 1: 0} | {r["_label"]: r["count"] for r in ids.groupBy("_label").count().collect()}
+    folds = min(FOLDS, total[0], total[1])
+    if folds < 2:
+        return ToxicityModel({}, None, None, total[1] / max(1, total[0] + total[1]))
+    # one partition a label: the draw bounds it, and it holds no text
+    nth = F.row_number().over(Window.partitionBy("_label").orderBy("_u", "_id")) - 1
+    dealt = stage(ids.withColumn("_fold", F.pmod(nth, F.lit(folds))), "dealt")
+    rows = labelled_texts(docs, dealt, key, text).withColumn("_weight", 1 / F.col("_share"))
+    rows = stage(rows.repartition(16, "_id"), "toxic-fit")
+    lex = lexicons(rows, folds, LEAST_SEEN if total[1] >= FEW else LEAST_OF_FEW)
     parts = [
         rows.where(F.col("_fold") == f).select("_label", "_weight", "_fold", features_udf(lex[f])("_text").alias("_f"))
-        for f in range(FOLDS)
+        for f in range(folds)
     ]
     seen = parts[0]
     for p in parts[1:]:
@@ -232,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     model = gbt.fit(stage(vectors(seen.where("_fold > 0")).coalesce(4), "toxic-v"))
     fresh = raw_scores(model, seen.where("_fold = 0"))
     curve = IsotonicRegression(featuresCol="_raw1", labelCol="_y0", weightCol="_weight", predictionCol="_c").fit(fresh)
-    return ToxicityModel(lex[FOLDS], model, curve, total[1] / sum(total.values()))
+    return ToxicityModel(lex[folds], model, curve, total[1] / sum(total.values()))
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: str = "text", accept: float = 0.5) -> DataFrame:
