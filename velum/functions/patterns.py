@@ -24,8 +24,8 @@ SPAN = T.StructType(
     ]
 )
 
-# A pattern table is configuration: past this many rows it is refused, not cut.
-MAX_PATTERNS = 2_000
+# A pattern table is configuration that the driver reads whole: past this many rows it is refused, not cut.
+MAX_PATTERNS = 100_000
 
 
 @dataclass(frozen=True)

@@ -256,6 +256,24 @@ def profile_catalog(
     return out
 
 
+def labelled_places(tables: dict[str, DataFrame], db: str | None, kb: DataFrame | None) -> set[tuple[str, str]]:
+    """(table, column) of the columns that have an active label for this place."""
+    if kb is None:
+        return set()
+    inventory = [(t, c) for t, df in tables.items() for c in df.columns]
+    asked = kb.sparkSession.createDataFrame(inventory, "table string, column string").select(
+        "*", normalize_header(F.col("column")).alias("_h")
+    )
+    active = kb.where("status = 'active'").where(F.col("db_name").eqNullSafe(F.lit(db))).select(
+        F.col("header_norm").alias("_k"), F.col("table_name").alias("_t")
+    )
+    hit = asked.join(
+        active, (F.col("_h") == F.col("_k")) & F.col("table").eqNullSafe(F.col("_t")), "left_semi"
+    )
+    # bounded by the inventory above
+    return {(r["table"], r["column"]) for r in hit.select("table", "column").collect()}
+
+
 def scan_catalog(
     tables: dict[str, DataFrame],
     db: str | None,
@@ -268,22 +286,7 @@ def scan_catalog(
     The skip list is read first (one row per catalogued column), so known columns
     are not even scanned.
     """
-    skip: set[tuple[str, str]] = set()
-    if kb is not None:
-        inventory = [(t, c) for t, df in tables.items() for c in df.columns]
-        spark = kb.sparkSession
-        asked = spark.createDataFrame(inventory, "table string, column string").select(
-            "*", normalize_header(F.col("column")).alias("_h")
-        )
-        active = kb.where("status = 'active'").where(F.col("db_name").eqNullSafe(F.lit(db))).select(
-            F.col("header_norm").alias("_k"), F.col("table_name").alias("_t")
-        )
-        hit = asked.join(
-            active, (F.col("_h") == F.col("_k")) & F.col("table").eqNullSafe(F.col("_t")), "left_semi"
-        )
-        # bounded by the inventory above
-        skip = {(r["table"], r["column"]) for r in hit.select("table", "column").collect()}
-    return label_profiles(profile_catalog(tables, db, skip), threshold, classifier)
+    return label_profiles(profile_catalog(tables, db, labelled_places(tables, db, kb)), threshold, classifier)
 
 
 def scan_summary(scan: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
-from velum.functions.patterns import DEFAULT_PATTERNS, PATTERN_SCHEMA, pattern_rows
+from velum.functions.patterns import DEFAULT_PATTERNS, PATTERN_SCHEMA, load_patterns, pattern_rows
 from velum.functions.text import value_metadata
 from velum.operators import columns as C
 from velum.operators import kb as K
 from velum.operators import mask, registry
+from velum.operators.pattern_index import detect_by_index
 from velum.operators.query import masked_query as run_masked_query
-from velum.plans.base import derived, query, quote, spans_sql, tokens_sql, values_sql
+from velum.operators.scan import Scan
+from velum.plans.base import ORACLE, derived, query, quote, spans_sql, tokens_sql, values_sql
 from velum.plans.kb import lexicon_kb
 from velum.sources import catalog, query as Q
+from velum.session import shared_dir
 from velum.sources.files import table
 
 VALUES = """c_custkey, case c_custkey % 10
@@ -154,6 +160,31 @@ def scan_columns(spark, root):
     )
 
 
+@query(
+    "detect_many_patterns",
+    """SELECT o_orderkey, c_name AS value, 'PERSONNE' AS label, 7 AS start, 25 AS "end" FROM orders JOIN customer ON c_custkey = o_custkey""",
+)
+def detect_many_patterns(spark, root):
+    """Every customer's name is a custom pattern, loaded from a pattern table and found by index."""
+    rows = table(spark, root, "customer").selectExpr(
+        "c_name AS name", r"concat('\\bCustomer#', right(c_name, 9), '\\b') AS regex", "'PERSONNE' AS label", "0.8D AS score", "true AS active", "'admin' AS source")
+    texts = derived(spark, root, "orders", "o_orderkey, concat('Client Customer#', lpad(cast(o_custkey as string), 9, '0'), ', not Customer#', cast(o_custkey as string)) AS text")
+    return detect_by_index(texts, ["o_orderkey"], load_patterns(rows)).select("o_orderkey", "value", "label", "start", "end")
+
+
+@query("scan_resumed", ORACLE["scan_columns"])
+def scan_resumed(spark, root):
+    """A scan that takes one table, meets a table it cannot open, and goes on in two further calls."""
+    scan = Scan(spark, os.path.join(shared_dir(spark), f"scan-{uuid.uuid4().hex}"))
+    sources = dict(tables(spark, root))
+    first = max(sources)
+    closed = sources | {first: lambda: spark.read.parquet(os.path.join(scan.path, "nowhere"))}
+    scan.run(closed, "shop", place_kb(spark), most=1)
+    scan.run(closed, "shop", place_kb(spark))
+    scan.run(sources, "shop", place_kb(spark))
+    return scan.proposals().drop("sql_type")
+
+
 @query(
     "scan_summary",
     f"""SELECT 'done' AS status, CAST({sum(map(len, COLUMNS.values()))} AS BIGINT) AS total_cols,
