@@ -57,3 +57,13 @@ def test_no_literal_leaks_from_payloads(spark):
 def test_documents_with_statements(spark, i):
     docs = spark.createDataFrame([(1, "s", LEAKS[i][0])], "doc_id int, scope string, text string")
     assert mask.mask_documents(docs, "scope", kb=lexicon(spark)).rows.first().text == LEAKS[i][1]
+
+
+def test_literals_are_read_where_their_text_is(spark):
+    """No shuffle and no sort; rows that share a key, or have none, are read one by one."""
+    texts = spark.createDataFrame([(1, "UPDATE c SET nom = 'Eva'"), (1, "INSERT INTO c (n) VALUES (2), ('x')"), (None, "x = 'y'")], "id int, text string")
+    got = sql_literals(texts, ["id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+    want = [(1, 0, "nom", "Eva", "lit0"), (1, 0, "n", "2", "ins0.0"), (1, 1, "n", "x", "ins1.0"), (None, 0, "x", "y", "lit0")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velum.functions.flatten import flatten, open_nested, sql_fields
@@ -14,7 +13,7 @@ from velum.functions.patterns import DetectorConfig, find_spans
 from velum.functions.rewrite import ENTRIES, STATEMENT, replace_by_format, replace_outside_placeholders, splice_statements, with_blob_entries
 from velum.operators.columns import Classifier, classify, column_profile
 from velum.operators.kb import is_pii, with_labels
-from velum.operators.sql_text import sql_literals
+from velum.operators.sql_text import literals_of, sql_literals
 from velum.operators.tokens import assign_tokens, required, tokens_for
 from velum.session import stage
 
@@ -98,7 +97,7 @@ def embedded_sql(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
 
 def statement_findings(texts: DataFrame, kb: DataFrame) -> DataFrame:
     """Labelled literals of statements inside free text, as findings with ``ord`` 0."""
-    statements = embedded_sql(texts, ["scope", "doc_id"]).repartition("scope", "doc_id").withColumnRenamed("ord", "_s")
+    statements = embedded_sql(texts, ["scope", "doc_id"]).withColumnRenamed("ord", "_s")
     literals = sql_literals(statements, ["scope", "doc_id", "_s"], "sql").where("field IS NOT NULL").select(
         "scope", "doc_id", "field", "value",
         # position in the text's run of literals: statement first, then literal
@@ -227,10 +226,8 @@ def mask_payloads(
     own = ["scope", "doc_id", "db", "table", "fmt"]
     flat = read.select(*own, F.posexplode("fields").alias("_p", "f")).select(*own, "_p", "f.field", "f.value", "f.path")
     # literals of scripts and of statements inside prose, after the text itself
-    scripts = read.where("sql IS NOT NULL").repartition("scope", "doc_id").select(*own, F.posexplode_outer("sql").alias("_k", "text"))
-    said = sql_literals(scripts, [*own, "_k"])
-    place = W.partitionBy("scope", "doc_id").orderBy("_k", "ord")
-    flat = flat.where("fmt <> 'sql'").unionByName(said.select(*own, F.row_number().over(place).alias("_p"), "field", "value", "path"))
+    said = read.where("sql IS NOT NULL").select(*own, F.posexplode_outer(literals_of(F.col("sql"))).alias("_p", "f")).where("_p IS NOT NULL")
+    flat = flat.where("fmt <> 'sql'").unionByName(said.select(*own, (F.col("_p") + 1).alias("_p"), "f.field", "f.value", "f.path"))
     fields = flat.select(
         *own, "_p", F.col("value").alias("_outer"),
         F.posexplode_outer(open_nested(F.col("field"), F.col("value"), F.col("path"))).alias("_s", "f"),
