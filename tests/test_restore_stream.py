@@ -101,3 +101,29 @@ def test_the_stateful_step_runs_once_a_batch(spark, tmp_path):
     token_map = spark.createDataFrame([("u", "[EMAIL_1]", "a@b.ch")], MAP)
     restore.start_restore(source, lambda: token_map, out, str(tmp_path / "state")).awaitTermination()
     assert met.value == 50 and set(texts(spark, out).values()) == {"x a@b.ch"}
+
+
+def test_the_stateful_step_is_called_for_groups_of_streams(spark, tmp_path, monkeypatch):
+    """Many short streams share a call; those left open go on in the next micro-batch, in any group."""
+    monkeypatch.setattr(restore, "GROUPS", 3)
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    calls = spark.sparkContext.accumulator(0)
+    load = restore._load
+
+    def counted(state):
+        calls.add(1)
+        return load(state)
+
+    monkeypatch.setattr(restore, "_load", counted)
+    token_map = spark.createDataFrame([("u", "[EMAIL_1]", "a@b.ch")], MAP)
+    names = [f"s{i}" for i in range(40)]
+
+    def run(rows):
+        append(spark, folder, rows)
+        source = spark.readStream.schema(CHUNKS).parquet(str(folder))
+        restore.start_restore(source, lambda: token_map, out, str(tmp_path / "state")).awaitTermination()
+
+    run([(n, "u", seq, chunk, False) for n in names for seq, chunk in ((0, "x [EM"), (2, "_1] z"))])
+    run([(n, "u", 1, "AIL", n == "none") for n in names] + [(n, "u", 0, "again", False) for n in names] + [(n, "u", 3, " [", True) for n in names[::2]])
+    assert texts(spark, out) == {n: "x a@b.ch z" + (" [" if n in names[::2] else "") for n in names}
+    assert calls.value <= 6

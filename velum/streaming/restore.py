@@ -1,7 +1,7 @@
 """Restoring tokens in text that arrives in pieces.
 
-Two steps: a stateful one that only makes sure no token is cut (its state is the
-open tail of each stream), and a join with the token map as it is when the
+Two steps: a stateful one that only makes sure no token is cut (its state are the
+open tails of a group of streams), and a join with the token map as it is when the
 micro-batch runs, so tokens made while the stream flows are found.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,9 @@ OPEN_TAIL = r"\[(?:[A-Z][A-Z_]*(?:_[0-9]*)?)?\Z"
 
 PIECES = "stream_id string, scope string, seq long, text string"
 FRAMES = "stream_id string, scope string, seq long, part long, head string, payload string, text string, tail string"
-_STATE = "scope string, next_seq long, waiting string, buffer string, raw string, block long, sent long"
+_STATE = "streams string"
+#: Groups of state that streams are dealt to; fixed for a checkpoint, as the number of state partitions is.
+GROUPS = 4096
 
 # stands for the delta text inside a frame's JSON until the text is restored
 SLOT = "\ue021"
@@ -33,56 +36,101 @@ IDLE_MS = 600_000
 LIFETIME_MS = 86_400_000
 
 
-def _in_order(batches, next_seq: int, waiting: dict[int, list]) -> tuple[list, bool, int]:
-    """Chunks that are next in line; ones that came early wait, repeats are ignored."""
-    for batch in batches:
-        for seq, chunk, last in zip(
-            batch["seq"].tolist(), batch["chunk"].tolist(), batch["is_last"].tolist()
-        ):
-            if seq >= next_seq:
-                waiting[seq] = [chunk or "", bool(last)]
-    ready, ended = [], False
-    while next_seq in waiting and not ended:
-        chunk, ended = waiting.pop(next_seq)
-        ready.append((next_seq, chunk))
-        next_seq += 1
-    return ready, ended, next_seq
-
-
 def _cut_tail(text: str) -> tuple[str, str]:
     found = re.search(OPEN_TAIL, text)
     return (text[: found.start()], text[found.start():]) if found else (text, "")
 
 
-def _load(state):
-    if state.exists:
-        scope, next_seq, waiting, buffer, raw, block, sent = state.get
-        early = {int(k): v for k, v in json.loads(waiting).items()}
-        return scope, int(next_seq), early, buffer, raw, block, int(sent)
-    return None, 0, {}, "", "", None, 0
-
-
-def _save(state, scope, next_seq, waiting, buffer, raw, block, sent, idle_ms) -> None:
-    state.update((scope, next_seq, json.dumps(waiting), buffer, raw, block, sent))
-    if idle_ms:
-        state.setTimeoutDuration(idle_ms)
-
+@dataclass
+class _Stream:
+    """Where one stream stands; ``until`` is when it counts as idle, or is forgotten."""
+
+    stream_id: str
+    scope: str | None = None
+    next_seq: int = 0
+    waiting: dict[int, list] = field(default_factory=dict)
+    buffer: str = ""
+    raw: str = ""
+    block: int | None = None
+    sent: int = 0
+    until: int = 0
+
+    def ready(self) -> tuple[list, bool]:
+        """Chunks that are next in line, and whether the last one is among them; ones that came early wait."""
+        found, ended = [], False
+        while self.next_seq in self.waiting and not ended:
+            chunk, ended = self.waiting.pop(self.next_seq)
+            found.append((self.next_seq, chunk))
+            self.next_seq += 1
+        return found, ended
+
+    def rest(self) -> str:
+        """Text of the chunks that still wait; chunks up to there count as late from now on."""
+        text = "".join(self.waiting[k][0] for k in sorted(self.waiting))
+        self.next_seq = max([self.next_seq, *(k + 1 for k in self.waiting)])
+        self.waiting = {}
+        return text
+
+
+def _load(state) -> dict[str, _Stream]:
+    streams = [_Stream(*one) for one in json.loads(state.get[0])] if state.exists else []
+    for one in streams:
+        one.waiting = {int(k): v for k, v in one.waiting.items()}
+    return {one.stream_id: one for one in streams}
+
+
+def _save(state, streams: dict[str, _Stream], now: int | None) -> None:
+    if streams:
+        state.update((json.dumps([list(vars(one).values()) for one in streams.values()]),))
+        if now is not None:
+            state.setTimeoutDuration(max(min(one.until for one in streams.values()) - now, 1))
+    elif state.exists:
+        state.remove()
 
-def _rest(next_seq: int, waiting: dict[int, list]) -> tuple[str, int]:
-    """Text of the chunks that still wait, and the chunk to go on with after them."""
-    return "".join(waiting[k][0] for k in sorted(waiting)), max([next_seq, *(k + 1 for k in waiting)])
 
+def _by_stream(chunks: DataFrame, schema: str, idle_ms: int | None, send, flush) -> DataFrame:
+    """Rows that ``send`` (chunks in line, whether the stream ended) and ``flush`` (an idle stream) make of each stream.
 
-def _forget(state, scope, next_seq, block, sent, idle_ms) -> None:
-    """Keep only where a stream stands; streams without idle times are dropped."""
-    if idle_ms is None:
-        state.remove()
-    else:
-        _save(state, scope, next_seq, {}, "", "", block, sent, LIFETIME_MS)
+    Streams are dealt to GROUPS groups of state, so a call of the stateful step is made for
+    thousands of short streams and not for each. A group's chunks of one micro-batch are in
+    memory at a time; between micro-batches only what is open is kept. Streams that have
+    ended are dropped where there are no idle times.
+    """
+    columns = [c.split()[0] for c in schema.split(", ")]
 
+    def run(key, batches, state):
+        now = state.getCurrentProcessingTimeMs() if idle_ms else None
+        streams, met, rows = _load(state), {}, []
+        for batch in () if state.hasTimedOut else batches:
+            for name, scope, seq, chunk, last in zip(*(batch[c].tolist() for c in ("stream_id", "scope", "seq", "chunk", "is_last"))):
+                if name not in met:
+                    met[name] = streams.setdefault(name, _Stream(name))
+                met[name].scope = scope
+                if seq >= met[name].next_seq:  # repeats are ignored
+                    met[name].waiting[seq] = [chunk or "", bool(last)]
+        for name, one in met.items():
+            ready, ended = one.ready()
+            rows.extend(send(one, ready, ended))
+            if ended and idle_ms is None:
+                del streams[name]
+            elif ended:
+                one.waiting, one.buffer, one.raw, one.until = {}, "", "", now + LIFETIME_MS
+            elif idle_ms:
+                one.until = now + idle_ms
+        for name, one in list(streams.items()) if idle_ms else ():
+            if name not in met and one.until <= now:
+                if not (one.buffer or one.raw or any(chunk for chunk, _ in one.waiting.values())):
+                    del streams[name]
+                    continue
+                rows.extend(flush(one))
+                one.buffer, one.raw, one.until = "", "", now + LIFETIME_MS
+        _save(state, streams, now)
+        yield pd.DataFrame(rows, columns=columns)
 
-def _timeout(idle_ms: int | None) -> str:
-    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    group = F.pmod(F.xxhash64("stream_id"), F.lit(GROUPS)).cast("int").alias("_group")
+    rows = chunks.select(group, "stream_id", "scope", "seq", "chunk", "is_last")
+    return rows.groupBy("_group").applyInPandasWithState(run, schema, _STATE, "append", timeout)
 
 
 def whole_pieces(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
@@ -93,36 +141,20 @@ def whole_pieces(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     an idle time a stream goes on with its next chunk; chunks up to there count as late.
     """
 
-    def run(key, batches, state):
-        scope, next_seq, waiting, buffer, raw, block, sent = _load(state)
-        if state.hasTimedOut:
-            left, after = _rest(next_seq, waiting)
-            left = buffer + left
-            if left:
-                # the tail of the last piece bears its number; pieces of one number are in order of their batches
-                yield pd.DataFrame([(key[0], scope, after - 1, left)], columns=["stream_id", "scope", "seq", "text"])
-                _forget(state, scope, after, block, sent, idle_ms)
-            else:
-                state.remove()
-            return
-        batches = list(batches)
-        for batch in batches:
-            scope = batch["scope"].tolist()[0] if len(batch) else scope
-        ready, ended, next_seq = _in_order(batches, next_seq, waiting)
-        rows = []
+    def send(one: _Stream, ready: list, ended: bool):
         for seq, chunk in ready:
-            out, buffer = _cut_tail(buffer + chunk)
-            rows.append([key[0], scope, seq, out])
-        if ended:
-            rows[-1][3] += buffer
-            _forget(state, scope, next_seq, block, sent, idle_ms)
-        else:
-            _save(state, scope, next_seq, waiting, buffer, raw, block, sent, idle_ms)
-        yield pd.DataFrame([r for r in rows if r[3]], columns=["stream_id", "scope", "seq", "text"])
+            out, one.buffer = _cut_tail(one.buffer + chunk)
+            if ended and seq == ready[-1][0]:
+                out += one.buffer
+            if out:
+                yield one.stream_id, one.scope, seq, out
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(
-        run, PIECES, _STATE, "append", _timeout(idle_ms)
-    )
+    def flush(one: _Stream):
+        if left := one.buffer + one.rest():
+            # the tail of the last piece bears its number; pieces of one number are in order of their batches
+            yield one.stream_id, one.scope, one.next_seq - 1, left
+
+    return _by_stream(chunks, PIECES, idle_ms, send, flush)
 
 
 DATA_LINE = re.compile(r"^data: (.*)$", re.M)
@@ -173,63 +205,41 @@ def whole_frames(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     Frames end with a blank line. A text delta leaves with its text beside it (see
     ``join_frames``); every other frame leaves as it came.
     """
-    columns = ["stream_id", "scope", "seq", "part", "head", "payload", "text", "tail"]
 
-    def run(key, batches, state):
-        scope, next_seq, waiting, buffer, raw, block, sent = _load(state)
-        rows = []
-
-        def send(seq, raw_frame):
-            nonlocal buffer, block, sent
-            frame = Frame(raw_frame)
-            block = block if frame.opens is None else frame.opens
-            out = (raw_frame, None, None, None)
-            if frame.text is not None:
-                whole, buffer = _cut_tail(buffer + frame.text)
-                out = (frame.head, frame.payload(), whole, frame.tail)
-            rows.append((key[0], scope, seq, sent, *out))
-            sent += 1
-
-        def finish(seq):
-            nonlocal sent
-            if raw:
-                send(seq, raw)
-            if buffer and block is not None:
-                data = {"type": "content_block_delta", "index": int(block), "delta": {"type": "text_delta", "text": SLOT}}
-                rows.append(
-                    (key[0], scope, seq, sent, "event: content_block_delta\n", json.dumps(data, ensure_ascii=False), buffer, "\n\n")
-                )
-                sent += 1
-
-        if state.hasTimedOut:
-            left, after = _rest(next_seq, waiting)
-            raw += left
-            if raw or buffer:
-                finish(next_seq)
-                _forget(state, scope, after, block, sent, idle_ms)
-            else:
-                state.remove()
-            yield pd.DataFrame(rows, columns=columns)
-            return
-        batches = list(batches)
-        for batch in batches:
-            scope = batch["scope"].tolist()[0] if len(batch) else scope
-        ready, ended, next_seq = _in_order(batches, next_seq, waiting)
+    def frame_row(one: _Stream, seq: int, raw_frame: str) -> tuple:
+        frame = Frame(raw_frame)
+        one.block = one.block if frame.opens is None else frame.opens
+        out = (raw_frame, None, None, None)
+        if frame.text is not None:
+            whole, one.buffer = _cut_tail(one.buffer + frame.text)
+            out = (frame.head, frame.payload(), whole, frame.tail)
+        one.sent += 1
+        return one.stream_id, one.scope, seq, one.sent - 1, *out
+
+    def finish(one: _Stream, seq: int):
+        if one.raw:
+            yield frame_row(one, seq, one.raw)
+        if one.buffer and one.block is not None:
+            data = {"type": "content_block_delta", "index": int(one.block), "delta": {"type": "text_delta", "text": SLOT}}
+            one.sent += 1
+            yield (one.stream_id, one.scope, seq, one.sent - 1, "event: content_block_delta\n",
+                   json.dumps(data, ensure_ascii=False), one.buffer, "\n\n")
+
+    def send(one: _Stream, ready: list, ended: bool):
         for seq, chunk in ready:
-            raw += chunk
-            while "\n\n" in raw:
-                frame, _, raw = raw.partition("\n\n")
-                send(seq, frame + "\n\n")
+            one.raw += chunk
+            while "\n\n" in one.raw:
+                frame, _, one.raw = one.raw.partition("\n\n")
+                yield frame_row(one, seq, frame + "\n\n")
         if ended:
-            finish(next_seq)
-            _forget(state, scope, next_seq, block, sent, idle_ms)
-        else:
-            _save(state, scope, next_seq, waiting, buffer, raw, block, sent, idle_ms)
-        yield pd.DataFrame(rows, columns=columns)
+            yield from finish(one, one.next_seq)
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(
-        run, FRAMES, _STATE, "append", _timeout(idle_ms)
-    )
+    def flush(one: _Stream):
+        seq = one.next_seq
+        one.raw += one.rest()
+        yield from finish(one, seq)
+
+    return _by_stream(chunks, FRAMES, idle_ms, send, flush)
 
 
 def join_frames(frames: DataFrame) -> DataFrame:
