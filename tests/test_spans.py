@@ -114,3 +114,17 @@ def test_leak_from_another_document(spark):
     leaks = leak_check_scope(planted, token_map, ["doc_id"]).collect()
     assert sorted(map(tuple, leaks)) == [("other", 3, "1234123412341234", 1), ("s", 1, "a@b.ch", 1), ("s", 2, "a@b.ch", 2)]
     # what a map of another scope knows is no leak here
+
+
+def test_containment_is_spread_over_tasks(spark, tmp_path):
+    """Texts of one file with one row group are searched by several tasks."""
+    from velum.session import spread
+
+    path = str(tmp_path / "one")
+    spark.range(400).selectExpr("id", "'s' AS scope", "concat('see v', id) AS text").coalesce(1).write.parquet(path)
+    texts = spark.read.parquet(path)
+    assert texts.rdd.getNumPartitions() == 1 and spread(texts).rdd.getNumPartitions() == 4
+    values = spark.createDataFrame([("s", "v39"), ("s", "v7"), ("t", "v1")], "scope string, value string")
+    got = contained_values(texts, values, ["id"])
+    want = sorted((i, v) for i in range(400) for v in ("v39", "v7") if v in f"see v{i}")
+    assert sorted((r.id, r.value) for r in got.collect()) == want

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.session import stage
+from velum.session import spread, stage
 
 #: Bits of each bitmap, as a power of two: 2 MB; more values only let more places through to the join.
 BITS = 24
@@ -137,7 +137,8 @@ def contained_values(texts: DataFrame, values: DataFrame, keys: Sequence[str], t
 
     ``at`` counts characters from 0. NULL and empty values and texts meet nothing; values
     repeated in a scope count once; overlapping places all count; a NULL scope meets
-    nothing. Texts are read where they are, only places that passed the bitmaps are shuffled.
+    nothing. Texts are dealt once to as many tasks as a shuffle has, then only places that
+    passed the bitmaps are shuffled.
     """
     spark = texts.sparkSession
     known = values.where("value <> ''").select("scope", "value").distinct()
@@ -150,7 +151,7 @@ def contained_values(texts: DataFrame, values: DataFrame, keys: Sequence[str], t
     if not lengths:
         return spark.createDataFrame([], schema)
     sent = spark.sparkContext.broadcast((lengths, openings, wholes))
-    found = rows.select("*", salted).mapInPandas(_finder(list(keys), sent), schema)
+    found = spread(rows).select("*", salted).mapInPandas(_finder(list(keys), sent), schema)
     return stage(found, "places").join(known, ["scope", "value"], "left_semi").select("scope", *keys, "at", "value")
 
 

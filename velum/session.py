@@ -114,3 +114,12 @@ def _bytes(text: str) -> int:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to as many tasks as a shuffle has, for costly steps on rows of few or large files.
+
+    A file is read by no more tasks than it has row groups, so without this the longest task
+    of such a step grows with the table.
+    """
+    return df.repartition(parallelism(df.sparkSession))
