@@ -67,3 +67,18 @@ def test_literals_are_read_where_their_text_is(spark):
     assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
     want = [(1, 0, "nom", "Eva", "lit0"), (1, 0, "n", "2", "ins0.0"), (1, 1, "n", "x", "ins1.0"), (None, 0, "x", "y", "lit0")]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_payloads_and_bodies_of_one_file_are_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    from velum.operators import chat
+
+    path, tasks = str(tmp_path / "one"), {}
+    body = """'{"messages": [{"role": "user", "content": "write to a@b.ch"}]}' AS body"""
+    spark.range(40).selectExpr("id AS doc_id", "id AS body_id", "'s' AS scope", """'{"nom": "Jo"}' AS text""", body).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    for module in (payloads, chat):
+        plain = module.stage
+        monkeypatch.setattr(module, "stage", lambda df, name="stage", plain=plain: (tasks.setdefault(name, df.rdd.getNumPartitions()), plain(df, name))[1])
+    assert payloads.mask_payloads(rows, lexicon(spark)).rows.where("text LIKE '%[PERSONNE_1]%'").count() == 40
+    assert chat.mask_bodies(rows.drop("doc_id")).rows.where("body LIKE '%[EMAIL_1]%'").count() == 40
+    assert tasks["payload-fields"] == 4 and tasks["blocks"] == 4

@@ -18,7 +18,7 @@ from velum.operators.detect import detect_entities
 from velum.operators.mask import hide_placeholders, replace_outside_placeholders
 from velum.operators.payloads import structured_findings
 from velum.operators.tokens import assign_tokens, attach_entries, entry_lists, required, tokens_for
-from velum.session import stage
+from velum.session import spread, stage
 
 # Block types without readable text, refused as a whole.
 REFUSED_BLOCKS = ("image", "document")
@@ -224,7 +224,7 @@ def mask_bodies(
     by field, as ``mask_payloads`` does; ``mask_system`` masks the body's system text too.
     """
     base = bodies.select(required(scope).alias("scope"), required(key).alias("doc_id"), F.col(body).alias("body"))
-    blocks = stage(chat_blocks(base, ["scope", "doc_id"], system=mask_system), "blocks")
+    blocks = stage(chat_blocks(spread(base), ["scope", "doc_id"], system=mask_system), "blocks")
     refused = (
         blocks.where("route = 'refuse'")
         .select("scope", "doc_id", F.concat(F.lit("unsupported block: "), F.col("type")).alias("reason"))

@@ -15,7 +15,7 @@ from velum.operators.columns import Classifier, classify, column_profile
 from velum.operators.kb import is_pii, with_labels
 from velum.operators.sql_text import literals_of, sql_literals
 from velum.operators.tokens import assign_tokens, required, tokens_for
-from velum.session import stage
+from velum.session import spread, stage
 
 # Arrays that are costly to build are exploded with the outer form: for an inner one
 # Spark adds a filter on the array's size and builds it a second time for that.
@@ -215,13 +215,11 @@ def mask_payloads(
     cannot be read leave as (key, reason) without their text.
     """
     null = F.lit(None).cast("string")
-    read = with_fields(
-        payloads.select(
-            required(scope).alias("scope"), required(key).alias("doc_id"), F.col(text).alias("text"),
-            (F.col(db) if db else null).alias("db"), (F.col(table) if table else null).alias("table"),
-        ),
-        "text", drop_empty, statements=True,
-    ).drop("text")
+    source = payloads.select(
+        required(scope).alias("scope"), required(key).alias("doc_id"), F.col(text).alias("text"),
+        (F.col(db) if db else null).alias("db"), (F.col(table) if table else null).alias("table"),
+    )
+    read = with_fields(spread(source), "text", drop_empty, statements=True).drop("text")
     read = stage(read, "payload-fields")
     own = ["scope", "doc_id", "db", "table", "fmt"]
     flat = read.select(*own, F.posexplode("fields").alias("_p", "f")).select(*own, "_p", "f.field", "f.value", "f.path")
