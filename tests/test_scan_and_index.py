@@ -4,12 +4,14 @@ import random
 
 import pytest
 
+from velum.functions import patterns as table_of_patterns
 from velum.functions.literals import required_literals
-from velum.functions.patterns import DetectorConfig, Pattern
-from velum.operators import columns, kb
+from velum.functions.patterns import PATTERN_SCHEMA, DetectorConfig, Pattern, load_patterns
+from velum.operators import columns, kb, pattern_index
 from velum.operators.detect import detect_entities
-from velum.operators.pattern_index import detect_by_index, entries
+from velum.operators.pattern_index import detect_by_index, entries, load_pattern_table
 from velum.operators.scan import Scan
+from velum.plans.registry import QUERIES
 
 
 def tables(spark):
@@ -97,3 +99,45 @@ def test_five_thousand_patterns(spark):
     df = spark.createDataFrame([(i, f"the {n}, 0{n}1 and {names[i - 1]}") for i, n in enumerate(names)], "id int, text string")
     found = detect_by_index(df, ["id"], patterns).select("id", "value", "prio").collect()
     assert {(r.id, r.value, r.prio) for r in found} == {(i, names[k], k) for i in range(5000) for k in (i, (i - 1) % 5000)}
+
+
+@pytest.mark.parametrize("in_place", [50, 1])
+def test_pattern_table_equals_all_patterns_on_all_texts(spark, monkeypatch, in_place):
+    """A table of patterns finds what a list finds, with patterns tried in one pass (50) and in a product (1)."""
+    monkeypatch.setattr(pattern_index, "IN_PLACE", in_place)
+    draw = random.Random(5)
+    words = ["alpha", "beta", "gamma", "Żółć", "x😀yz", "12345", "CT-77", "delta\n", "a", "", "alphabeta"]
+    texts = [(i % 50, " ".join(draw.choices(words, k=draw.randint(0, 12)))) for i in range(60)]
+    texts += [(None, "alpha beta"), (60, None), (61, ""), (62, "ab"), (63, "alpha " * 3000 + "beta"), (3, texts[3][1])]
+    df = spark.createDataFrame(texts, "id int, text string").selectExpr("*", "'clash' AS literal", "'clash' AS label", "'clash' AS scope")
+    rows = [
+        ("p0", r"\balpha\b", "A", 0.5, True, "m"), ("p1", r"(?:beta|gamma|alphab) ?\w+", "B", 0.6, True, "m"), ("p2", r"\b[0-9]{5}\b", "C", 0.7, True, "m"),
+        ("p3", "Żółć", "D", 0.8, True, "m"), ("p4", "x😀yz", "E", 0.9, True, "m"), ("p5", r"(?i)ALPHA", "F", 0.4, True, "m"), ("p6", r"lph[a-z]", "G", 0.3, True, "m"),
+        ("p7", r"delta\n", "H", 0.2, True, "m"), ("off", "alpha", "A", 0.1, False, "m"), ("p8", r"gamma|gam", "I", 0.1, True, "m"), ("p9", r"CT-\d+\Z", "J", 0.1, True, "m"),
+        ("q0", "a{2147483648}", "A", 0.5, True, "m"), ("q1", "(a+)+", "A", 0.5, True, "m"), ("q2", None, "A", 0.5, True, "m"), ("q3", r"\balpha\b", "K", 0.5, None, "m"),
+        ("q4", r"\balpha\b", "K", 0.5, True, "m"), ("q5", r"\ud83d\ude00", "L", 0.5, True, "m"), ("q6", "(?P<x>alpha) beta", "L", 0.5, True, "m"), (None, "gamma a", "L", 0.5, True, "m"),
+    ]
+    table = spark.createDataFrame(draw.sample(rows, len(rows)), PATTERN_SCHEMA)
+    with pytest.warns(UserWarning, match="patterns refused: q0 .invalid in the JVM., q1 .nested repeats., q2 .blank.$"):
+        read = load_pattern_table(table)
+    with pytest.warns(UserWarning):
+        listed = load_patterns(table.where("NOT name <=> 'q0'"))
+    assert [(r["name"], r["prio"]) for r in read.orderBy("prio").collect()] == [(p.name, i) for i, p in enumerate(listed)]
+    every = DetectorConfig(active_labels=tuple("ABCDEFGHIJKL"), patterns=tuple(listed))
+    want = sorted(map(tuple, detect_entities(df, ["id"], "text", every).collect()), key=str)
+    assert sorted(map(tuple, detect_by_index(df, ["id"], read).collect()), key=str) == want and len({r[7] for r in want}) == len(listed)
+    few = sorted(map(tuple, detect_by_index(df, ["id"], read, labels=["A", "C"]).collect()), key=str)
+    assert few == [r for r in want if r[4] in "AC"] and detect_by_index(df, ["id"], read.where("prio < 0")).count() == 0
+    monkeypatch.setattr(pattern_index, "NAMED", 1)
+    with pytest.warns(UserWarning, match="patterns refused: q0 .invalid in the JVM. and 2 more$"):
+        twice = load_pattern_table(table.unionAll(table.where("name = 'p0'")))
+    assert detect_by_index(df, ["id"], twice).count() == len(want) + sum(r[4] == "A" for r in want)
+
+
+def test_more_patterns_than_the_driver_may_hold(spark, tmp_path, monkeypatch):
+    """The query's pattern table stays a table: no limit of rows that the driver reads applies to it."""
+    monkeypatch.setattr(table_of_patterns, "MAX_PATTERNS", 10)
+    spark.range(40).selectExpr("id AS c_custkey", "concat('Customer#', lpad(id, 9, '0')) AS c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(200).selectExpr("id AS o_orderkey", "id % 45 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    found = QUERIES["detect_many_patterns"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(i, f"Customer#{i % 45:09d}", "PERSONNE", 7, 25) for i in range(200) if i % 45 < 40]

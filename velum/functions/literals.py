@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 _OPS = re._constants
-_REPEATS = (_OPS.MAX_REPEAT, _OPS.MIN_REPEAT, _OPS.POSSESSIVE_REPEAT)
 
 
 def required_literals(regex: str) -> list[str]:
@@ -21,6 +20,8 @@ def required_literals(regex: str) -> list[str]:
 def _required(tree) -> list[str]:
     found: list[list[str]] = []
     run = ""
+    # here, as these constants do not travel to tasks by themselves
+    repeats = (_OPS.MAX_REPEAT, _OPS.MIN_REPEAT, _OPS.POSSESSIVE_REPEAT)
 
     def close() -> None:
         nonlocal run
@@ -40,7 +41,7 @@ def _required(tree) -> list[str]:
             found.append([] if on & re.IGNORECASE else _required(inner))
         elif op is _OPS.ATOMIC_GROUP:
             found.append(_required(arg))
-        elif op in _REPEATS and arg[0] >= 1:
+        elif op in repeats and arg[0] >= 1:
             found.append(_required(arg[2]))
         elif op is _OPS.BRANCH:
             each = [_required(way) for way in arg[1]]

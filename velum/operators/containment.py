@@ -144,7 +144,7 @@ def contained_values(texts: DataFrame, values: DataFrame, keys: Sequence[str], t
     known = values.where("value <> ''").select("scope", "value").distinct()
     known = stage(known.where("scope IS NOT NULL"), "known-values")
     salted = F.xxhash64(F.col("scope")).alias("salt")
-    lengths, openings, wholes = _bitmaps(known.select(salted, "value"))
+    lengths, openings, wholes = _bitmaps(spread(known.select(salted, "value")))
     rows = texts.select(F.col(scope).alias("scope"), *keys, F.col(text).alias("text")).where("scope IS NOT NULL AND text <> ''")
     shape = [f for f in rows.schema if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape) + ", at int, value string"

@@ -7,12 +7,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from velum.functions.patterns import DEFAULT_PATTERNS, PATTERN_SCHEMA, load_patterns, pattern_rows
+from velum.functions.patterns import DEFAULT_PATTERNS, PATTERN_SCHEMA, pattern_rows
 from velum.functions.text import value_metadata
 from velum.operators import columns as C
 from velum.operators import kb as K
 from velum.operators import mask, registry
-from velum.operators.pattern_index import detect_by_index
+from velum.operators.pattern_index import detect_by_index, load_pattern_table
 from velum.operators.query import masked_query as run_masked_query
 from velum.operators.scan import Scan
 from velum.plans.base import ORACLE, derived, query, quote, spans_sql, tokens_sql, values_sql
@@ -169,7 +169,7 @@ def detect_many_patterns(spark, root):
     rows = table(spark, root, "customer").selectExpr(
         "c_name AS name", r"concat('\\bCustomer#', right(c_name, 9), '\\b') AS regex", "'PERSONNE' AS label", "0.8D AS score", "true AS active", "'admin' AS source")
     texts = derived(spark, root, "orders", "o_orderkey, concat('Client Customer#', lpad(cast(o_custkey as string), 9, '0'), ', not Customer#', cast(o_custkey as string)) AS text")
-    return detect_by_index(texts, ["o_orderkey"], load_patterns(rows)).select("o_orderkey", "value", "label", "start", "end")
+    return detect_by_index(texts, ["o_orderkey"], load_pattern_table(rows)).select("o_orderkey", "value", "label", "start", "end")
 
 
 @query("scan_resumed", ORACLE["scan_columns"])
